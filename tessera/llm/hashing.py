@@ -49,13 +49,22 @@ _WORD[list(b"0123456789abcdefghijklmnopqrstuvwxyz_")] = True
 _WORD[128:] = True
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash for each word: runs of ASCII letters, digits and any other non-ASCII characters, in lower case."""
-    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = _WORD[data]
     edge = np.diff(inside)
-    return run_hashes(prefix_hash(data), np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return run_hashes(prefix_hash(data), start, end), start, end
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash for each word: runs of ASCII letters, digits and any other non-ASCII characters, in lower case."""
+    return _words(np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8))[0]
+
+
+def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of a UTF-8 text; only ASCII letters are lowered, so places stay."""
+    return _words(np.frombuffer(raw.lower(), np.uint8))
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

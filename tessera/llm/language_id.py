@@ -22,8 +22,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents
@@ -106,37 +107,34 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     return Model(names, np.log(texts / max(1.0, texts.sum())) if names else texts, (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32))
 
 
-def _scorer(model):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def language_of(model, text: Column) -> Column:
+    """struct(lang_pred, score) of a text; model is a broadcast Model."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def score(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
         m = model.value
-        # A few languages' rows are read faster one by one than as a table of narrow rows.
+        # A few languages' columns are read faster one by one than as a table of narrow rows.
         tables = [np.ascontiguousarray(m.log_probability[:, i]) for i in range(len(m.languages))]
-        for batch in batches:
-            names, scores = [], []
-            for text, letters in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not letters or not tables:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
+        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        for i, (one, known) in enumerate(zip(texts.tolist(), letters.tolist(), strict=True)):
+            if known and tables:
                 total = m.prior.copy()
-                for block in features(text):
+                for block in features(one):
                     total += [t[block].sum(dtype=np.float64) for t in tables]
                 best = int(np.argmax(total))
-                names.append(m.languages[best])
-                scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["key", "lang_pred", "score"])
+                names[i], scores[i] = m.languages[best], 1.0 / np.exp(total - total[best]).sum()
+        return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return score
+    return score(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
 
 
 def predict(docs: DataFrame, model: Model, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, lang_pred and score (the posterior probability) of every row."""
-    spark = docs.sparkSession
-    thin = docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return thin.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), "key long, lang_pred string, score double")
+    found = language_of(docs.sparkSession.sparkContext.broadcast(model), F.col(text_col))
+    return docs.select(F.col(key_col).cast("long").alias("key"), found.alias("found")).select("key", "found.lang_pred", "found.score")
 
 
-def held_out(id_col: str = "doc_id") -> F.Column:
+def held_out(id_col: str = "doc_id") -> Column:
     """A third of all ids, by checksum: never learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -145,4 +143,4 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs.where(~held_out()))
     found = predict(docs, model)
-    return found.select(F.col("key").alias("doc_id"), F.coalesce(F.crc32(F.col("key").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select(F.col("key").alias("doc_id"), held_out("key").alias("held_out"), "lang_pred", "score")

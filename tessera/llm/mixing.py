@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,12 +50,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the last column, text as bytes, by its number of words."""
     for batch in batches:
         sizes = [len((raw or b"").split()) for raw in batch.columns[-1].to_pylist()]  # bytes.split() parts at just these six
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64())], names=["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64())], names=["doc_id", "row_key", "source", "size"])
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("binary").alias("raw"))
-    return thin.mapInArrow(_count_words, "doc_id long, source string, size long")
+    """doc_id, row_key (xxhash64 of the text), source and size."""
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("binary").alias("raw"))
+    return thin.mapInArrow(_count_words, "doc_id long, row_key long, source string, size long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = MAX_COPIES) -> DataFrame:
@@ -78,7 +79,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit
     return per.select("source", "docs", "source_size", F.coalesce(F.least("most", F.col("weight") * F.col("level")), F.col("most")).alias("target"))
 
 
-def _rate(size: str = "size") -> F.Column:
+def _rate(size: str = "size") -> Column:
     return F.when(F.col("full"), F.lit(1.0) * F.col("limit")).otherwise(F.least(F.col("limit"), F.exp(F.least(F.lit(50.0), F.col("lam") * F.col(size) / F.col("mean")))))
 
 
@@ -119,7 +120,7 @@ def balance(sizes: DataFrame, targets: DataFrame, limit: float = MAX_COPIES, tol
 
 def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """Whole copies whose words follow the rates' words as closely as they can."""
-    pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="first")
+    pdf = pdf.sort_values(["size", "doc_id", "row_key"], ascending=[False, True, True], kind="stable", na_position="first")
     copies, ahead = np.empty(len(pdf), np.int64), 0.0
     for i, (size, rate, limit) in enumerate(zip(pdf["size"].tolist(), pdf["rate"].tolist(), pdf["limit"].tolist(), strict=True)):
         low = int(min(rate, limit))
@@ -128,19 +129,19 @@ def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
         if abs(up) < abs(ahead) and low + 1 <= limit:
             low, ahead = low + 1, up
         copies[i] = low
-    return pdf[["doc_id", "source", "size"]].assign(copies=copies)
+    return pdf[["doc_id", "row_key", "source", "size"]].assign(copies=copies)
 
 
 def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = MAX_COPIES) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies, from word_counts()."""
+    """doc_id, row_key, source, size, source_size, target and copies, from word_counts()."""
     sizes = materialise(sizes, "words")
     targets = materialise(source_targets(sizes, weights, limit), "targets")
     solved = balance(sizes, targets, limit).select(F.col("source").alias("of"), "mean", "limit", "full", "lam")
     blocks = targets.select("source", F.ceil(F.col("docs") / BLOCK_ROWS).alias("blocks"))
     info = solved.join(blocks, F.col("of").eqNullSafe(F.col("source"))).drop("source")
     rated = sizes.join(info, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", _rate())
-    rated = rated.select("doc_id", "source", "size", "rate", "limit", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
-    copies = rated.groupBy("source", "block").applyInPandas(_round_block, "doc_id long, source string, size long, copies long")
+    rated = rated.select("doc_id", "row_key", "source", "size", "rate", "limit", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
+    copies = rated.groupBy("source", "block").applyInPandas(_round_block, "doc_id long, row_key long, source string, size long, copies long")
     per = targets.select(F.col("source").alias("of"), "source_size", "target")
     return copies.join(per, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
