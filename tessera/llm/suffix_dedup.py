@@ -48,8 +48,8 @@ from tessera.llm.hashing import mix, prefix_hash, _powers
 LENGTH = 50
 GRAM = 25
 RANK_BITS = 44
-SORT_AT_ONCE = 1 << 18
-_CHUNK = 1 << 19
+SORT_AT_ONCE = 1 << 17
+_CHUNK = 1 << 18
 _NULL = -(1 << 63)
 
 
@@ -154,15 +154,18 @@ def sort_by_bucket(data: np.ndarray, at: np.ndarray, count: np.ndarray, rank: np
         low = high
 
 
-def _join_places(text: np.ndarray, place: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the places, the heads of runs of successive ones (with equal `same`), and their lengths."""
+def _ranges(text: np.ndarray, place: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, place, number, ...) of the runs of successive places that agree in what else is given."""
     order = np.lexsort((place, text))
-    t, p = text[order], place[order]
-    new = np.append(True, (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1))
-    for s in same:
-        new[1:] |= s[order][1:] != s[order][:-1]
-    head = np.flatnonzero(new) if len(order) else np.zeros(0, np.int64)
-    return order, head, np.diff(np.append(head, len(order)))
+    columns = [x[order] for x in (text, place, *more)]
+    t, p = columns[:2]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1)
+    for x in columns[2:]:
+        new[1:] |= x[1:] != x[:-1]
+    head = np.flatnonzero(new)
+    number = np.diff(np.append(head, len(t))).astype(np.int32)
+    return t[head], p[head], number, *(x[head] for x in columns[2:])
 
 
 def _send_ranks(owners: int):
@@ -215,21 +218,18 @@ def _send_suffixes(buckets: int):
         np.maximum.at(high, inverse, text)
         wanted = np.flatnonzero((elsewhere | (low != high))[inverse])
         text, at, count, rank = text[wanted], at[wanted], count[wanted], rank[wanted]
+        known = elsewhere[np.searchsorted(distinct, rank)]
         removed, left = [], []
         for run, place, gone in sort_by_bucket(unit.bytes, at, count, rank, unit.doc_ids[text]):
-            removed.append((text[run[gone]], place[gone]))
+            removed.append(_ranges(text[run[gone]], place[gone]))
             # Only where other units have the rank is there more to find out.
-            ask = ~gone & elsewhere[np.searchsorted(distinct, rank[run])]
-            left.append((text[run[ask]], place[ask], rank[run[ask]]))
+            ask = ~gone & known[run]
+            left.append(_ranges(text[run[ask]], place[ask], rank[run[ask]]))
         out = []
         if removed:
-            t, p = (np.concatenate(x) for x in zip(*removed, strict=True))
-            order, head, number = _join_places(t, p)
-            t, p = t[order[head]], p[order[head]]
-            out.append((name % buckets, name, True, _blob(t, p - unit.start[t], number.astype(np.int32))))
-            t, p, r = (np.concatenate(x) for x in zip(*left, strict=True))
-            order, head, number = _join_places(t, p, r)
-            t, p, r = t[order[head]], p[order[head]], r[order[head]]
+            t, p, number = (np.concatenate(x) for x in zip(*removed, strict=True))
+            out.append((name % buckets, name, True, _blob(t, p - unit.start[t], number)))
+            t, p, number, r = (np.concatenate(x) for x in zip(*left, strict=True))
             by = np.argsort(r, kind="stable")
             t, p, r, number = t[by], p[by], r[by], number[by]
             bucket = owner_of(r, RANK_BITS, buckets)
@@ -239,7 +239,7 @@ def _send_suffixes(buckets: int):
                     continue
                 size = number[a:b] + LENGTH - 1
                 byte = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(p[a:b], size)
-                out.append((int(bucket[a]), name, False, _blob(t[a:b], p[a:b] - unit.start[t[a:b]], number[a:b].astype(np.int32), unit.doc_ids[t[a:b]], r[a:b], unit.bytes[byte])))
+                out.append((int(bucket[a]), name, False, _blob(t[a:b], p[a:b] - unit.start[t[a:b]], number[a:b], unit.doc_ids[t[a:b]], r[a:b], unit.bytes[byte])))
         return pd.DataFrame(out, columns=columns)
 
     return send
@@ -259,13 +259,13 @@ def _sort_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         removed = []
         for run, place, gone in sort_by_bucket(data, at, count, rank, doc_id):
             run, place = run[gone], place[gone]
-            removed.append((unit[run], text[run], offset[run] + place - at[run]))
-        u, t, p = (np.concatenate(x) for x in zip(*removed, strict=True))
-        for name in np.unique(u).tolist():
-            own = u == name
-            tt, pp = t[own], p[own]
-            order, head, number = _join_places(tt, pp)
-            out.append((name, _blob(tt[order[head]], pp[order[head]], number.astype(np.int32))))
+            # Texts of all units apart, so that runs of places don't cross them.
+            t, p, number, u = _ranges(text[run] + (unit[run] << 40), offset[run] + place - at[run], unit[run])
+            removed.append((u, t & ((1 << 40) - 1), p, number))
+        u, t, p, number = (np.concatenate(x) for x in zip(*removed, strict=True))
+        order = np.argsort(u, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(u[order])) + 1) if len(order) else ():
+            out.append((int(u[own[0]]), _blob(t[own], p[own], number[own])))
     return pd.DataFrame(out, columns=["unit", "blob"])
 
 
