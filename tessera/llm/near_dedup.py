@@ -5,14 +5,16 @@
    labelled shingles are kept in the order they have in the text (Marcais et
    al., 2019): two texts agree in a sketch when they share these shingles and
    their order, so the sketches follow edit similarity.
-2. Texts that agree in a sketch meet in its bucket.  Each member is paired with
-   the bucket's first one: as many pairs as members, however large the bucket.
+2. Texts that agree in a sketch meet in its bucket, whose first text is its
+   centre.  A text is paired with the least of its buckets' centres, then once
+   with each component that another centre of its lies in: about as many pairs
+   as texts, however large the buckets.
 3. Pairs are verified by aligning their words in a band as wide as a
    similarity of THRESHOLD allows: words in common, in order, over the longer
    text's words.
 4. Verified pairs make components.  Buckets whose members are not in one
    component then are compared member by member, in blocks: pairs that agree
-   in EVIDENCE sketches and lie in different components are verified too.
+   in EVIDENCE sketches and lie in different components are aligned too.
 
 A pair with half of its shingles in common is missed with a probability under
 0.002, one with 0.8 of them under 1e-12; edits so dense that under a third of
@@ -47,7 +49,7 @@ SKETCHES = 48
 TUPLE = 3
 EVIDENCE = 3
 #: Members compared at once in the blockwise step.
-BLOCK = 1000
+BLOCK = 500
 
 _COLUMNS = 1 << 15
 
@@ -181,26 +183,40 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found.filter(pa.array([s >= THRESHOLD for s in alike]))
 
 
+def _bags(words: list[np.ndarray], size: int = 256) -> np.ndarray:
+    """How many words of each text fall to each of `size` hash values."""
+    return np.stack([np.bincount(w & np.uint32(size - 1), minlength=size) for w in words]).astype(np.int32)
+
+
 def _compare_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a bucket in different components that agree in EVIDENCE sketches; each in its least common bucket only."""
-    bucket, i, j = pdf["bucket"].iloc[0], pdf["i"].iloc[0], pdf["j"].iloc[0]
+    """The links between members of a bucket in different components, for two blocks of members.
+
+    Pairs have to agree in EVIDENCE sketches, and their words' hash values in as
+    many places as the threshold needs; these are aligned at once.  A link joins
+    two components for the rest of the block.
+    """
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
     left = pdf[pdf["block"] == i]
     right = left if i == j else pdf[pdf["block"] == j]
-    out_a, out_b = [], []
+    found: list[tuple[int, int, float]] = []
     if len(left) and len(right):
-        ls, rs = np.stack(left["sketch"].to_numpy()), np.stack(right["sketch"].to_numpy())
-        ln, rn, lc, rc = (x.to_numpy() for x in (left["node"], right["node"], left["root"], right["root"]))
-        lw, rw = left["n_words"].to_numpy(), right["n_words"].to_numpy()
+        (ls, lw, ln, lc), (rs, rw, rn, rc) = (
+            (np.stack(x["sketch"].to_numpy()), [np.frombuffer(w, np.uint32) for w in x["words"]], x["node"].to_numpy(), x["root"].to_numpy()) for x in (left, right)
+        )
+        lb, rb = _bags(lw), _bags(rw)
+        lm, rm = lb.sum(axis=1), rb.sum(axis=1)
+        lc, rc = lc.copy(), rc.copy()
         for k in range(len(left)):
-            fit = np.flatnonzero((rc != lc[k]) & (np.minimum(rw, lw[k]) >= THRESHOLD * np.maximum(rw, lw[k])) & ((rn > ln[k]) if i == j else True))
-            if not len(fit):
-                continue
-            same = rs[fit] == ls[k]
-            fit, same = fit[enough := same.sum(axis=1) >= EVIDENCE], same[enough]
-            first = np.where(same, ls[k], np.iinfo(np.int64).max).min(axis=1) == bucket
-            out_a += [ln[k]] * int(first.sum())
-            out_b += rn[fit[first]].tolist()
-    return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+            need = THRESHOLD * np.maximum(rm, lm[k])
+            fit = np.flatnonzero((rc != lc[k]) & (np.minimum(rm, lm[k]) >= need) & ((rn > ln[k]) if i == j else True))
+            fit = fit[(rs[fit] == ls[k]).sum(axis=1) >= EVIDENCE]
+            fit = fit[np.minimum(rb[fit], lb[k]).sum(axis=1) >= need[fit]]
+            for m in fit.tolist():
+                if rc[m] != lc[k] and (alike := similarity(lw[k], rw[m])) >= THRESHOLD:
+                    found.append((int(ln[k]), int(rn[m]), alike))
+                    old, new = rc[m], lc[k]
+                    lc[lc == old], rc[rc == old] = new, new
+    return pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,20 +230,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = texts.select("node", F.explode("sketch").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
     buckets = materialise(member.join(shared, "bucket"), "buckets")
-    star = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(star, texts, thin)
-    if links is None:
-        roots = None
-    else:
-        roots = materialise(components(links), "roots")
-        placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # One pair a node first: with the least centre of all its buckets.
+    first = buckets.where("node <> centre").groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b"))
+    links = _verified(first, texts, thin)
+    roots = _roots(links)
+    if links is not None:
+        # Then with the centres in other components, once for each of these.
+        placed = _placed(buckets, roots)
+        centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("other"))
+        apart = placed.join(centre, "centre", "left").withColumn("other", F.coalesce("other", "centre")).where("root <> other")
+        links, roots = _add(links, roots, apart.groupBy("node", "other").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b")), texts, thin)
+        # What then still is in buckets of several components, member by member.
+        placed = _placed(buckets, roots)
         split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
         left = placed.join(split, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        left = left.join(texts.select("node", "n_words", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n_words", "sketch")
-        more = _verified(left.groupBy("bucket", "i", "j").applyInPandas(_compare_block, "a long, b long"), texts, thin)
-        if more is not None:
-            roots = materialise(components(links.unionByName(more)), "roots")
+        left = materialise(left.select("bucket", "node", "root", "blocks", "block"), "split")
+        if not left.isEmpty():
+            words = _words_of(left.select("node").distinct(), texts, thin)
+            left = left.join(texts.select("node", "sketch"), "node").join(words, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "sketch", "words")
+            more = materialise(left.groupBy("bucket", "i", "j").applyInPandas(_compare_block, "a long, b long, similarity double"), "links")
+            roots = _roots(links.unionByName(more))
 
     node_of = texts.select("content", "node")
     if roots is not None:
@@ -238,16 +261,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return member.select("doc_id", "row_key", "n_words", F.col("keep.doc_id").alias("class_id"), "class_size", (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("row_key") == F.col("keep.row_key"))).alias("kept"))
 
 
+def _roots(links: DataFrame | None) -> DataFrame | None:
+    return None if links is None else materialise(components(links), "roots")
+
+
+def _placed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    return buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _add(links: DataFrame, roots: DataFrame, pairs: DataFrame, texts: DataFrame, thin: DataFrame) -> tuple[DataFrame, DataFrame]:
+    more = _verified(pairs, texts, thin)
+    if more is None:
+        return links, roots
+    links = links.unionByName(more)
+    return links, _roots(links)
+
+
+def _words_of(nodes: DataFrame, texts: DataFrame, thin: DataFrame) -> DataFrame:
+    """(node, words) of the nodes given, from a second reading of their texts."""
+    wanted = materialise(texts.join(nodes, "node").select("node", "content", F.col("of").alias("wanted")), "wanted")
+    ids = broadcast_if_small(wanted.select("wanted").distinct(), 16)
+    words = thin.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(_words, "content binary, words binary")
+    return materialise(words.join(wanted, "content").groupBy("node").agg(F.first("words").alias("words")), "words")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, thin: DataFrame) -> DataFrame | None:
     """The pairs (a, b) that alignment confirms, written down; None where there are none."""
     pairs = materialise(pairs, "pairs")
     if pairs.isEmpty():
         return None
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(texts.join(nodes, "node").select("node", "content", F.col("of").alias("wanted")), "wanted")
-    ids = broadcast_if_small(wanted.select("wanted").distinct(), 16)
-    words = thin.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(_words, "content binary, words binary")
-    words = materialise(words.join(wanted, "content").groupBy("node").agg(F.first("words").alias("words")), "words")
+    words = _words_of(nodes, texts, thin)
     both = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
     return materialise(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, similarity double"), "links")
 
