@@ -43,7 +43,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 TOLERANCE = 1e-6
 MAX_STEPS = 80
 #: Rows in a block whose rounding errors are carried on, about.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
