@@ -48,6 +48,8 @@ from tessera.llm.hashing import mix, prefix_hash, _powers
 LENGTH = 50
 GRAM = 25
 RANK_BITS = 44
+#: Units for each shuffle partition; a task has one of them in memory at a time.
+UNITS = 4
 SORT_AT_ONCE = 1 << 17
 _CHUNK = 1 << 18
 _NULL = -(1 << 63)
@@ -310,7 +312,8 @@ def _digest(texts: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
 
 
 def _planned(docs: DataFrame, last, schema: str, id_col: str, text_col: str) -> DataFrame:
-    units = shuffle_partitions(docs.sparkSession)
+    buckets = shuffle_partitions(docs.sparkSession)
+    units = UNITS * buckets
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"), F.xxhash64(raw).alias("key"))
     # Copies share a unit, unless they would fill it: such texts are spread, and there are 2 x units of them at most.
@@ -318,10 +321,10 @@ def _planned(docs: DataFrame, last, schema: str, id_col: str, text_col: str) ->
     total = heavy.agg(F.sum("size")).first()[0] or 0
     spread = [r["key"] for r in heavy.where(F.col("size") > total / (2 * units)).select("key").collect()]
     salt = F.when(F.col("key").isin(spread), F.pmod(F.xxhash64("doc_id"), F.lit(units))).otherwise(F.lit(0).cast("long")) if spread else F.lit(0).cast("long")
-    dealt = thin.select(F.pmod(F.pmod("key", F.lit(units)) + salt, F.lit(units)).cast("int").alias("unit"), "doc_id", "raw").repartition(units, "unit")
-    ranks = dealt.groupBy("unit").applyInPandas(_send_ranks(units), "unit int, owner long, blob binary")
+    dealt = thin.select(F.pmod(F.pmod("key", F.lit(units)) + salt, F.lit(units)).cast("int").alias("unit"), "doc_id", "raw").repartition(buckets, "unit")
+    ranks = dealt.groupBy("unit").applyInPandas(_send_ranks(buckets), "unit int, owner long, blob binary")
     answers = ranks.groupBy("owner").applyInPandas(_answer, "unit int, owner long, bits binary")
-    suffixes = dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(_send_suffixes(units), "bucket long, unit int, settled boolean, blob binary")
+    suffixes = dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(_send_suffixes(buckets), "bucket long, unit int, settled boolean, blob binary")
     ranges = suffixes.groupBy("bucket").applyInPandas(_sort_bucket, "unit int, blob binary")
     return dealt.groupBy("unit").cogroup(ranges.groupBy("unit")).applyInPandas(last, schema)
 
