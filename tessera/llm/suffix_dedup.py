@@ -50,7 +50,7 @@ GRAM = 25
 RANK_BITS = 44
 #: Units for each shuffle partition; a task has one of them in memory at a time.
 UNITS = 4
-SORT_AT_ONCE = 1 << 17
+SORT_AT_ONCE = 1 << 16
 _CHUNK = 1 << 18
 _NULL = -(1 << 63)
 
@@ -113,12 +113,24 @@ def sample_ranks(part: np.ndarray) -> np.ndarray:
     return least
 
 
+def _words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The LENGTH bytes at each place as big-endian words, the last filled up with zeros."""
+    padded = np.zeros((len(at), -(-LENGTH // 8) * 8), np.uint8)
+    padded[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]
+    return padded.view(">u8").astype(np.uint64)
+
+
+def _hash_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    words = _words_at(data, at)
+    out = words[:, 0].copy()
+    for k in range(1, words.shape[1]):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[:, k]
+    return mix(out)
+
+
 def sort_suffixes(data: np.ndarray, at: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
     """Which of the LENGTH-byte strings at these places also occur under a smaller id."""
-    view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]
-    padded = np.zeros((len(at), -(-LENGTH // 8) * 8), np.uint8)
-    padded[:, :LENGTH] = view
-    words = padded.view(">u8").astype(np.uint64)
+    words = _words_at(data, at)
     rest = words[:, 1].copy()
     for k in range(2, words.shape[1]):
         rest = rest * np.uint64(0x9E3779B97F4A7C15) + words[:, k]
@@ -152,8 +164,16 @@ def sort_by_bucket(data: np.ndarray, at: np.ndarray, count: np.ndarray, rank: np
         own = order[low:high]
         run = np.repeat(own, count[own])
         place = np.arange(len(run)) - np.repeat(np.cumsum(count[own]) - count[own], count[own]) + at[run]
-        yield run, place, sort_suffixes(data, place, doc_id[run])
         low = high
+        if len(run) <= 2 * SORT_AT_ONCE:
+            yield run, place, sort_suffixes(data, place, doc_id[run])
+            continue
+        # One rank alone is that frequent: its suffixes are parted by a hash of all their bytes.
+        parts = -(-len(run) // SORT_AT_ONCE)
+        part = np.concatenate([(_hash_at(data, place[i : i + SORT_AT_ONCE]) % np.uint64(parts)).astype(np.int32) for i in range(0, len(run), SORT_AT_ONCE)])
+        for k in range(parts):
+            pick = np.flatnonzero(part == k)
+            yield run[pick], place[pick], sort_suffixes(data, place[pick], doc_id[run[pick]])
 
 
 def _ranges(text: np.ndarray, place: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
