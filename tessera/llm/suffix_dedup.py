@@ -50,6 +50,8 @@ GRAM = 25
 RANK_BITS = 44
 #: Units for each shuffle partition; a task has one of them in memory at a time.
 UNITS = 4
+#: Suffix buckets for each shuffle partition; a task sorts one of them at a time.
+BUCKETS = 8
 SORT_AT_ONCE = 1 << 16
 _CHUNK = 1 << 18
 _NULL = -(1 << 63)
@@ -220,7 +222,7 @@ _SUFFIXES = ("<i8", "<i8", "<i4", "<i8", "<u8", "u1")  # text, place in it, numb
 _RANGES = ("<i8", "<i8", "<i4")  # text, place in it, number
 
 
-def _send_suffixes(buckets: int):
+def _send_suffixes(owners: int, buckets: int):
     def send(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         columns = ["bucket", "unit", "settled", "blob"]
         if not len(texts):
@@ -230,7 +232,7 @@ def _send_suffixes(buckets: int):
         if not len(text):
             return pd.DataFrame(columns=columns)
         distinct, inverse = np.unique(rank, return_inverse=True)
-        owner = owner_of(distinct, RANK_BITS, buckets)
+        owner = owner_of(distinct, RANK_BITS, owners)
         elsewhere = np.zeros(len(distinct), bool)
         for o, bits in zip(answers["owner"].tolist(), answers["bits"].tolist(), strict=True):
             a, b = np.searchsorted(owner, [o, o + 1])
@@ -344,7 +346,7 @@ def _planned(docs: DataFrame, last, schema: str, id_col: str, text_col: str) ->
     dealt = thin.select(F.pmod(F.pmod("key", F.lit(units)) + salt, F.lit(units)).cast("int").alias("unit"), "doc_id", "raw").repartition(buckets, "unit")
     ranks = dealt.groupBy("unit").applyInPandas(_send_ranks(buckets), "unit int, owner long, blob binary")
     answers = ranks.groupBy("owner").applyInPandas(_answer, "unit int, owner long, bits binary")
-    suffixes = dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(_send_suffixes(buckets), "bucket long, unit int, settled boolean, blob binary")
+    suffixes = dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(_send_suffixes(buckets, BUCKETS * buckets), "bucket long, unit int, settled boolean, blob binary")
     ranges = suffixes.groupBy("bucket").applyInPandas(_sort_bucket, "unit int, blob binary")
     return dealt.groupBy("unit").cogroup(ranges.groupBy("unit")).applyInPandas(last, schema)
 
