@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import html_text as html_to_text
 from tessera.functions.text import words
-from tessera.operators import chat, chunks, copies, evaluation, intervals, search
+from tessera.operators import chat, checks, chunks, copies, evaluation, intervals, quotes, search, segments
 from tessera.sources import table
-from tessera.streaming import stream_run_stats
+from tessera.streaming import stream_hourly, stream_run_stats
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -437,3 +437,90 @@ def decision_ladder(spark: SparkSession, sf: str) -> DataFrame:
     met = table(spark, sf, "benchmark").select(F.col("item_id").alias("query")).join(top, "query", "left").join(table(spark, sf, "labels"), "doc_id", "left")
     ladder = F.when(F.col("best").isNull(), "not_found").when(F.col("toxic") == 1, "refer").when(F.col("best") < 20, "low_confidence").when(F.col("quality") == 0, "weak").otherwise("ok")
     return met.select("query", F.coalesce("best", F.lit(0.0)).alias("best"), ladder.alias("outcome"))
+
+
+@query("""WITH s AS (SELECT sum(valued)::BIGINT AS valued FROM (SELECT count(value) AS valued FROM events))
+SELECT event_type, try_cast(json_extract_string(props, '$.k') AS INT) % 10 AS bucket, count(*) AS n, round(count(*) / max(s.valued), 6) AS share FROM events, s GROUP BY ALL""")
+def json_field(spark: SparkSession, sf: str) -> DataFrame:
+    """A field of a JSON column, counted by its last digit, as a share of all rows with a value."""
+    events = table(spark, sf, "events")
+    valued = events.agg(F.count("value").alias("valued"))
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    counted = events.groupBy("event_type", (k % 10).alias("bucket")).agg(F.count("*").alias("n"))
+    return counted.crossJoin(F.broadcast(valued)).select("event_type", "bucket", "n", F.round(F.col("n") / F.col("valued"), 6).alias("share"))
+
+
+query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")(stream_hourly)
+
+
+@query(f"""WITH {_SCORED}, r AS (SELECT t::INT AS t,
+  round(sum((truth AND floor(score * 100) < t)::INT) / sum(truth::INT), 6) AS a, round(sum((NOT truth AND floor(score * 100) < t)::INT) / sum((NOT truth)::INT), 6) AS u
+  FROM sc, range(10, 100, 5) g(t) GROUP BY t)
+SELECT t, round((1 - a + u) / 2, 6) AS balanced, a AS answerable_abstained FROM r ORDER BY balanced DESC, abs(a - 0.05), t LIMIT 1""")
+def threshold_pick(spark: SparkSession, sf: str) -> DataFrame:
+    """The threshold with the best balance; of equals the one nearest to 5 % of answerable rows below it, then the lowest."""
+    best = F.struct(-F.col("balanced"), F.abs(F.col("answerable_abstained") - 0.05), F.col("t"))
+    return threshold_sweep(spark, sf).agg(F.min_by(F.struct("t", "balanced", "answerable_abstained"), best).alias("b")).select("b.*")
+
+
+# --- segments, drafts and quotations ---
+
+
+@query("""WITH s AS (SELECT conv_id, turn, text, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM conversations)
+SELECT conv_id, segment::BIGINT AS segment, min(turn) AS first, max(turn) AS last, count(*) AS n, arg_min(text, turn) AS heading FROM s GROUP BY conv_id, segment""")
+def chat_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return segments.headed_segments(table(spark, sf, "conversations"), "conv_id", "turn", F.col("role") == "user", "text")
+
+
+@query("""WITH o AS (SELECT user_id, event_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR, true) AS opens FROM events),
+s AS (SELECT user_id, ts, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS segment FROM o)
+SELECT user_id, segment::BIGINT AS segment, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, segment""")
+def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return segments.gap_segments(table(spark, sf, "events"), "user_id", "ts", "event_id", "6 hours")
+
+
+@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n[ \t\r\n]*\n'), lambda x: regexp_replace(x, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), lambda x: x <> '') AS parts FROM documents)
+SELECT doc_id, i::INT AS pos, parts[i] AS body FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM p)""")
+def paragraph_split(spark: SparkSession, sf: str) -> DataFrame:
+    return segments.paragraphs(table(spark, sf, "documents"))
+
+
+_OFFERS = {"en": "See the sources.", "de": "Siehe die Quellen.", "fr": "Voir les sources."}
+
+
+@query("""SELECT doc_id, CASE lang WHEN 'de' THEN 'Siehe die Quellen.' WHEN 'fr' THEN 'Voir les sources.' ELSE 'See the sources.' END AS value, coalesce(lang IN ('en', 'de', 'fr'), false) AS exact FROM documents""")
+def template_pick(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", checks.pick(_OFFERS, F.col("lang")).alias("p")).select("doc_id", "p.*")
+
+
+@query(r"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN regexp_replace(t, '[ \t\r\n]', '', 'g') = '' THEN 'empty' END, CASE WHEN length(t) > 4000 THEN 'long' END,
+  CASE WHEN regexp_matches(t, '\[\[[^\]]*\]\]') THEN 'placeholder' END, CASE WHEN regexp_matches(t, '(^|[^a-z0-9])[qh]:[0-9]+:[0-9]+') THEN 'raw_id' END,
+  CASE WHEN regexp_matches(t, '[a-zà-ÿ][ء-ي]|[ء-ي][a-zà-ÿ]') THEN 'glued_scripts' END,
+  CASE WHEN contains(t, 'for sure') OR contains(t, 'the and') OR contains(t, 'of the') OR contains(t, 'to be') OR contains(t, 'in the') THEN 'boilerplate' END) AS issues FROM d""")
+def draft_issues(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", checks.draft_issues(F.col("text"), list(_PHRASES)).alias("issues"))
+
+
+@query(f"""WITH {_BM25}, {_RUNS.strip()}, pin AS (SELECT DISTINCT item_id AS query, doc_id AS doc FROM m)
+SELECT query, doc, score, false AS pinned FROM bm UNION ALL SELECT query, doc, 1.0::DOUBLE, true FROM pin ANTI JOIN bm USING (query, doc)""")
+def merge_pinned(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a copied run go into the list of the text that they copy, ranked by words or not."""
+    pinned = copy_run8(spark, sf).select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"))
+    return checks.merge_pinned(_bm25(spark, sf), pinned)
+
+
+@query(r"""WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '﴿([^﴾]+)﴾', 1) AS b, regexp_replace(regexp_replace(coalesce(text, ''), '﴿[^﴾]+﴾', ' ', 'g'), '\[[^\]]{1,40}\]', ' ', 'g') AS rest FROM documents),
+q AS (SELECT doc_id, rest, list_concat(b, list_transform(regexp_extract_all(rest, '«[^»]+»|"[^"]+"|“[^”]+”|\([^)]{12,}\)'), lambda x: substr(x, 2, length(x) - 2))) AS quoted FROM c),
+s AS (SELECT doc_id, CASE WHEN len(quoted) > 0 THEN quoted ELSE regexp_split_to_array(rest, '[.!?؟،,\n:؛]+') END AS s FROM q),
+r AS (SELECT doc_id, (i - 1)::INT AS pos, trim(regexp_replace(s[i], '\[[^\]]{1,40}\]', ' ', 'g')) AS span FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s))
+SELECT * FROM r WHERE length(regexp_replace(lower(span), '[^a-zà-ÿء-ي]', '', 'g')) >= 12""")
+def quote_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return quotes.quote_spans(table(spark, sf, "documents"))
+
+
+@query()
+def quote_match(spark: SparkSession, sf: str) -> DataFrame:
+    """What documents quote from the protected texts' sentences, exactly or not: doc_id, book, start, length, pos, similarity, is_exact."""
+    store = table(spark, sf, "benchmark").select(F.col("item_id").alias("book"), F.posexplode(quotes.sentences(F.col("text"))).alias("n", "body")).withColumn("n", F.col("n").cast("long"))
+    return quotes.match_quotes(quote_spans(spark, sf), store)

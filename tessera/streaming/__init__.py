@@ -1,21 +1,36 @@
-"""Run-log statistics as a stream: the same aggregation over a growing folder."""
+"""Run-log statistics as streams: the batch aggregations over a growing folder."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators.evaluation import run_stats
 from tessera.sources import shared_folder, table
 
 
-def stream_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Read events as a stream until all that is there is read; the state is one row per event type."""
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1000).parquet(sf_dir)
-    name = f"run_stats_{uuid.uuid4().hex}"
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1000).parquet(sf_dir)
+
+
+def _drain(result: DataFrame, label: str) -> DataFrame:
+    """Run a stream until all that is there is read; its result is a table in memory."""
+    spark, name = result.sparkSession, f"{label}_{uuid.uuid4().hex}"
     checkpoint = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}"
-    query = run_stats(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = result.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
+
+
+def stream_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state is one row per event type."""
+    return _drain(run_stats(_events(spark, sf_dir)), "run_stats")
+
+
+def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by tumbling hour and type; the state is one row for each."""
+    counted = _events(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return _drain(counted.select(F.col("w.start").alias("hour"), "event_type", "n"), "hourly")
