@@ -84,29 +84,36 @@ def _places(text: str) -> dict[str, int]:
     return found
 
 
-def similarity(quote: str, text: str, places: dict[str, int] | None = None) -> float:
+def _common(places: dict[str, int], size: int, text: str) -> int:
+    """The length of the longest common subsequence, counted in the bits of one integer (Hyyrö, 2004)."""
+    full = (1 << size) - 1
+    left, at = full, places.get
+    for c in text:
+        met = left & at(c, 0)
+        if met:
+            left = ((left + met) | (left - met)) & full
+    return size - left.bit_count()
+
+
+def similarity(quote: str, text: str, places: dict[str, int] | None = None, least: float = 0.0) -> float:
     """Twice the longest common subsequence over both lengths, for the part of text that is as long as quote and most like it.
 
-    Parts begin with a word, or end with the text.  The subsequence is counted
-    in the bits of one integer (Hyyrö, 2004).
+    Parts begin with a word, or end with the text.  A part has no longer a
+    subsequence in common than the whole text, so where even that makes less
+    than `least` the parts are not tried, and 0 is returned.
     """
     if quote in text:
         return 1.0
     places = _places(quote) if places is None else places
     size = len(quote)
-    full = (1 << size) - 1
-    starts = {0}
-    if len(text) > size:
-        starts |= {i + 1 for i, c in enumerate(text[:-size]) if c == " "} | {len(text) - size}
-    best = 0.0
-    for start in starts:
-        part = text[start : start + size].strip()
-        open_bits = full
-        for c in part:
-            met = open_bits & places.get(c, 0)
-            open_bits = ((open_bits + met) | (open_bits - met)) & full
-        best = max(best, 2 * (size - open_bits.bit_count()) / (size + len(part)))
-    return best
+    whole = _common(places, size, text)
+    if len(text) <= size:
+        return 2 * whole / (size + len(text))
+    if 2 * whole / (size + whole) < least:
+        return 0.0
+    starts = {0, len(text) - size} | {i + 1 for i, c in enumerate(text[:-size]) if c == " "}
+    parts = {text[start : start + size].strip() for start in starts}
+    return max(2 * _common(places, size, part) / (size + len(part)) for part in parts)
 
 
 def best_run(quote: str, n: int, body: dict[int, str]) -> tuple[float, int, int]:
@@ -119,7 +126,7 @@ def best_run(quote: str, n: int, body: dict[int, str]) -> tuple[float, int, int]
     # At the end of a book a run can only grow towards its beginning.
     runs = [(length, start) for length in range(1, longest + 1) for start in range(n - length + 1, n + 1) if all(i in body for i in range(start, start + length))]
     places = _places(quote)
-    score, length, start = max((round(similarity(quote, " ".join(body[i] for i in range(s, s + k)), places), 9), -k, -s) for k, s in runs)
+    score, length, start = max((round(similarity(quote, " ".join(body[i] for i in range(s, s + k)), places, LEAST_SIMILARITY), 9), -k, -s) for k, s in runs)
     return score, -start, -length
 
 
