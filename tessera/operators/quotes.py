@@ -148,6 +148,8 @@ def match_quotes(spans: DataFrame, store: DataFrame, key: str = "doc_id") -> Dat
     near = candidates(asked.select("quote").distinct(), store)
     reach = MOST_PASSAGES - 1
     around = near.withColumn("at", F.explode(F.sequence(F.col("n") - reach, F.col("n") + reach))).join(store.select("book", F.col("n").alias("at"), "body"), ["book", "at"])
+    # These rows are few bytes but much work, so their partitions must not be joined into a few large ones.
+    around = around.repartition(int(store.sparkSession.conf.get("spark.sql.shuffle.partitions")), "quote")
     runs = around.groupBy("quote", "book", "n").agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("a"))
     scored = runs.select("quote", "book", _closest("quote", "n", F.col("a.at"), F.col("a.body")).alias("m"))
     best = scored.where(F.col("m.score") >= LEAST_SIMILARITY).groupBy("quote").agg(F.min(F.struct((-F.col("m.score")).alias("worse"), F.col("m.length").alias("length"), "book", F.col("m.start").alias("start"))).alias("b"))
