@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Largest side that is ever broadcast, in bytes, as measured before doing so.
 BROADCAST_LIMIT = 64 * 1024 * 1024
+#: In a salted join a part of one key's rows is about one in so many of all rows, and PART_ROWS at least.
+PARTS = 1000
+PART_ROWS = 200
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,3 +47,24 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Broadcast df when its counted rows fit into limit; else leave the join to shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, spread: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """rows joined to groups, which has one row a key at most, though one key may hold any part of rows.
+
+    Keys with over one in PARTS of the rows are fewer than PARTS, so this list may
+    be broadcast.  Their rows are dealt to parts by a hash of `spread`, and their
+    groups repeated once a part, which makes 2 * PARTS rows more at most.
+    counts (key, n) may tell how many rows a key has; how is inner or left.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.select(key, "n")
+    counts = materialise(counts.where(f"n > {PART_ROWS}"), "counts")
+    held = rows.count() // PARTS if not counts.isEmpty() else 0
+    hot = counts.where(F.col("n") > held).select(key, F.ceil(F.col("n") / max(held, PART_ROWS)).cast("int").alias("__parts"))
+    if hot.isEmpty():
+        return rows.join(groups, key, how)
+    hot = materialise(hot, "hot")
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts")).cast("int"), F.lit(0))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__parts")
+    right = groups.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [key, "__salt"], how).drop("__salt")

@@ -7,7 +7,8 @@
    bitmap of the fingerprints that others have as well.
 3. Only the suspects' texts are read again, brought together and compared
    byte by byte.  Equal texts are combined before that shuffle, so a text
-   that a third of all rows hold crosses it once a partition.
+   that a third of all rows hold crosses it once a partition.  What was found
+   of a text goes back to its rows by a join in which such texts are split.
 
 Defined results: a null text counts as the empty text, which is a text like
 any other; equal rows (same id too) are copies of which one stays; a null
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, documents, materialise, shuffle_partitions
+from tessera.llm.common import broadcast_if_small, documents, materialise, salted_join, shuffle_partitions
 from tessera.llm.golomb import owner_of, pack_by_owner, repeated_bitmaps
 
 #: Deleted before texts are compared.
@@ -124,7 +125,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = best.join(equal, "sha").select(
         "sha", F.col("b.id").alias("keep_id"), F.col("b.best").alias("best"), F.when(F.col("n") == F.col("group_size"), F.col("n")).otherwise(F.raise_error(F.lit("two texts share a SHA-256"))).alias("group_size")
     )
-    met = suspects.join(groups, "sha").select("rid", "doc_id", "n_chars", "row_key", "keep_id", "group_size", (F.col("rid") == F.col("best")).alias("kept"), "sha")
+    groups = materialise(groups, "groups")
+    met = salted_join(suspects, groups, "sha", "rid", groups.withColumnRenamed("group_size", "n")).select("rid", "doc_id", "n_chars", "row_key", "keep_id", "group_size", (F.col("rid") == F.col("best")).alias("kept"), "sha")
     return alone.unionByName(met).select("rid", "doc_id", "n_chars", "row_key", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
