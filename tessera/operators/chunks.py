@@ -14,7 +14,7 @@ def chunk_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     One fold over a document's own lines; chunks under LEAST characters are dropped
     and the rest numbered.  A line longer than SIZE is a chunk of its own.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     start = F.expr("named_struct('done', cast(array() as array<string>), 'open', cast('' as string))")
 
     def add(state, line):
