@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import html_text as html_to_text
 from tessera.functions.text import words
-from tessera.operators import chat, checks, chunks, copies, evaluation, intervals, quotes, search, segments
+from tessera.operators import chat, checks, chunks, copies, evaluation, intervals, labels, quotes, search, segments
 from tessera.sources import table
 from tessera.streaming import stream_hourly, stream_run_stats
 
@@ -286,7 +286,17 @@ def id_expectations(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: {'done': []::VARCHAR[], 'open': x}) AS lines FROM documents),
+f AS (SELECT doc_id, list_reduce(lines, lambda s, e: {
+  'done': CASE WHEN s.open <> '' AND length(s.open) + 1 + length(e.open) <= 1800
+    THEN CASE WHEN length(s.open) + 1 + length(e.open) >= 1260 THEN list_append(s.done, s.open || chr(10) || e.open) ELSE s.done END
+    ELSE list_concat(s.done, list_filter([s.open, CASE WHEN length(e.open) >= 1260 THEN e.open ELSE '' END], lambda x: x <> '')) END,
+  'open': CASE WHEN s.open <> '' AND length(s.open) + 1 + length(e.open) <= 1800
+    THEN CASE WHEN length(s.open) + 1 + length(e.open) >= 1260 THEN '' ELSE s.open || chr(10) || e.open END
+    ELSE CASE WHEN length(e.open) >= 1260 THEN '' ELSE e.open END END}, {'done': []::VARCHAR[], 'open': ''}) AS s FROM l),
+c AS (SELECT doc_id, list_filter(list_append(s.done, s.open), lambda x: length(x) >= 80) AS c FROM f),
+r AS (SELECT doc_id, i::INT AS chunk, c[i] AS body FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM c))
+SELECT doc_id, chunk, len(string_split(body, chr(10)))::INT AS n_lines, length(body)::INT AS chars, body FROM r""")
 def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.chunk_lines(table(spark, sf, "documents"))
 
@@ -524,3 +534,35 @@ def quote_match(spark: SparkSession, sf: str) -> DataFrame:
     """What documents quote from the protected texts' sentences, exactly or not: doc_id, book, start, length, pos, similarity, is_exact."""
     store = table(spark, sf, "benchmark").select(F.col("item_id").alias("book"), F.posexplode(quotes.sentences(F.col("text"))).alias("n", "body")).withColumn("n", F.col("n").cast("long"))
     return quotes.match_quotes(quote_spans(spark, sf), store)
+
+
+@query(r"""WITH c AS (SELECT doc_id, length(regexp_replace(t, '[^ء-ي]', '', 'g')) AS a, length(regexp_replace(t, '[^a-zà-ÿ]', '', 'g')) AS l FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents))
+SELECT doc_id, CASE WHEN a >= 3 AND a > l THEN 'arabic' WHEN l > 0 THEN 'latin' ELSE 'none' END AS script FROM c""")
+def text_script(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", labels.script(F.col("text")).alias("script"))
+
+
+@query(r"""WITH h AS (SELECT doc_id, coalesce(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS h FROM documents)
+SELECT doc_id, CASE WHEN length(h) > 140 THEN substr(h, 1, 139) || '…' ELSE h END AS heading FROM h""")
+def text_heading(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", labels.heading(F.col("text")).alias("heading"))
+
+
+@query("SELECT alias, min(c_custkey) AS c_custkey FROM (SELECT c_custkey, string_split(lower(trim(c_name)), ' ')[-1] AS alias FROM customer) GROUP BY alias HAVING count(*) = 1")
+def unique_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.unique_aliases(table(spark, sf, "customer"), "c_custkey", "c_name")
+
+
+_PAIRS_SQL = "SELECT {0}, unnest(list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM (SELECT {0}, list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ0-9]+'), lambda x: length(x) > 1) AS w FROM {1})"
+
+
+@query(f"""WITH t AS (SELECT term, count(*) AS priority FROM ({_PAIRS_SQL.format('item_id', 'benchmark')}) GROUP BY term),
+r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY priority, term) AS rank FROM ({_PAIRS_SQL.format('doc_id', 'documents')}) JOIN t USING (term))
+SELECT doc_id, term, rank::INT AS rank FROM r WHERE rank <= 15""")
+def terms_in(spark: SparkSession, sf: str) -> DataFrame:
+    """The rarest word pairs of the protected texts that a document has."""
+    w = words(F.col("text"))
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    pairs = F.array_distinct(F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+    terms = table(spark, sf, "benchmark").select(F.explode(pairs).alias("term")).groupBy("term").agg(F.count("*").alias("priority"))
+    return labels.terms_in(table(spark, sf, "documents"), terms)

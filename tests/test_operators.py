@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.functions.text import norm, stem, strip_diacritics, words
-from tessera.operators import chat, chunks, evaluation, intervals, search
+from tessera.operators import chat, chunks, evaluation, intervals, labels, search
 
 
 def _one(spark, text, f):
@@ -55,11 +55,21 @@ def test_reply_language_falls_back(spark):
 
 def test_chunks(spark):
     text = "\n".join(["x" * 500] * 5 + ["y" * 10])
-    got = chunks.chunk_lines(spark.createDataFrame([(1, text), (2, None), (3, "z" * 3000)], "doc_id int, text string")).orderBy("doc_id", "chunk").collect()
-    assert [(r["doc_id"], r["chunk"], r["n_lines"], r["chars"]) for r in got] == [(1, 1, 3, 1502), (1, 2, 3, 1012), (3, 1, 1, 3000)]
+    got = chunks.chunk_lines(spark.createDataFrame([(1, text), (2, None), (3, "z" * 3000), (4, "  0" + "a" * 90 + " \n10" + "b" * 90 + "1")], "doc_id int, text string")).orderBy("doc_id", "chunk").collect()
+    assert [(r["doc_id"], r["chunk"], r["n_lines"], r["chars"]) for r in got] == [(1, 1, 3, 1502), (1, 2, 3, 1012), (3, 1, 1, 3000), (4, 1, 2, 185)]
 
 
 def test_discrete_quantiles(spark):
     rows = spark.createDataFrame([("a", float(i)) for i in range(1, 6)] + [("b", 7.0)], "g string, v double")
     assert {r["g"]: r["value"] for r in evaluation.p90(rows, "g", "v").collect()} == {"a": 4.0, "b": 7.0}
     assert {r["g"]: r["value"] for r in evaluation.upper_median(rows, "g", "v").collect()} == {"a": 3.0, "b": 7.0}
+
+
+def test_labels(spark):
+    assert [_one(spark, t, labels.script) for t in ("كتاب a", "كت", "a كتاب bcde", "12", None)] == ["arabic", "none", "latin", "none", "none"]
+    assert [_one(spark, t, labels.heading) for t in (" \n a \nb", None, "x" * 141)] == ["a", "", "x" * 139 + "…"]
+    names = spark.createDataFrame([(1, "Al Baqara"), (2, "An Nisa"), (3, "al nisa")], "k int, n string")
+    assert [tuple(r) for r in labels.unique_aliases(names, "k", "n").collect()] == [("baqara", 1)]
+    texts = spark.createDataFrame([(1, "the red cat, the red cat"), (2, None), (3, "cat")], "doc_id int, text string")
+    terms = spark.createDataFrame([("red cat", 2), ("the red", 1), ("cat the", 2)], "term string, priority int")
+    assert sorted(map(tuple, labels.terms_in(texts, terms).collect())) == [(1, "cat the", 2), (1, "red cat", 3), (1, "the red", 1)]
