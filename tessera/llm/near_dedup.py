@@ -4,7 +4,11 @@
    has occurred before.  For each of SKETCHES hash functions the TUPLE smallest
    labelled shingles are kept in the order they have in the text (Marcais et
    al., 2019): two texts agree in a sketch when they share these shingles and
-   their order, so the sketches follow edit similarity.
+   their order, so the sketches follow edit similarity.  CLOSE_SKETCHES more
+   are of pairs of 3-word shingles, which scattered edits leave standing; texts
+   of SHORT words at most have as many of pairs of 2-word shingles, and those
+   of TINY words at most a key for each way to leave out words that THRESHOLD
+   allows: two of these that are alike always agree in one.
 2. Texts that agree in a sketch meet in its bucket, whose first text is its
    centre.  A text is paired with the least of its buckets' centres, then once
    with each component that another centre of its lies in: about as many pairs
@@ -13,12 +17,11 @@
    similarity of THRESHOLD allows: words in common, in order, over the longer
    text's words.
 4. Verified pairs make components.  Buckets whose members are not in one
-   component then are compared member by member, in blocks: pairs that agree
-   in EVIDENCE sketches and lie in different components are aligned too.
+   component then are compared member by member, in blocks: pairs that lie in
+   different components and whose words could reach THRESHOLD are aligned too.
 
-A pair with half of its shingles in common is missed with a probability under
-0.002, one with 0.8 of them under 1e-12; edits so dense that under a third of
-the shingles are left may be missed.
+Pairs of TINY words at most are all found.  Longer ones can be missed where
+edits lie scattered and near THRESHOLD; README has the recall measured.
 
 Equal word sequences are collapsed before all this.  Defined results: words are
 compared in lower case and without punctuation; texts without a word (null
@@ -32,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -47,11 +51,16 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SKETCHES = 48
 TUPLE = 3
-EVIDENCE = 3
+CLOSE_SKETCHES = 32
+#: Words up to which texts have sketches of 2-word shingles, and up to which they are found exactly.
+SHORT = 64
+TINY = 14
 #: Members compared at once in the blockwise step.
 BLOCK = 500
 
 _COLUMNS = 1 << 15
+#: Keep the kinds of bucket apart.
+_CLOSE, _SHORT, _LEFT_OUT = np.int64(0x3C6EF372FE94F82B), np.int64(0x1F83D9ABFB41BD6B), np.uint64(0x510E527FADE682D1)
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +103,29 @@ def order_sketches(words: np.ndarray, sketches: int = SKETCHES, size: int = TUPL
     return value.view(np.int64)
 
 
+def left_out(words: np.ndarray) -> np.ndarray:
+    """A value for each sequence that is left of a text's words when as many are left out as THRESHOLD allows, or fewer."""
+    n, found = len(words), []
+    for size in range(int(np.ceil(THRESHOLD * n)), n + 1):
+        value = np.zeros(1, np.uint64)
+        for place in np.array(list(combinations(range(n), size))).T:
+            value = value * np.uint64(0x100000001B3) + words[place]
+        found.append(mix(value) ^ _LEFT_OUT)
+    return np.unique(np.concatenate(found)).view(np.int64)
+
+
+def bucket_keys(words: np.ndarray) -> np.ndarray:
+    """The buckets of a text: all its sketches, and for a tiny one what is left when words are left out."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    keys = [order_sketches(words), order_sketches(words, CLOSE_SKETCHES, 2, 3) ^ _CLOSE]
+    if len(words) <= SHORT:
+        keys.append(order_sketches(words, CLOSE_SKETCHES, 2, 2) ^ _SHORT)
+    if len(words) <= TINY:
+        keys.append(left_out(words))
+    return np.concatenate(keys)
+
+
 def content_key(text: str, words: np.ndarray) -> bytes:
     """Equal for texts with equal words; for texts without words, for identical ones."""
     return hashlib.blake2b(words.tobytes() if len(words) else b"-" + text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
@@ -106,7 +138,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = word_hashes(text or "")
             keys.append(content_key(text or "", words))
             counts.append(len(words))
-            values.append(order_sketches(words))
+            values.append(bucket_keys(words))
         sketches = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(v) for v in values])).astype(np.int32)), pa.array(np.concatenate(values)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), sketches], names=["doc_id", "row_key", "content", "n_words", "sketch"])
 
@@ -191,17 +223,18 @@ def _bags(words: list[np.ndarray], size: int = 256) -> np.ndarray:
 def _compare_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """The links between members of a bucket in different components, for two blocks of members.
 
-    Pairs have to agree in EVIDENCE sketches, and their words' hash values in as
-    many places as the threshold needs; these are aligned at once.  A link joins
-    two components for the rest of the block.
+    Their words' hash values have to agree in as many places as the threshold
+    needs; these are aligned at once, but only in the first of the buckets that
+    two members share.  A link joins two components for the rest of the block.
     """
     i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
     left = pdf[pdf["block"] == i]
     right = left if i == j else pdf[pdf["block"] == j]
     found: list[tuple[int, int, float]] = []
     if len(left) and len(right):
+        bucket = pdf["bucket"].iloc[0]
         (ls, lw, ln, lc), (rs, rw, rn, rc) = (
-            (np.stack(x["sketch"].to_numpy()), [np.frombuffer(w, np.uint32) for w in x["words"]], x["node"].to_numpy(), x["root"].to_numpy()) for x in (left, right)
+            (list(x["sketch"]), [np.frombuffer(w, np.uint32) for w in x["words"]], x["node"].to_numpy(), x["root"].to_numpy()) for x in (left, right)
         )
         lb, rb = _bags(lw), _bags(rw)
         lm, rm = lb.sum(axis=1), rb.sum(axis=1)
@@ -209,10 +242,9 @@ def _compare_block(pdf: pd.DataFrame) -> pd.DataFrame:
         for k in range(len(left)):
             need = THRESHOLD * np.maximum(rm, lm[k])
             fit = np.flatnonzero((rc != lc[k]) & (np.minimum(rm, lm[k]) >= need) & ((rn > ln[k]) if i == j else True))
-            fit = fit[(rs[fit] == ls[k]).sum(axis=1) >= EVIDENCE]
             fit = fit[np.minimum(rb[fit], lb[k]).sum(axis=1) >= need[fit]]
             for m in fit.tolist():
-                if rc[m] != lc[k] and (alike := similarity(lw[k], rw[m])) >= THRESHOLD:
+                if rc[m] != lc[k] and np.intersect1d(ls[k], rs[m])[0] == bucket and (alike := similarity(lw[k], rw[m])) >= THRESHOLD:
                     found.append((int(ln[k]), int(rn[m]), alike))
                     old, new = rc[m], lc[k]
                     lc[lc == old], rc[rc == old] = new, new
@@ -233,6 +265,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One pair a node first: with the least centre of all its buckets.
     first = buckets.where("node <> centre").groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b"))
     links = _verified(first, texts, thin)
+    if links is None and not buckets.isEmpty():  # none whose lengths fit
+        links = docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
     roots = _roots(links)
     if links is not None:
         # Then with the centres in other components, once for each of these.
@@ -287,7 +321,9 @@ def _words_of(nodes: DataFrame, texts: DataFrame, thin: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, thin: DataFrame) -> DataFrame | None:
     """The pairs (a, b) that alignment confirms, written down; None where there are none."""
-    pairs = materialise(pairs, "pairs")
+    size = lambda end: texts.select(F.col("node").alias(end), F.col("n_words").alias(f"n_{end}"))
+    fit = F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b")
+    pairs = materialise(pairs.join(size("a"), "a").join(size("b"), "b").where(fit).select("a", "b"), "pairs")
     if pairs.isEmpty():
         return None
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()

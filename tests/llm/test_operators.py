@@ -112,6 +112,47 @@ def test_near_dedup(docs, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_near_dedup_of_short_texts_and_scattered_edits(spark):
+    """Texts of few words with any one word changed or added, and longer ones with a fifth or less of their words changed."""
+    rng, rows, base_of = random.Random(11), [], {}
+
+    def add(words, base=None):
+        rows.append((len(rows), " ".join(words)))
+        base_of[len(rows) - 1] = len(rows) - 1 if base is None else base
+        return len(rows) - 1
+
+    for n in range(5, 17):
+        words = prose(rng, n, 10**6).split()
+        base = add(words)
+        for k in range(n):
+            add([*words[:k], f"new{n}x{k}", *words[k + 1 :]], base)
+            add([*words[:k], f"more{n}x{k}", *words[k:]], base)
+    exact = len(rows)
+    for n in (40, 100, 300):
+        for share in (0.1, 0.15, 0.19):
+            for i in range(15):
+                words = prose(rng, n, 10**6).split()
+                base = add(words)
+                for k in rng.sample(range(n), int(n * share)):
+                    words[k] = f"new{n}x{round(share * 100)}x{i}x{k}"
+                add(words, base)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, c in got.items() if i < exact} == {i: b for i, b in base_of.items() if i < exact}
+    assert all(got[i] in (i, base_of[i]) for i in got) and sum(got[i] == base_of[i] for i in got if i >= exact) >= 0.97 * (len(rows) - exact)
+
+
+def test_tiny_texts_share_a_key_where_they_are_alike():
+    rng = random.Random(12)
+    for _ in range(400):
+        a = [rng.randrange(5) for _ in range(rng.randrange(1, 15))]
+        b = [x for x in a if rng.random() > 0.1]
+        for _ in range(rng.randrange(3)):
+            b.insert(rng.randrange(len(b) + 1), rng.randrange(5))
+        a, b = np.array(a, np.uint64), np.array(b[:14], np.uint64)
+        if len(b) and near_dedup.similarity(a.astype(np.uint32), b.astype(np.uint32)) >= near_dedup.THRESHOLD:
+            assert np.intersect1d(near_dedup.left_out(a), near_dedup.left_out(b)).size
+
+
 def test_similarity_against_plain_alignment():
     rng = random.Random(4)
     for _ in range(60):
