@@ -8,6 +8,11 @@ document whose word hashes hit the index is a candidate; around the hits
 template and document are aligned in a band, which tells the words matched, the
 coverage of the template and the span in the document.
 
+Edited notices may have no fingerprint left, so places where no match was found
+but which hold as many of a template's words as MIN_COVERAGE needs, as close
+together as the band allows, are aligned at every diagonal of these words.
+What the band can align is found, whichever words are changed.
+
 Defined results: a null or empty text has no match; words are compared in lower
 case, so lay-out and punctuation don't matter; a notice that occurs several
 times is reported each time; a shorter match inside a longer one of another
@@ -65,8 +70,94 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(view)) + window - 1 - view.argmin(axis=1))
 
 
-def build_index(templates: dict[str, str]) -> tuple[np.ndarray, list[list[tuple[str, int]]], dict[str, list[int]]]:
-    """Sorted fingerprints, for each of them (template, place), and each template's words."""
+class Vocabulary:
+    """Which templates have which words: tells the places of a document that hold enough of a template's words."""
+
+    def __init__(self, templates: dict[str, np.ndarray]):
+        self.names = [n for n in sorted(templates) if len(templates[n])]
+        self.size = np.array([len(templates[n]) for n in self.names])
+        self.need = np.array([least_words(int(n)) for n in self.size], np.int64)
+        self.words = np.unique(np.concatenate([np.zeros(0, np.uint64), *templates.values()]))
+        self.own = [np.searchsorted(self.words, np.unique(templates[n])) for n in self.names]
+        word = np.concatenate([np.zeros(0, np.int64), *self.own])
+        order = np.argsort(word, kind="stable")
+        self.template = np.repeat(np.arange(len(self.own)), [len(o) for o in self.own])[order]
+        self.bounds = np.searchsorted(word[order], np.arange(len(self.words) + 1))
+        self.origins = {n: _origins(templates[n].tolist()) for n in self.names}
+
+    def places(self, words: np.ndarray) -> Iterator[tuple[str, int, np.ndarray]]:
+        """(template, words needed, places that hold one of its words) for templates of which the document has enough words."""
+        if not len(self.words) or not len(words):
+            return
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        hit = np.flatnonzero(self.words[at] == words)
+        if len(hit) < self.need.min():
+            return
+        ids = at[hit]
+        times = np.bincount(ids, minlength=len(self.words))
+        seen = np.flatnonzero(times)
+        long = self.bounds[seen + 1] - self.bounds[seen]
+        rows = np.repeat(self.bounds[seen] - np.append(0, np.cumsum(long)[:-1]), long) + np.arange(long.sum())
+        total = np.bincount(self.template[rows], np.repeat(times[seen], long), len(self.names))
+        mine = np.zeros(len(self.words), bool)
+        for t in np.flatnonzero(total >= self.need).tolist():
+            mine[self.own[t]] = True
+            yield self.names[t], int(self.need[t]), hit[mine[ids]]
+            mine[self.own[t]] = False
+
+
+def _origins(template: list[int]) -> dict[int, list[int]]:
+    found: dict[int, list[int]] = {}
+    for i, word in enumerate(template):
+        found.setdefault(word, []).append(i)
+    return found
+
+
+def least_words(size: int) -> int:
+    """The words of a template that a match has at least."""
+    return next(n for n in range(size + 1) if n and n >= MIN_COVERAGE * size)
+
+
+def band_of(size: int) -> int:
+    return max(3, size // 5)
+
+
+def dense(places: np.ndarray, need: int, span: int) -> list[np.ndarray]:
+    """Groups of places of which each belongs to `need` places within span; groups are a span apart or do not overlap."""
+    if len(places) < need:
+        return []
+    close = np.flatnonzero(places[need - 1 :] - places[: len(places) - need + 1] < span)
+    edge = np.zeros(len(places) + 1, np.int64)
+    np.add.at(edge, close, 1)
+    np.add.at(edge, close + need, -1)
+    inside = np.cumsum(edge[:-1]) > 0
+    cut = np.flatnonzero(~inside[1:] | ~inside[:-1]) + 1
+    return [g for g, i in zip(np.split(places, cut), np.split(inside, cut), strict=True) if i[0] and len(g) >= need]
+
+
+def starts(template: list[int], origins: dict[int, list[int]], words: np.ndarray, group: np.ndarray, need: int, span: int) -> Iterator[int]:
+    """The places of a group from which on span words have `need` words of the template in common, in order."""
+    place, word = group.tolist(), words[group].tolist()
+    masks = {w: sum(1 << i for i in own) for w, own in origins.items()}
+    full, held, common, stop = (1 << len(template)) - 1, dict.fromkeys(origins, 0), 0, 0
+    for first, begin in enumerate(place):
+        while stop < len(place) and place[stop] < begin + span:
+            held[word[stop]] += 1
+            common += held[word[stop]] <= len(origins[word[stop]])
+            stop += 1
+        if common >= need:
+            left = full
+            for w in word[first:stop]:
+                met = left & masks[w]
+                left = ((left + met) | (left - met)) & full
+            if len(template) - left.bit_count() >= need:
+                yield begin
+        common -= held[word[first]] <= len(origins[word[first]])
+        held[word[first]] -= 1
+
+
+def build_index(templates: dict[str, str]) -> tuple[np.ndarray, list[list[tuple[str, int]]], dict[str, list[int]], Vocabulary]:
+    """Sorted fingerprints, for each of them (template, place), each template's words, and which templates have a word."""
     words = {name: word_spans(text.encode())[0] for name, text in templates.items()}
     if sum(map(len, words.values())) > INDEX_LIMIT:
         raise ValueError(f"the templates have more than {INDEX_LIMIT} words")
@@ -76,7 +167,7 @@ def build_index(templates: dict[str, str]) -> tuple[np.ndarray, list[list[tuple[
         for at in winnow(grams, WINDOW).tolist():
             postings.setdefault(int(grams[at]), []).append((name, at))
     order = sorted(postings)
-    return np.array(order, np.uint64), [postings[k] for k in order], {n: w.tolist() for n, w in words.items()}
+    return np.array(order, np.uint64), [postings[k] for k in order], {n: w.tolist() for n, w in words.items()}, Vocabulary(words)
 
 
 def align(template: list[int], words: list[int], diagonal: int, band: int) -> list[tuple[int, int]]:
@@ -108,18 +199,25 @@ def align(template: list[int], words: list[int], diagonal: int, band: int) -> li
 
 def scan(raw: bytes, index: tuple) -> list[tuple[str, float, int, int, int, int]]:
     """(template, coverage, words matched, words of the template, from byte, to byte)."""
-    keys, postings, templates = index
+    keys, postings, templates, vocabulary = index
     words, begin, end = word_spans(raw)
     grams = shingle_hashes(words, GRAM)
     at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
     hits: dict[str, list[tuple[int, int]]] = {}
+    covered: dict[str, list[tuple[int, int]]] = {}
     for place in np.flatnonzero(keys[at] == grams).tolist():
         for name, origin in postings[at[place]]:
             hits.setdefault(name, []).append((place - origin, place))
     found = []
+
+    def take(name: str, pairs: list[tuple[int, int]]) -> None:
+        first, last, total = pairs[0][1], pairs[-1][1], len(templates[name])
+        found.append((name, len(pairs) / total, len(pairs), total, int(begin[first]), int(end[last])))
+        covered.setdefault(name, []).append((first, last))
+
     for name, own in hits.items():
         template = templates[name]
-        band = max(3, len(template) // 5)
+        band = band_of(len(template))
         own.sort()
         while own:
             # Hits on diagonals close to each other belong to one occurrence.
@@ -130,7 +228,30 @@ def scan(raw: bytes, index: tuple) -> list[tuple[str, float, int, int, int, int]
             part = words[low : first + 2 * band + len(template)].tolist()
             pairs = align(template, part, near[len(near) // 2][0] - low, band)
             if pairs and len(pairs) >= MIN_COVERAGE * len(template):
-                found.append((name, len(pairs) / len(template), len(pairs), len(template), int(begin[low + pairs[0][1]]), int(end[low + pairs[-1][1]])))
+                take(name, [(i, low + j) for i, j in pairs])
+    for name, need, places in vocabulary.places(words):
+        template, origins = templates[name], vocabulary.origins[name]
+        band = band_of(len(template))
+        span = len(template) + 2 * band
+        parts, after = [], -1
+        for first, last in sorted(covered.get(name, ())):
+            parts.append(places[(places > after) & (places < first)])
+            after = max(after, last)
+        groups = [g for part in [*parts, places[places > after]] for g in dense(part, need, span)]
+        while groups:
+            group = groups.pop()
+            for start in starts(template, origins, words, group, need, span):
+                low, high = start, int(group[group < start + 2 * span][-1]) + 1
+                part, best = words[low:high].tolist(), []
+                for diagonal in sorted({j - i for j, word in enumerate(part) for i in origins.get(word, ())}):
+                    pairs = align(template, part, diagonal, band)
+                    if len(pairs) > len(best):
+                        best = pairs
+                if len(best) >= need:
+                    best = [(i, low + j) for i, j in best]
+                    take(name, best)
+                    groups += [g for rest in (group[(group >= start) & (group < best[0][1])], group[group > best[-1][1]]) for g in dense(rest, need, span)]
+                    break
     # Longest spans first; what lies inside one that is taken is left out.
     taken: list[tuple] = []
     for match in sorted(found, key=lambda m: (m[4] - m[5], -m[2], m[0])):
