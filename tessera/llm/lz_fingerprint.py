@@ -3,8 +3,9 @@
 A text's UTF-8 bytes are parsed into dictionary phrases (Ziv and Lempel, 1978):
 each phrase is the longest one seen before and one byte more.  The phrase set
 says what the text is made of; the smallest K of its phrases' hashes are the
-fingerprint.  The likeness of two fingerprints estimates the share of phrases
-that the two sets have in common, from the K smallest hashes of both together.
+fingerprint.  The likeness of two fingerprints is the share of phrases that the
+two sets have in common: exact where both sets have fewer than K phrases, else
+estimated from the K smallest hashes of both together.
 
 Two texts that begin alike (a text and its edited form) are parsed together as
 far as they agree.
@@ -12,8 +13,8 @@ far as they agree.
 Defined results: a null text is the empty text; empty texts have the empty
 fingerprint, alike 1 to each other and 0 to others; equal texts have equal
 fingerprints; a text of few phrases has a shorter fingerprint; ids that repeat
-are followed by each other in the order of their texts; a null id comes first;
-an empty table gives an empty table; columns besides doc_id and text are not
+are followed by each other in the order of a hash of their texts, then of the
+texts; a null id comes first; an empty table gives an empty table; columns besides doc_id and text are not
 looked at.
 """
 
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import os
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,39 +112,51 @@ def fingerprints(text: str, edited: str) -> tuple[str, str]:
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: the share of common phrases, estimated from two fingerprints."""
+    """0 to 1: the share of common phrases, exact for fingerprints of fewer than K phrases, else estimated."""
     if a == b:
         return 1.0
     x, y = ({s[i : i + DIGITS] for i in range(0, len(s), DIGITS)} for s in (a, b))
-    both = sorted(x | y)[: max(1, min(K, max(len(x), len(y))))]
+    both = sorted(x | y)
+    if max(len(x), len(y)) >= K:  # beyond the K smallest of both nothing is known
+        both = both[:K]
     return sum(h in x and h in y for h in both) / len(both)
 
 
+def _cuts(ids: DataFrame, blocks: int) -> list[tuple[int, float]]:
+    """The (id, hash) after which blocks end; an id that fills several blocks is cut by the hash of its texts."""
+    found = ids.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)] or [0.5], 10_000).alias("cuts")).first()["cuts"] or []
+    times = Counter(found)
+    cuts = [(v, math.inf) for v in times]
+    # At most `blocks` ids are found more than once.
+    for v, n in times.items():
+        cuts += [(v, -(2.0**63) + 2.0**64 * k / n) for k in range(0 if n > 1 else 1, n)]
+    return sorted(cuts)
+
+
 def with_next(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(block, ahead, doc_id, text) dealt by id into sorted blocks; each block also has the next one's first row, with ahead = true.
+    """(block, ahead, doc_id, text) dealt by id into sorted blocks, one a partition; each also has the next one's first row, with ahead = true.
 
-    Only the blocks' borders and first ids, one pair a block, reach the driver.
+    Only the blocks' borders and first places, one pair a block, reach the driver.
     """
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = thin.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)] or [0.5], 10_000).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("place"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    cuts = _cuts(thin.select(F.col("place").alias("doc_id")), blocks)
 
     @F.pandas_udf("int")
-    def block_of(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: bisect.bisect_left(cuts, v)).astype("int32")
+    def block_of(place: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_left(cuts, x) for x in zip(place.tolist(), tie.tolist(), strict=True)], dtype="int32")
 
-    key = F.coalesce("doc_id", F.lit(_FIRST))
-    firsts = ids.select("doc_id", block_of("doc_id").alias("block")).groupBy("block").agg(F.min("doc_id").alias("first")).orderBy("block").collect()
-    before = {r["first"]: firsts[i - 1]["block"] for i, r in enumerate(firsts)}
+    firsts = thin.select("place", "tie", block_of("place", "tie").alias("block")).groupBy("block").agg(F.min(F.struct("place", "tie")).alias("first")).orderBy("block").collect()
+    before = {tuple(r["first"]): firsts[i - 1]["block"] for i, r in enumerate(firsts)}
 
     @F.pandas_udf("array<struct<block:int,ahead:boolean>>")
-    def places(s: pd.Series) -> pd.Series:
-        own = lambda v: [(bisect.bisect_left(cuts, v), False)]
-        return s.map(lambda v: own(v) + ([(before[v], True)] if v in before else []))
+    def places(place: pd.Series, tie: pd.Series) -> pd.Series:
+        own = ((x, [(bisect.bisect_left(cuts, x), False)]) for x in zip(place.tolist(), tie.tolist(), strict=True))
+        return pd.Series([o + ([(before[x], True)] if x in before else []) for x, o in own])
 
-    rows = thin.withColumn("to", F.explode(places(key))).select("to.block", "to.ahead", "doc_id", "text")
-    return rows.repartition(shuffle_partitions(docs.sparkSession), "block").sortWithinPartitions("block", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    rows = thin.withColumn("to", F.explode(places("place", "tie"))).select("to.block", "to.ahead", "doc_id", "text", "place", "tie")
+    dealt = rows.repartitionById(len(cuts) + 1, "block").sortWithinPartitions("ahead", "place", "tie", "text")
+    return dealt.select("block", "ahead", "doc_id", "text")
 
 
 FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
