@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -21,27 +19,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=4)
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    out = np.full(n, INVERSE if inverse else BASE, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers of BASE, or of INVERSE.
 
-
-def _powers(n: int, inverse: bool = False) -> np.ndarray:
-    return powers(1 << max(10, (n - 1).bit_length()), inverse)[:n]
+    Not kept in a cache: a cached function is pickled by its name, and would be
+    looked for on executors that have no copy of this package.
+    """
+    out = np.full(max(1, n), INVERSE if inverse else BASE, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)[:n]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """prefix[i]: the sum of (byte + 1) * BASE**place over the first i bytes."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(max(1, len(data)))[: len(data)], out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=out[1:])
     return out
 
 
 def run_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The hashes of the runs [start, end): equal runs have equal hashes wherever they are."""
-    return mix((prefix[end] - prefix[start]) * _powers(len(prefix), True)[start] + (end - start).astype(np.uint64))
+    return mix((prefix[end] - prefix[start]) * powers(len(prefix), True)[start] + (end - start).astype(np.uint64))
 
 
 _WORD = np.zeros(256, bool)

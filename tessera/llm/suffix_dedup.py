@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, shuffle_partitions
 from tessera.llm.golomb import owner_of, pack_by_owner, repeated_bitmaps
-from tessera.llm.hashing import mix, prefix_hash, _powers
+from tessera.llm.hashing import mix, powers, prefix_hash
 
 LENGTH = 50
 GRAM = 25
@@ -106,7 +106,7 @@ class Unit:
 def sample_ranks(part: np.ndarray) -> np.ndarray:
     """For each LENGTH-byte string the least hash of the GRAM-byte strings in it."""
     prefix = prefix_hash(part)
-    least = mix((prefix[GRAM:] - prefix[:-GRAM]) * _powers(len(prefix), True)[: len(prefix) - GRAM]) >> np.uint64(64 - RANK_BITS)
+    least = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(prefix), True)[: len(prefix) - GRAM]) >> np.uint64(64 - RANK_BITS)
     width, need = 1, LENGTH - GRAM + 1
     while width < need:
         step = min(width, need - width)

@@ -29,7 +29,7 @@ def texts():
     passage = prose(rng, 70)
     rows = [(i, t) for i, t in enumerate(base)]
     rows += [(10, base[0]), (11, base[0]), (12, " ".join(near)), (13, base[1].replace(" ", "  \n")), (14, base[2] + " " + passage), (15, passage + "\n" + base[3])]
-    rows += [(20, None), (21, ""), (22, " \t\n"), (23, "?!"), (24, "été \U0001f600 naïve"), (25, "a" * 300), (26, prose(rng, 9000)), (10, base[0]), (None, base[4]), (3, "another text under an id that repeats")]
+    rows += [(20, None), (21, ""), (22, " \t\n"), (23, "?!"), (24, "été \U0001f600 naïve"), (27, "one<|endoftext|> two <|endoftext|><|endoftext|>three"), (25, "a" * 300), (26, prose(rng, 9000)), (10, base[0]), (None, base[4]), (3, "another text under an id that repeats")]
     return rows
 
 
@@ -289,7 +289,8 @@ def test_lz_fingerprints(spark, docs, nothing, texts):
         assert lz_fingerprint.parse(data)[0] == plain(data)
         other = data[: len(data) // 2] + b"xyz"
         assert lz_fingerprint.fingerprints(data.decode(), other.decode()) == (lz_fingerprint.fingerprint(data.decode()), lz_fingerprint.fingerprint(other.decode()))
-    order = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    tie = {r["t"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1] or ""]))
     want = []
     for k, (i, t) in enumerate(order):
         t, following = t or "", order[(k + 1) % len(order)][1] or ""
@@ -302,6 +303,34 @@ def test_lz_fingerprints(spark, docs, nothing, texts):
     assert lz_fingerprint.with_next(nothing, 5).mapInArrow(lz_fingerprint._edit_and_compare, lz_fingerprint.FINGERPRINTS).count() == 0
 
 
+def test_likeness_of_short_texts_is_the_share_of_their_phrases(monkeypatch):
+    rng = random.Random(17)
+
+    def phrases(text):
+        data = text.encode()
+        ends = lz_fingerprint.parse(data)[0]
+        return {data[a:b] for a, b in zip([0, *ends], ends, strict=False)}
+
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(120))) for _ in range(2))
+        x, y = phrases(a), phrases(b)
+        assert max(len(x), len(y)) < lz_fingerprint.K
+        got = lz_fingerprint.likeness(lz_fingerprint.fingerprint(a), lz_fingerprint.fingerprint(b))
+        assert abs(got - (len(x & y) / len(x | y) if x | y else 1.0)) < 1e-12
+    a = prose(rng, 3000, 50)
+    b = a[: len(a) // 2] + prose(rng, 1500, 50)
+    x, y = phrases(a), phrases(b)
+    assert abs(lz_fingerprint.likeness(lz_fingerprint.fingerprint(a), lz_fingerprint.fingerprint(b)) - len(x & y) / len(x | y)) < 0.25
+
+
+def test_an_id_of_many_texts_is_dealt_over_blocks(spark):
+    rows = [(7 if k % 2 else k, f"text {k} " * 5) for k in range(400)]
+    dealt = lz_fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string"), 8)
+    own = dealt.where("not ahead").groupBy("block").count().collect()
+    assert len(own) >= 6 and max(r["count"] for r in own) < 150
+    assert dealt.mapInArrow(lz_fingerprint._edit_and_compare, lz_fingerprint.FINGERPRINTS).count() == 400
+
+
 def test_substring_dedup(docs, nothing):
     got = {}
     for r in substring_dedup.remove_repeated_passages(docs).collect():
