@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import broadcast_if_small, documents, materialise, salted_join, shuffle_partitions
-from tessera.llm.golomb import owner_of, pack_by_owner, repeated_bitmaps
+from tessera.llm.golomb import owner_of, pack_by_owner, repeated_bitmaps, unpack
 
 #: Deleted before texts are compared.
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -89,7 +89,7 @@ def _sender(owners: int):
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"pid": pdf["pid"], "owner": pdf["owner"], "bits": repeated_bitmaps(list(pdf["blob"]))})
+    return pd.DataFrame({"pid": pdf["pid"], "owner": pdf["owner"], "bits": repeated_bitmaps([unpack(b) for b in pdf["blob"]])})
 
 
 def _bit(bits: str, pos: str) -> Column:

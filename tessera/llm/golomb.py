@@ -74,14 +74,13 @@ def unpack(blob: bytes) -> np.ndarray:
     return decode(blob[8:]) + np.uint64(int.from_bytes(blob[:8], "little"))
 
 
-def repeated_bitmaps(blobs: list[bytes]) -> list[bytes]:
-    """For each sender's blob a bitmap of those values that another sender has too."""
-    sent = [unpack(b) for b in blobs]
-    every = np.sort(np.concatenate(sent)) if sent else np.zeros(0, np.uint64)
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
+def repeated_bitmaps(sent: list[np.ndarray], times: int = 2) -> list[bytes]:
+    """For each sender's distinct values a bitmap of those that so many senders have."""
+    every, count = np.unique(np.concatenate(sent), return_counts=True) if sent else (np.zeros(0, np.uint64), np.zeros(0))
+    often = every[count >= times]
     out = []
     for v in sent:
-        at = np.searchsorted(twice, v)
-        hit = (twice[np.minimum(at, len(twice) - 1)] == v) if len(twice) else np.zeros(len(v), bool)
+        at = np.searchsorted(often, v)
+        hit = (often[np.minimum(at, len(often) - 1)] == v) if len(often) else np.zeros(len(v), bool)
         out.append(np.packbits(hit).tobytes())
     return out

@@ -5,24 +5,30 @@ document with a smaller id.  All suffixes of all texts, compared over LENGTH
 bytes, would have to be sorted; these steps sort one bucket of them at a time
 and only those that can meet an equal one:
 
-1. Cover.  Of each LENGTH-byte string the GRAM-byte string in it with the least
-   hash is its sample; its hash is its rank, the same wherever the string
-   occurs.  So equal strings have equal samples at equal places, which is what
-   a difference cover gives to two places of unlike residues.  (A cover by
-   residues was reckoned first: modulo 31 every suffix has to be keyed at six
-   samples, some 4.7 times the input for the suffixes of repeated regions alone;
-   samples by content need one key.)  Texts lie dealt over units; a unit sends
-   its distinct ranks, Golomb coded, to owners of rank ranges and gets back
-   bitmaps of those that other units have too.
-2. Buckets.  Suffixes whose rank repeats are sorted inside their unit first:
-   by their first 8 bytes, ties by a rank of the remaining ones, equal ranks
-   checked byte by byte.  What has an equal of a smaller id in the unit is
-   settled; the rest goes, in runs with the bytes around, to the bucket of its
-   rank, and a bucket is sorted by the same routine.  A passage that a third of
-   all documents share leaves each unit once.
-3. Ranges to remove come back to the units, which cut the texts.
-
-Memory follows a unit's texts and SORT_AT_ONCE suffixes.  Texts are shuffled
+1. Meeting.  Texts lie dealt over units.  Of each LENGTH-byte string the
+   GRAM-byte string in it with the least hash is its key, the same wherever the
+   string occurs.  A unit sends its distinct keys, Golomb coded, to owners of
+   key ranges and gets back bitmaps of those that other units have too.
+2. Blockwise sorting.  Suffixes whose key repeats are sorted inside their unit:
+   places whose residue modulo V is in a difference cover are samples, and the
+   samples' strings are ranked first.  Then the suffixes go through in buckets
+   by their leading bytes, one bucket at a time: they are ordered by their first
+   and last 8 bytes, and ties are resolved by the ranks of the samples that two
+   suffixes have at a common distance, which any two residues have within V
+   bytes.  A suffix is never spelt out, so a bucket holds some 40 bytes of each
+   of its suffixes.  What has an equal of a smaller id in the unit is settled.
+3. The rest goes, in runs with the bytes around, to the task of its key, and is
+   sorted there by the same routine.  A passage that a third of all documents
+   share leaves each unit once.  A key that many units have, as a frequent
+   phrase gives, is parted by the bytes before or after the key's string: the
+   side of which the suffix holds more.
+4. Ranges to remove come back to the units, which cut the texts.
+
+(The keys of step 1 are by content and not by residues: to bring equal strings
+of different tasks together a residue cover would send every suffix to the tasks
+of all its samples.)
+
+Memory follows a unit's texts and one bucket of suffixes.  Texts are shuffled
 once, and that shuffle is read three times.
 
 Defined results: a null text is the empty text; texts shorter than LENGTH stay
@@ -41,18 +47,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, shuffle_partitions
-from tessera.llm.golomb import owner_of, pack_by_owner, repeated_bitmaps
-from tessera.llm.hashing import mix, powers, prefix_hash
+from tessera.llm.common import documents, materialise, shuffle_partitions
+from tessera.llm.golomb import owner_of, pack_by_owner, repeated_bitmaps, unpack
+from tessera.llm.hashing import mix, powers, prefix_hash, run_hashes
 
 LENGTH = 50
 GRAM = 25
-RANK_BITS = 44
+KEY_BITS = 44
 #: Units for each shuffle partition; a task has one of them in memory at a time.
 UNITS = 4
-#: Suffix buckets for each shuffle partition; a task sorts one of them at a time.
-BUCKETS = 8
+#: Groups of keys for each shuffle partition; a task has one of them in memory at a time.
+GROUPS = 8
+#: Keys of so many units are parted by CONTEXT bytes beside their strings.
+MANY_UNITS = 32
+CONTEXT = 13
+#: A bucket has so many suffixes, or a sixteenth of them if that is more.
 SORT_AT_ONCE = 1 << 16
+#: A difference cover: any two residues modulo V have a common distance to residues in it.
+V, COVER = 7, (1, 2, 4)
+#: Bytes of a sample that are ranked.
+RANKED = LENGTH - V + 1
+#: Rounds in which ties are compared with one suffix of theirs.
+_ROUNDS = 8
 _CHUNK = 1 << 18
 _NULL = -(1 << 63)
 
@@ -81,7 +97,7 @@ class Unit:
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of suffixes with the same sample: text, first place, number, rank."""
+        """Runs of suffixes with the same key: text, first place, number, key."""
         found = list(self._runs())
         return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
@@ -90,23 +106,28 @@ class Unit:
         begin, stop = self.start[own], np.maximum(self.start[own], self.end[own] - LENGTH + 1)
         for low in range(0, len(self.bytes) - LENGTH + 1, _CHUNK):
             part = self.bytes[low : low + _CHUNK + LENGTH - 1]
-            rank = sample_ranks(part)
-            edge = np.zeros(len(rank) + 1, bool)
+            key = string_keys(part)
+            edge = np.zeros(len(key) + 1, bool)
             edge[[0, -1]] = True
-            edge[1:-1] = rank[1:] != rank[:-1]
+            edge[1:-1] = key[1:] != key[:-1]
             for at in (begin, stop):  # where texts begin, and where no suffix is long enough any more
-                edge[at[np.searchsorted(at, low) : np.searchsorted(at, low + len(rank))] - low] = True
+                edge[at[np.searchsorted(at, low) : np.searchsorted(at, low + len(key))] - low] = True
             cut = np.flatnonzero(edge)
             head, count = cut[:-1], np.diff(cut)
             text = np.searchsorted(begin, head + low, "right") - 1
             whole = head + low < stop[text]
-            yield own[text[whole]], head[whole] + low, count[whole], rank[head[whole]]
+            yield own[text[whole]], head[whole] + low, count[whole], key[head[whole]]
 
 
-def sample_ranks(part: np.ndarray) -> np.ndarray:
-    """For each LENGTH-byte string the least hash of the GRAM-byte strings in it."""
+def gram_keys(part: np.ndarray) -> np.ndarray:
+    """The hash of each GRAM-byte string."""
     prefix = prefix_hash(part)
-    least = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(prefix), True)[: len(prefix) - GRAM]) >> np.uint64(64 - RANK_BITS)
+    return mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(prefix), True)[: len(prefix) - GRAM]) >> np.uint64(64 - KEY_BITS)
+
+
+def string_keys(part: np.ndarray) -> np.ndarray:
+    """For each LENGTH-byte string the least hash of the GRAM-byte strings in it."""
+    least = gram_keys(part)
     width, need = 1, LENGTH - GRAM + 1
     while width < need:
         step = min(width, need - width)
@@ -115,94 +136,148 @@ def sample_ranks(part: np.ndarray) -> np.ndarray:
     return least
 
 
-def _words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The LENGTH bytes at each place as big-endian words, the last filled up with zeros."""
-    padded = np.zeros((len(at), -(-LENGTH // 8) * 8), np.uint8)
-    padded[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]
-    return padded.view(">u8").astype(np.uint64)
-
-
-def _hash_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    words = _words_at(data, at)
-    out = words[:, 0].copy()
-    for k in range(1, words.shape[1]):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + words[:, k]
-    return mix(out)
-
-
-def sort_suffixes(data: np.ndarray, at: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    """Which of the LENGTH-byte strings at these places also occur under a smaller id."""
-    words = _words_at(data, at)
-    rest = words[:, 1].copy()
-    for k in range(2, words.shape[1]):
-        rest = rest * np.uint64(0x9E3779B97F4A7C15) + words[:, k]
-    rest = mix(rest)
-    order = np.lexsort((rest, words[:, 0]))
-    w, r = words[order], rest[order]
-    tie = (w[1:, 0] == w[:-1, 0]) & (r[1:] == r[:-1])
-    equal = (w[1:] == w[:-1]).all(axis=1)
-    if (tie & ~equal).any():  # different strings of one rank: by all their bytes
-        order = np.lexsort(tuple(words[:, k] for k in range(words.shape[1] - 1, -1, -1)))
-        w = words[order]
-        equal = (w[1:] == w[:-1]).all(axis=1)
-    head = np.flatnonzero(np.append(True, ~equal))
-    ids = doc_id[order]
-    least = np.repeat(np.minimum.reduceat(ids, head), np.diff(np.append(head, len(ids))))
-    gone = np.empty(len(at), bool)
-    gone[order] = ids > least
+def _distances() -> np.ndarray:
+    """[a, b]: the least distance that takes both residues into the cover."""
+    inside = np.isin(np.arange(2 * V) % V, COVER)
+    return np.array([[next(d for d in range(V) if inside[a + d] and inside[b + d]) for b in range(V)] for a in range(V)])
+
+
+def _word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each place, as one number that sorts like them."""
+    return np.lib.stride_tricks.sliding_window_view(data, 8)[at].view(">u8").ravel().astype(np.uint64)
+
+
+def _words(data: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
+    """The `size` bytes at each place as such numbers; the last may overlap the one before."""
+    return [_word(data, at + k) for k in [*range(0, size - 8, 8), size - 8]]
+
+
+def _buckets(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """Which of the places belong together by their two leading bytes, bucket by bucket in the order of these."""
+    lead = data[at].astype(np.uint16) << np.uint16(8) | data[at + 1]
+    times = np.bincount(lead, minlength=1 << 16)
+    before = np.cumsum(times) - times
+    bucket = before // max(SORT_AT_ONCE, len(at) // 16)
+    for low in np.unique(bucket[times > 0], return_index=True)[1]:
+        first = int(np.flatnonzero(times > 0)[low])
+        last = int(np.searchsorted(bucket, bucket[first], "right"))
+        yield np.flatnonzero((lead >= first) & (lead < last))
+
+
+def sample_ranks(data: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each sample that a suffix of the runs can reach, the rank of its RANKED bytes among all; 0 at other places."""
+    edge = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + count + V - 1, -1)
+    place = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & np.resize(np.isin(np.arange(V), COVER), len(data)))
+    rank, given = np.zeros(len(data), np.int32), 0
+    for own in _buckets(data, place) if len(place) else ():
+        words = _words(data, place[own], RANKED)
+        order = np.lexsort(words[::-1])
+        new = np.ones(len(own), bool)
+        new[1:] = np.any([w[order[1:]] != w[order[:-1]] for w in words], axis=0)
+        rank[place[own[order]]] = np.cumsum(new) + given
+        given += int(new.sum())
+    return rank
+
+
+def _settle(data: np.ndarray, at: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A number for each suffix, equal for equal ones; those of a group (in order) agree in their first and last 8 bytes."""
+    found, left = np.arange(len(at)), np.arange(len(at))
+    distance = _distances()
+    for _ in range(_ROUNDS):
+        head = np.flatnonzero(np.append(True, group[left[1:]] != group[left[:-1]]))
+        leader = np.repeat(left[head], np.diff(np.append(head, len(left))))
+        a, b = at[left], at[leader]
+        d = distance[a % V, b % V]
+        same = rank[a + d] == rank[b + d]
+        found[left[same]] = leader[same]
+        left = left[~same]
+        if not len(left):
+            return found
+    # Groups of many different strings: by all their bytes.
+    words = _words(data, at[left], LENGTH)
+    order = np.lexsort((*words[::-1], group[left]))
+    new = np.ones(len(left), bool)
+    new[1:] = np.any([w[order[1:]] != w[order[:-1]] for w in [*words, group[left]]], axis=0)
+    found[left[order]] = left[order][np.maximum.accumulate(np.where(new, np.arange(len(left)), 0))]
+    return found
+
+
+def repeats(data: np.ndarray, at: np.ndarray, count: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """For each suffix of the runs, in their order, whether its LENGTH bytes also occur in a run of a smaller id."""
+    run = np.repeat(np.arange(len(at)), count)
+    place = suffixes(at, count)
+    gone = np.zeros(len(place), bool)
+    rank = sample_ranks(data, at, count)
+    for own in _buckets(data, place) if len(place) else ():
+        first, last = _word(data, place[own]), _word(data, place[own] + LENGTH - 8)
+        order = np.lexsort((last, first))
+        same = (first[order[1:]] == first[order[:-1]]) & (last[order[1:]] == last[order[:-1]])
+        tied = np.append(False, same) | np.append(same, False)
+        own, group = own[order[tied]], np.cumsum(np.append(True, ~same))[tied]
+        if not len(own):
+            continue
+        found, ids = _settle(data, place[own], group, rank), doc_id[run[own]]
+        least = np.full(len(own), np.iinfo(np.int64).max)
+        np.minimum.at(least, found, ids)
+        gone[own] = ids > least[found]
     return gone
 
 
-def sort_by_bucket(data: np.ndarray, at: np.ndarray, count: np.ndarray, rank: np.ndarray, doc_id: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(run, place, gone) for all suffixes of the runs, some ranks at a time: about SORT_AT_ONCE suffixes."""
-    order = np.argsort(rank, kind="stable")
-    total = np.cumsum(count[order])
-    new = np.flatnonzero(np.append(True, np.diff(rank[order]) != 0)) if len(order) else np.zeros(0, np.int64)
-    low = 0
-    while low < len(order):
-        reach = np.searchsorted(total, (total[low - 1] if low else 0) + SORT_AT_ONCE)
-        following = new[np.searchsorted(new, max(reach, low + 1)) :][:1]
-        high = int(following[0]) if len(following) else len(order)
-        own = order[low:high]
-        run = np.repeat(own, count[own])
-        place = np.arange(len(run)) - np.repeat(np.cumsum(count[own]) - count[own], count[own]) + at[run]
-        low = high
-        if len(run) <= 2 * SORT_AT_ONCE:
-            yield run, place, sort_suffixes(data, place, doc_id[run])
-            continue
-        # One rank alone is that frequent: its suffixes are parted by a hash of all their bytes.
-        parts = -(-len(run) // SORT_AT_ONCE)
-        part = np.concatenate([(_hash_at(data, place[i : i + SORT_AT_ONCE]) % np.uint64(parts)).astype(np.int32) for i in range(0, len(run), SORT_AT_ONCE)])
-        for k in range(parts):
-            pick = np.flatnonzero(part == k)
-            yield run[pick], place[pick], sort_suffixes(data, place[pick], doc_id[run[pick]])
-
-
-def _ranges(text: np.ndarray, place: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, place, number, ...) of the runs of successive places that agree in what else is given."""
-    order = np.lexsort((place, text))
-    columns = [x[order] for x in (text, place, *more)]
-    t, p = columns[:2]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1)
-    for x in columns[2:]:
+def suffixes(at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of the runs' suffixes."""
+    return np.arange(int(count.sum())) + np.repeat(at - np.cumsum(count) + count, count)
+
+
+def _ranges(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The first row and number of each run of rows whose first column goes up by one and whose others stay."""
+    place, *others = columns
+    new = np.ones(len(place), bool)
+    new[1:] = place[1:] != place[:-1] + 1
+    for x in others:
         new[1:] |= x[1:] != x[:-1]
     head = np.flatnonzero(new)
-    number = np.diff(np.append(head, len(t))).astype(np.int32)
-    return t[head], p[head], number, *(x[head] for x in columns[2:])
+    return head, np.diff(np.append(head, len(place))).astype(np.int32)
+
+
+def part_keys(data: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Finer keys for suffixes of frequent ones: with the CONTEXT bytes beside the key's string, on the side of which a suffix has more."""
+    order = np.lexsort((place, key))
+    inorder, at = key[order], place[order]
+    distinct, which = np.unique(inorder, return_inverse=True)
+    # Where the keys' strings are; a suffix goes by the first one from its place on.
+    found: list[np.ndarray] = []
+    named: list[np.ndarray] = []
+    for low in range(0, len(data) - GRAM + 1, _CHUNK):
+        grams = gram_keys(data[low : low + _CHUNK + GRAM - 1])
+        slot = np.minimum(np.searchsorted(distinct, grams), len(distinct) - 1)
+        hit = np.flatnonzero(distinct[slot] == grams)
+        found.append(hit + low)
+        named.append(slot[hit])
+    spot, name = np.concatenate(found), np.concatenate(named)
+    by = np.lexsort((spot, name))
+    table = (name[by].astype(np.int64) << 40) + spot[by]
+    string = table[np.searchsorted(table, (which.astype(np.int64) << 40) + at)] & ((1 << 40) - 1)
+    after = string - at <= LENGTH - GRAM - CONTEXT
+    begin = np.where(after, string + GRAM, string - CONTEXT)
+    context = run_hashes(prefix_hash(data), begin, begin + CONTEXT)
+    out = np.empty(len(place), np.uint64)
+    out[order] = mix(context ^ inorder ^ np.where(after, np.uint64(1 << 62), np.uint64(0))) >> np.uint64(64 - KEY_BITS)
+    return out
 
 
-def _send_ranks(owners: int):
+def _send_keys(owners: int):
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranks = np.unique(Unit(pdf).runs()[3])
-        sent = pack_by_owner(ranks, RANK_BITS, owners)
+        sent = pack_by_owner(np.unique(Unit(pdf).runs()[3]), KEY_BITS, owners)
         return pd.DataFrame({"unit": int(pdf["unit"].iloc[0]), "owner": [s[0] for s in sent], "blob": [s[3] for s in sent]})
 
     return send
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"unit": pdf["unit"], "owner": pdf["owner"], "bits": repeated_bitmaps(list(pdf["blob"]))})
+    sent = [unpack(b) for b in pdf["blob"]]
+    return pd.DataFrame({"unit": pdf["unit"], "owner": pdf["owner"], "bits": repeated_bitmaps(sent), "many": repeated_bitmaps(sent, MANY_UNITS)})
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -218,78 +293,84 @@ def _unblob(blob: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-_SUFFIXES = ("<i8", "<i8", "<i4", "<i8", "<u8", "u1")  # text, place in it, number, doc_id, rank, bytes
-_RANGES = ("<i8", "<i8", "<i4")  # text, place in it, number
+_SUFFIXES = ("<i4", "<i4", "<i4", "<i8", "u1")  # text, place in it, number, doc_id, bytes
+_RANGES = ("<i4", "<i4", "<i4")  # text, place in it, number
+
 
+def _packed(kinds: tuple[str, ...], *arrays: np.ndarray) -> bytes:
+    return _blob(*(a.astype(t) for a, t in zip(arrays, kinds, strict=True)))
 
-def _send_suffixes(owners: int, buckets: int):
+
+def _send_suffixes(owners: int, groups: int):
     def send(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         columns = ["bucket", "unit", "settled", "blob"]
         if not len(texts):
             return pd.DataFrame(columns=columns)
         unit, name = Unit(texts), int(texts["unit"].iloc[0])
-        text, at, count, rank = unit.runs()
+        text, at, count, key = unit.runs()
         if not len(text):
             return pd.DataFrame(columns=columns)
-        distinct, inverse = np.unique(rank, return_inverse=True)
-        owner = owner_of(distinct, RANK_BITS, owners)
-        elsewhere = np.zeros(len(distinct), bool)
-        for o, bits in zip(answers["owner"].tolist(), answers["bits"].tolist(), strict=True):
+        distinct, inverse = np.unique(key, return_inverse=True)
+        owner = owner_of(distinct, KEY_BITS, owners)
+        elsewhere, many = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+        for o, bits, more in zip(answers["owner"].tolist(), answers["bits"].tolist(), answers["many"].tolist(), strict=True):
             a, b = np.searchsorted(owner, [o, o + 1])
-            elsewhere[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8))[: b - a].astype(bool)
+            elsewhere[a:b], many[a:b] = (np.unpackbits(np.frombuffer(x, np.uint8))[: b - a].astype(bool) for x in (bits, more))
         low, high = np.full(len(distinct), len(unit.doc_ids)), np.full(len(distinct), -1)
         np.minimum.at(low, inverse, text)
         np.maximum.at(high, inverse, text)
         wanted = np.flatnonzero((elsewhere | (low != high))[inverse])
-        text, at, count, rank = text[wanted], at[wanted], count[wanted], rank[wanted]
-        known = elsewhere[np.searchsorted(distinct, rank)]
-        removed, left = [], []
-        for run, place, gone in sort_by_bucket(unit.bytes, at, count, rank, unit.doc_ids[text]):
-            removed.append(_ranges(text[run[gone]], place[gone]))
-            # Only where other units have the rank is there more to find out.
-            ask = ~gone & known[run]
-            left.append(_ranges(text[run[ask]], place[ask], rank[run[ask]]))
-        out = []
-        if removed:
-            t, p, number = (np.concatenate(x) for x in zip(*removed, strict=True))
-            out.append((name % buckets, name, True, _blob(t, p - unit.start[t], number)))
-            t, p, number, r = (np.concatenate(x) for x in zip(*left, strict=True))
-            by = np.argsort(r, kind="stable")
-            t, p, r, number = t[by], p[by], r[by], number[by]
-            bucket = owner_of(r, RANK_BITS, buckets)
-            cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if a == b:
-                    continue
-                size = number[a:b] + LENGTH - 1
-                byte = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(p[a:b], size)
-                out.append((int(bucket[a]), name, False, _blob(t[a:b], p[a:b] - unit.start[t[a:b]], number[a:b], unit.doc_ids[t[a:b]], r[a:b], unit.bytes[byte])))
+        text, at, count, key, which = text[wanted], at[wanted], count[wanted], key[wanted], inverse[wanted]
+        if not len(text):
+            return pd.DataFrame(columns=columns)
+        gone = repeats(unit.bytes, at, count, unit.doc_ids[text])
+        run, place = np.repeat(np.arange(len(at)), count), suffixes(at, count)
+        head, number = _ranges(place[gone], text[run[gone]])
+        t, p = text[run[gone]][head], place[gone][head]
+        out = [(name % groups, name, True, _packed(_RANGES, t, p - unit.start[t], number))]
+        # Only where other units have the key is there more to find out.
+        ask = np.flatnonzero(~gone & elsewhere[which][run])
+        run, place = run[ask], place[ask]
+        goal = key[run]
+        hot = np.flatnonzero(many[which][run])
+        if len(hot):
+            goal[hot] = part_keys(unit.bytes, place[hot], goal[hot])
+        head, number = _ranges(place, run, goal)
+        p, t, goal = place[head], text[run[head]], goal[head]
+        by = np.argsort(goal, kind="stable")
+        t, p, goal, number = t[by], p[by], goal[by], number[by]
+        bucket = owner_of(goal, KEY_BITS, groups)
+        cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if a == b:
+                continue
+            own = t[a:b]
+            out.append((int(bucket[a]), name, False, _packed(_SUFFIXES, own, p[a:b] - unit.start[own], number[a:b], unit.doc_ids[own], unit.bytes[suffixes(p[a:b], number[a:b] + LENGTH - 1)])))
         return pd.DataFrame(out, columns=columns)
 
     return send
 
 
-def _sort_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Settle one bucket's suffixes; what the units have settled themselves passes through."""
+def _sort_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Settle the suffixes of one group of keys; what the units have settled themselves passes through."""
     settled = pdf[pdf["settled"]]
     out = list(zip(settled["unit"].tolist(), settled["blob"].tolist(), strict=True))
     asked = pdf[~pdf["settled"]]
     parts = [_unblob(b, *_SUFFIXES) for b in asked["blob"].tolist()]
     if parts:
-        text, offset, count, doc_id, rank, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        text, offset, count, doc_id, data = (np.concatenate(x) for x in zip(*parts, strict=True))
         unit = np.repeat(asked["unit"].to_numpy(np.int64), [len(p[0]) for p in parts])
-        size = count + LENGTH - 1
+        size = count.astype(np.int64) + LENGTH - 1
         at = np.cumsum(size) - size
-        removed = []
-        for run, place, gone in sort_by_bucket(data, at, count, rank, doc_id):
-            run, place = run[gone], place[gone]
-            # Texts of all units apart, so that runs of places don't cross them.
-            t, p, number, u = _ranges(text[run] + (unit[run] << 40), offset[run] + place - at[run], unit[run])
-            removed.append((u, t & ((1 << 40) - 1), p, number))
-        u, t, p, number = (np.concatenate(x) for x in zip(*removed, strict=True))
-        order = np.argsort(u, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(u[order])) + 1) if len(order) else ():
-            out.append((int(u[own[0]]), _blob(t[own], p[own], number[own])))
+        gone = repeats(data, at, count, doc_id)
+        run = np.repeat(np.arange(len(at)), count)[gone]
+        place = suffixes(offset, count)[gone]
+        head, number = _ranges(place, run)
+        run, place = run[head], place[head]
+        order = np.argsort(unit[run], kind="stable")
+        run, place, number = run[order], place[order], number[order]
+        for own in np.split(np.arange(len(run)), np.flatnonzero(np.diff(unit[run])) + 1) if len(run) else ():
+            out.append((int(unit[run[own[0]]]), _packed(_RANGES, text[run[own]], place[own], number[own])))
     return pd.DataFrame(out, columns=["unit", "blob"])
 
 
@@ -334,20 +415,21 @@ def _digest(texts: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
 
 
 def _planned(docs: DataFrame, last, schema: str, id_col: str, text_col: str) -> DataFrame:
-    buckets = shuffle_partitions(docs.sparkSession)
-    units = UNITS * buckets
+    partitions = shuffle_partitions(docs.sparkSession)
+    units, groups = UNITS * partitions, GROUPS * partitions
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"), F.xxhash64(raw).alias("key"))
     # Copies share a unit, unless they would fill it: such texts are spread, and there are 2 x units of them at most.
-    heavy = thin.groupBy("key").agg(F.sum(F.octet_length("raw")).alias("size"))
+    heavy = materialise(thin.groupBy("key").agg(F.sum(F.octet_length("raw")).alias("size")), "sizes")
     total = heavy.agg(F.sum("size")).first()[0] or 0
-    spread = [r["key"] for r in heavy.where(F.col("size") > total / (2 * units)).select("key").collect()]
-    salt = F.when(F.col("key").isin(spread), F.pmod(F.xxhash64("doc_id"), F.lit(units))).otherwise(F.lit(0).cast("long")) if spread else F.lit(0).cast("long")
-    dealt = thin.select(F.pmod(F.pmod("key", F.lit(units)) + salt, F.lit(units)).cast("int").alias("unit"), "doc_id", "raw").repartition(buckets, "unit")
-    ranks = dealt.groupBy("unit").applyInPandas(_send_ranks(buckets), "unit int, owner long, blob binary")
-    answers = ranks.groupBy("owner").applyInPandas(_answer, "unit int, owner long, bits binary")
-    suffixes = dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(_send_suffixes(buckets, BUCKETS * buckets), "bucket long, unit int, settled boolean, blob binary")
-    ranges = suffixes.groupBy("bucket").applyInPandas(_sort_bucket, "unit int, blob binary")
+    spread = F.broadcast(heavy.where(F.col("size") > total / (2 * units)).select("key", F.lit(True).alias("spread")))
+    salt = F.when(F.col("spread"), F.pmod(F.xxhash64("doc_id"), F.lit(units))).otherwise(F.lit(0).cast("long"))
+    # Units, owners and groups are dealt in turn, so that every partition has as many of them.
+    dealt = thin.join(spread, "key", "left").select(F.pmod(F.pmod("key", F.lit(units)) + salt, F.lit(units)).cast("int").alias("unit"), "doc_id", "raw").repartitionById(partitions, "unit")
+    keys = dealt.groupBy("unit").applyInPandas(_send_keys(partitions), "unit int, owner int, blob binary").repartitionById(partitions, "owner")
+    answers = keys.groupBy("owner").applyInPandas(_answer, "unit int, owner int, bits binary, many binary").repartitionById(partitions, "unit")
+    asked = dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(_send_suffixes(partitions, groups), "bucket int, unit int, settled boolean, blob binary").repartitionById(partitions, "bucket")
+    ranges = asked.groupBy("bucket").applyInPandas(_sort_group, "unit int, blob binary").repartitionById(partitions, "unit")
     return dealt.groupBy("unit").cogroup(ranges.groupBy("unit")).applyInPandas(last, schema)
 
 

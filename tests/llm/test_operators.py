@@ -52,7 +52,7 @@ def test_golomb_round_trip():
         assert np.concatenate([np.zeros(0, np.uint64), *[golomb.unpack(p[3]) for p in parts]]).tolist() == v.tolist()
     a, b = np.array([1, 5, 9], np.uint64), np.array([5, 9, 77], np.uint64)
     blobs = [golomb.pack_by_owner(x, 44, 1)[0][3] for x in (a, b)]
-    assert [np.unpackbits(np.frombuffer(x, np.uint8))[:3].tolist() for x in golomb.repeated_bitmaps(blobs)] == [[0, 1, 1], [1, 1, 0]]
+    assert [np.unpackbits(np.frombuffer(x, np.uint8))[:3].tolist() for x in golomb.repeated_bitmaps([golomb.unpack(x) for x in blobs])] == [[0, 1, 1], [1, 1, 0]]
 
 
 def test_exact_dedup(docs, nothing, texts):
@@ -88,17 +88,64 @@ def test_suffix_dedup(docs, nothing, texts):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
-def test_suffixes_of_one_frequent_rank(monkeypatch):
+def _plain_repeats(data, at, count, ids):
+    first = {}
+    for a, n, i in zip(at, count, ids, strict=True):
+        for p in range(a, a + n):
+            first[data[p : p + 50].tobytes()] = min(i, first.get(data[p : p + 50].tobytes(), i))
+    return [first[data[p : p + 50].tobytes()] < i for a, n, i in zip(at, count, ids, strict=True) for p in range(a, a + n)]
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abc", "abcdefghij"])
+def test_blockwise_suffix_sorting(monkeypatch, letters):
+    """Few letters make long ties; small buckets, chunks and rounds make every loop turn."""
     monkeypatch.setattr(suffix_dedup, "SORT_AT_ONCE", 16)
+    monkeypatch.setattr(suffix_dedup, "_ROUNDS", 2)
     rng = random.Random(2)
-    raw = [bytes(rng.randrange(97, 100) for _ in range(60)) for _ in range(20)]
-    raw += raw[:5]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    at, count = np.arange(25) * 60, np.full(25, 11)
-    gone = {}
-    for run, place, g in suffix_dedup.sort_by_bucket(data, at, count, np.zeros(25, np.uint64), np.arange(25)):
-        gone |= dict(zip(zip(run.tolist(), place.tolist(), strict=True), g.tolist(), strict=True))
-    assert len(gone) == 25 * 11 and all(g == (r >= 20) for (r, _), g in gone.items())
+    raw = ["".join(rng.choice(letters) for _ in range(rng.randrange(50, 90))) for _ in range(20)]
+    period = "".join(rng.choice(letters) for _ in range(9)) * 12
+    raw += [*raw[:5], period, period[3:], period[:60] + "x" + period[:50], raw[0][:30] + raw[1][-55:]]
+    data = np.frombuffer("".join(raw).encode(), np.uint8)
+    size = np.array([len(r) for r in raw])
+    at, count, ids = np.cumsum(size) - size, size - 49, np.array([rng.randrange(9) for _ in raw])
+    assert suffix_dedup.repeats(data, at, count, ids).tolist() == _plain_repeats(data, at, count, ids)
+
+
+def test_frequent_keys_are_parted_alike(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 64)
+    rng = random.Random(3)
+    shared = "".join(rng.choice("ab ") for _ in range(90))
+    texts = [prose(rng, 20) + shared + prose(rng, 20) for _ in range(6)] + ["ab" * 90, "x" + "ab" * 90]
+    met: dict = {}
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        key = suffix_dedup.string_keys(data)
+        for p, k in enumerate(suffix_dedup.part_keys(data, np.arange(len(key)), key).tolist()):
+            met.setdefault(text[p : p + 50], set()).add(k)
+    assert all(len(k) == 1 for k in met.values()) and len(met) > 200
+
+
+@pytest.mark.parametrize("many", [2, 1000])
+def test_suffix_dedup_in_small_pieces(spark, monkeypatch, many):
+    """Chunks and buckets of few bytes, keys parted or not, against brute force."""
+    for name, value in (("_CHUNK", 256), ("SORT_AT_ONCE", 64), ("MANY_UNITS", many)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(4)
+    shared = [prose(rng, 30) for _ in range(3)]
+    rows = [(k, " ".join([prose(rng, rng.randrange(40)), rng.choice(shared), prose(rng, 9), "ab" * 40][: rng.randrange(1, 5)])) for k in range(60)]
+    first: dict = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            first[t[p : p + 50]] = min(i, first.get(t[p : p + 50], i))
+    want = {}
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        want[i] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
 
 
 def test_near_dedup(docs, nothing):
