@@ -52,22 +52,22 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIM
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def salted_join(rows: DataFrame, groups: DataFrame, key: str, spread: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, groups: DataFrame, keys: str | list[str], spread: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """rows joined to groups, which has one row a key at most, though one key may hold any part of rows.
 
     Keys with over one in PARTS of the rows are fewer than PARTS, so this list may
     be broadcast.  Their rows are dealt to parts by a hash of `spread`, and their
     groups repeated once a part, which makes 2 * PARTS rows more at most.
-    counts (key, n) may tell how many rows a key has; how is inner or left.
+    counts (keys, n), a table written before, may tell how many rows the keys that
+    matter have; then the part is of these rows.  how is inner or left.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.select(key, "n")
-    counts = materialise(counts.where(f"n > {PART_ROWS}"), "counts")
-    held = rows.count() // PARTS if not counts.isEmpty() else 0
-    hot = counts.where(F.col("n") > held).select(key, F.ceil(F.col("n") / max(held, PART_ROWS)).cast("int").alias("__parts"))
+    keys = [keys] if isinstance(keys, str) else keys
+    counts = materialise(rows.groupBy(*keys).agg(F.count("*").alias("n")), "counts") if counts is None else counts.select(*keys, "n")
+    held = max(PART_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // PARTS)
+    hot = materialise(counts.where(F.col("n") > held).select(*keys, F.ceil(F.col("n") / held).cast("int").alias("__parts")), "hot")
     if hot.isEmpty():
-        return rows.join(groups, key, how)
-    hot = materialise(hot, "hot")
+        return rows.join(groups, keys, how)
     salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts")).cast("int"), F.lit(0))
-    left = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__parts")
-    right = groups.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__parts")
+    right = groups.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")

@@ -3,12 +3,14 @@
 A gear hash rolls over a text's bytes; a chunk ends where the hash is the least
 within RADIUS bytes to either side.  That depends on the bytes around alone, so
 chunks fall back into step right after an insertion, and a passage is cut the
-same way in every document that has it.  Chunks are compared by a 128-bit
-digest: those that also occur under a smaller id are repeats, and runs of at
-least two that make up MIN_RUN bytes are removed.
-
-Defined results: a null text is the empty text; a text without a place to cut
-is one chunk; rows that share an id don't remove each other's passages, nor
+same way in every document that has it; a chunk is cut after each MOST bytes of
+it, as fillers of one letter need.  Chunks are compared by a 128-bit digest:
+those that also occur under a smaller id are repeats.  Runs of repeats that make
+up MIN_RUN bytes are removed, one chunk or many, and so is a text that consists
+of repeats.  Chunks that very many documents hold are split in the join that
+tells their documents.
+
+Defined results: a null text is the empty text; rows that share an id don't remove each other's passages, nor
 does a text its own; a null id is the smallest; equal rows get equal results;
 a very long text is hashed in blocks; an empty table gives an empty table;
 columns besides doc_id and text are not looked at.
@@ -24,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents
+from tessera.llm.common import documents, materialise, salted_join
 from tessera.llm.hashing import mix
 
 RADIUS = 24
-#: A run of repeated chunks shorter than this stays.
+#: A run of repeated chunks shorter than this stays, unless it is the whole text.
 MIN_RUN = 64
+#: The longest chunk.
+MOST = 4096
 _SHIFT, _WINDOW = 2, 16  # 32 bits shifted by 2 a byte forget a byte after 16
 _BLOCK = 1 << 20
 _NULL = -(1 << 63)
@@ -71,8 +75,16 @@ def chunk_ends(raw: bytes) -> np.ndarray:
         low = max(0, start - edge)
         at = _least_around(gear_hash(data[low : start + _BLOCK + RADIUS + 1])) + low
         found.append(at[(at >= start) & (at < start + _BLOCK)] + 1)
-    ends = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return np.append(ends[ends < len(data)], len(data)) if len(data) else ends
+    if not len(data):
+        return np.zeros(0, np.int64)
+    ends = np.concatenate(found)
+    ends = np.append(ends[ends < len(data)], len(data))
+    size = np.diff(ends, prepend=0)
+    parts = -(-size // MOST)
+    if (parts > 1).any():
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts) + 1
+        ends = np.minimum(np.repeat(ends - size, parts) + nth * MOST, np.repeat(ends, parts))
+    return ends
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,23 +105,22 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def runs_to_remove(chunks: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of successive repeated chunks (start, size) that are long enough."""
+def runs_to_remove(chunks: list[tuple[int, int]], size: int, least: int = MIN_RUN) -> list[tuple[int, int]]:
+    """Spans of successive repeated chunks (start, size) that are long enough, or the whole text of that size."""
     spans: list[list[int]] = []
-    for start, size in sorted(chunks):
+    for start, length in sorted(chunks):
         if spans and spans[-1][1] == start:
-            spans[-1][1] += size
-            spans[-1][2] += 1
+            spans[-1][1] += length
         else:
-            spans.append([start, start + size, 1])
-    return [(a, b) for a, b, n in spans if n > 1 and b - a >= MIN_RUN]
+            spans.append([start, start + length])
+    return [(a, b) for a, b in spans if b - a >= least or b - a == size]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans, kept, sources = [], [], []
         for raw, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            cut = runs_to_remove([(c["start"], c["size"]) for c in found or []])
+            cut = runs_to_remove([(c["start"], c["size"]) for c in found or []], len(raw))
             spans.append([[a, b] for a, b in cut])
             kept.append(b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in cut)], [*(a for a, _ in cut), len(raw)], strict=True)))
             sources.append(sorted({c["first"] for c in found or [] if any(a <= c["start"] < b for a, b in cut)}))
@@ -125,8 +136,9 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(raw).alias("row_key"), raw.alias("raw"))
     chunks = thin.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), "row_key", "raw").mapInArrow(_chunks, "d1 long, d2 long, doc_id long, row_key long, start long, size int")
     # Combined before the shuffle: a chunk of a hot passage crosses it once a partition.
-    repeated = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copies = chunks.join(repeated, ["d1", "d2"]).where("doc_id > first")
+    repeated = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    repeated = materialise(repeated, "repeated")
+    copies = salted_join(chunks, repeated.drop("n"), ["d1", "d2"], "doc_id", repeated).where("doc_id > first")
     found = copies.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "size", "first")).alias("found"))
     met = thin.join(found.withColumnRenamed("doc_id", "of"), F.coalesce(thin["doc_id"], F.lit(_NULL)).eqNullSafe(F.col("of")) & (thin["row_key"] == found["row_key"]), "left")
     return met.select(thin["doc_id"], "raw", "found").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<array<long>>, kept binary, repeats_of array<long>")

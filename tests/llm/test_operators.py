@@ -390,6 +390,57 @@ def test_substring_dedup(docs, nothing):
     assert substring_dedup.remove_repeated_passages(nothing).count() == 0
 
 
+def _plain_passages(rows):
+    """Removed bytes by chunks compared as bytes."""
+    cut = {}
+    for k, (i, t) in enumerate(rows):
+        ends = substring_dedup.chunk_ends(t).tolist()
+        cut[k] = (i, [(a, b) for a, b in zip([0, *ends], ends, strict=False)])
+    first: dict = {}
+    for k, (i, chunks) in cut.items():
+        for a, b in chunks:
+            first[rows[k][1][a:b]] = min(i, first.get(rows[k][1][a:b], i))
+    out = []
+    for k, (i, chunks) in cut.items():
+        t, marked = rows[k][1], bytearray(len(rows[k][1]))
+        for a, b in chunks:
+            if first[t[a:b]] < i:
+                marked[a:b] = b"\1" * (b - a)
+        kept, at = b"", 0
+        while at < len(t):
+            stop = at
+            while stop < len(t) and marked[stop] == marked[at]:
+                stop += 1
+            if not marked[at] or (stop - at < substring_dedup.MIN_RUN and stop - at < len(t)):
+                kept += t[at:stop]
+            at = stop
+        out.append((i, kept))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "most"), [(1 << 20, 4096), (300, 120)])
+def test_substring_dedup_against_plain_chunks(spark, monkeypatch, block, most):
+    """Hot passages, one-chunk copies, fillers; blocks and longest chunks of few bytes turn every loop."""
+    monkeypatch.setattr(substring_dedup, "_BLOCK", block)
+    monkeypatch.setattr(substring_dedup, "MOST", most)
+    rng = random.Random(21)
+    shared = [prose(rng, n) for n in (9, 30, 200)]
+    rows = [(k, " ".join([prose(rng, rng.randrange(60)), rng.choice(shared), prose(rng, 9)][: rng.randrange(1, 4)])) for k in range(300)]
+    rows += [(900 + k, t) for k, t in enumerate(["a" * 300, "a" * 300, "one line of thirty-eight letters alone", "one line of thirty-eight letters alone", "x" + "a" * 9000, "yy" + "a" * 9000, "", ""])]
+    got = substring_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], bytes(r["kept"])) for r in got) == _plain_passages([(i, t.encode()) for i, t in rows])
+    by = {r["doc_id"]: r for r in got}
+    assert not by[901]["kept"] and not by[903]["kept"] and by[900]["kept"] and by[902]["kept"]
+
+
+def test_chunks_do_not_depend_on_blocks(monkeypatch):
+    raw = prose(random.Random(22), 4000).encode() + b"-" * 5000
+    whole = substring_dedup.chunk_ends(raw).tolist()
+    monkeypatch.setattr(substring_dedup, "_BLOCK", 512)
+    assert substring_dedup.chunk_ends(raw).tolist() == whole
+    assert max(b - a for a, b in zip([0, *whole], whole, strict=False)) <= substring_dedup.MOST
+
+
 def test_license_scan(spark, docs, nothing):
     rng = random.Random(2)
     notice = license_scan.TEMPLATES["MIT text"].split()
