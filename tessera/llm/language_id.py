@@ -2,9 +2,11 @@
 
 Training: each task counts the hashed 1- to 3-grams of its labelled texts per
 language and emits the counts that are not 0; Spark adds them up.  The model is
-a matrix languages x buckets of log probabilities, whose size is known before
-any text is read: it is broadcast.  Scoring: numpy looks up all n-grams of a
-batch of texts in that matrix and adds them up text by text.
+a matrix languages x buckets of log probabilities.  Its size, and what the driver
+needs to make it, is known before any text is read and has a limit; it is
+broadcast.  Scoring: the n-grams of a batch of texts make one sparse matrix, rows
+of bucket numbers end to end; it is multiplied with the model in numpy, for up
+to SCORE_AT_ONCE n-grams at once.
 
 Texts are read whole, in blocks, in lower case; a run of other characters than
 letters counts as one space, so numbers, marks and lay-out don't matter.
@@ -32,8 +34,12 @@ from tessera.llm.common import documents
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 17
 SMOOTHING = 0.5
-#: The model holds languages x BUCKETS x 4 bytes; more than this is refused rather than broadcast.
+#: What the driver holds of a language and bucket while it makes the model: a counted row (16 bytes), its place, the probability.
+CELL_BYTES = 32
+#: The model holds 4 bytes of each language and bucket; where making it takes more than this, it is refused rather than broadcast.
 MODEL_LIMIT = 512 * 1024 * 1024
+#: N-grams whose probabilities are looked up together.
+SCORE_AT_ONCE = 1 << 19
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -90,42 +96,77 @@ class Model:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Count over all labelled rows; the result has at most languages x (BUCKETS + 1) numbers."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counted = rows.where(F.col("text").rlike(r"\p{L}")).mapInArrow(_counter, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    languages = rows.select("lang").distinct().count()
-    if languages * BUCKETS * 4 > MODEL_LIMIT:
-        raise ValueError(f"{languages} languages make a model over {MODEL_LIMIT} bytes; use fewer labels or buckets")
-    table = counted.toArrow()
-    names = sorted(set(table["lang"].to_pylist()))
-    place = {x: i for i, x in enumerate(names)}
-    lang = np.array([place[x] for x in table["lang"].to_pylist()], np.int64)
-    bucket, n = table["bucket"].to_numpy(), table["n"].to_numpy().astype(np.float64)
-    counts, texts = np.zeros((BUCKETS, len(names))), np.zeros(len(names))
-    grams_of = bucket >= 0
-    counts[bucket[grams_of], lang[grams_of]] = n[grams_of]
-    texts[lang[~grams_of]] = n[~grams_of]
-    counts += SMOOTHING
-    return Model(names, np.log(texts / max(1.0, texts.sum())) if names else texts, (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32))
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    most = MODEL_LIMIT // (BUCKETS * CELL_BYTES)
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} languages: the model would take over {MODEL_LIMIT} bytes; use fewer labels or buckets")
+    if not names:
+        return Model([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
+    counted = rows.mapInArrow(_counter, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    place = F.create_map(*[F.lit(x) for i, name in enumerate(names) for x in (name, i)])
+    table = counted.select(place[F.col("lang")].cast("int").alias("lang"), "bucket", F.col("n").cast("double")).toArrow()
+    lang, bucket, n = (c.to_numpy() for c in table.columns)
+    texts = np.zeros(len(names))
+    texts[lang[bucket < 0]] = n[bucket < 0]
+    counts = np.full((len(names), BUCKETS + 1), SMOOTHING, np.float32)  # the last column, bucket -1, is not used
+    counts[lang, bucket] += n
+    total = counts[:, :BUCKETS].sum(axis=1, dtype=np.float64)
+    np.log(counts, out=counts)
+    counts -= np.log(total).astype(np.float32)[:, None]
+    return Model(names, np.log(texts / texts.sum()), counts[:, :BUCKETS].T)
+
+
+def _score_rows(model: Model, blocks: list[np.ndarray]) -> np.ndarray:
+    """(rows, languages): for each row of a sparse matrix of ones, given by its columns, its product with the model."""
+    flat = np.concatenate(blocks)
+    starts = np.cumsum([0, *(len(b) for b in blocks[:-1])])
+    # A few languages' columns are read faster one by one than as a table of narrow rows.
+    return np.stack([np.add.reduceat(model.log_probability[:, i][flat], starts, dtype=np.float64) for i in range(len(model.languages))], axis=1)
+
+
+def score_batch(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """The language and posterior probability of each text; null stands for a text without letters."""
+    total = np.zeros((len(texts), len(model.languages)))
+    blocks: list[np.ndarray] = []
+    rows: list[int] = []
+
+    def flush() -> None:
+        np.add.at(total, rows, _score_rows(model, blocks))
+        blocks.clear()
+        rows.clear()
+
+    waiting = 0
+    for i, text in enumerate(texts if model.languages else ()):
+        for block in features(text or ""):
+            blocks.append(block)
+            rows.append(i)
+            waiting += len(block)
+            if waiting >= SCORE_AT_ONCE:
+                flush()
+                waiting = 0
+    if blocks:
+        flush()
+    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    known = np.array([t is not None for t in texts], bool)
+    if model.languages and known.any():
+        total += model.prior
+        best = total.argmax(axis=1)
+        posterior = 1.0 / np.exp(total - total[np.arange(len(texts)), best][:, None]).sum(axis=1)
+        names = [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+        scores = np.where(known, posterior, 0.0)
+    return names, scores
 
 
 def language_of(model, text: Column) -> Column:
     """struct(lang_pred, score) of a text; model is a broadcast Model."""
 
     @F.pandas_udf("lang_pred string, score double")
-    def score(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
-        m = model.value
-        # A few languages' columns are read faster one by one than as a table of narrow rows.
-        tables = [np.ascontiguousarray(m.log_probability[:, i]) for i in range(len(m.languages))]
-        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        for i, (one, known) in enumerate(zip(texts.tolist(), letters.tolist(), strict=True)):
-            if known and tables:
-                total = m.prior.copy()
-                for block in features(one):
-                    total += [t[block].sum(dtype=np.float64) for t in tables]
-                best = int(np.argmax(total))
-                names[i], scores[i] = m.languages[best], 1.0 / np.exp(total - total[best]).sum()
+    def score(texts: pd.Series) -> pd.DataFrame:
+        names, scores = score_batch(model.value, [None if pd.isna(t) else t for t in texts.tolist()])
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return score(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    return score(F.when(text.rlike(r"\p{L}"), text))
 
 
 def predict(docs: DataFrame, model: Model, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -293,6 +293,48 @@ def test_language_id(spark, docs, nothing):
     assert {r["lang_pred"] for r in language_id.predict(docs, language_id.train(nothing)).collect()} == {"und"}
 
 
+def test_language_id_against_plain_naive_bayes(spark, monkeypatch):
+    """Blocks and score batches of few characters turn every loop; blocks end where letters do, so n-grams are the same."""
+    monkeypatch.setattr(language_id, "SCORE_AT_ONCE", 500)
+    rng = random.Random(31)
+    letters = {"xx": "abcdefg ", "yy": "defghij ", "zz": "ghijabk "}
+    rows = [(i, "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(1, 400))), lang) for i in range(120) for lang in [rng.choice(list(letters))]]
+    rows = [(i, "x" + t, lang) for i, t, lang in rows]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(text):
+        code = [ord(c) for c in " " + re.sub(r"[\W\d_]+", " ", text.lower()) + " "]
+        for n in (1, 2, 3):
+            for k in range(len(code) - n + 1):
+                h = 0
+                for c in code[k : k + n]:
+                    h = (h * 0x01000193 + c + 1) % (1 << 32)
+                h = (h ^ (h >> 15)) * 0x2C1B3C6D % (1 << 32)
+                yield (h ^ (h >> 12)) % language_id.BUCKETS
+
+    count, texts = {x: {} for x in letters}, dict.fromkeys(letters, 0)
+    for i, t, lang in rows:
+        if i % 2:
+            texts[lang] += 1
+            for g in grams(t):
+                count[lang][g] = count[lang].get(g, 0) + 1
+    total = {x: sum(c.values()) + 0.5 * language_id.BUCKETS for x, c in count.items()}
+    model = language_id.train(known.where("doc_id % 2 = 1"))
+    got = {r["key"]: r for r in language_id.predict(known, model).collect()}
+    for i, t, _ in rows:
+        score = {x: np.log(texts[x] / sum(texts.values())) + sum(np.log((count[x].get(g, 0) + 0.5) / total[x]) for g in grams(t)) for x in letters}
+        best = max(score, key=score.get)
+        posterior = 1 / sum(np.exp(v - score[best]) for v in score.values())
+        assert abs(got[i]["score"] - posterior) < 1e-3 and (got[i]["lang_pred"] == best or abs(posterior - 0.5) < 1e-3)
+    whole = language_id.score_batch(model, [t for _, t, _ in rows])[0]
+    monkeypatch.setattr(language_id, "_BLOCK", 64)
+    pieces = language_id.score_batch(model, [t for _, t, _ in rows])[0]
+    assert sum(a == b for a, b in zip(whole, pieces, strict=True)) >= len(rows) - 3
+    monkeypatch.setattr(language_id, "MODEL_LIMIT", language_id.BUCKETS * language_id.CELL_BYTES * 2)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language_id.train(known)
+
+
 def test_mixing(spark, docs, nothing):
     rng = random.Random(9)
     rows = [(i, prose(rng, rng.randrange(0, 60)), s, "x") for i in range(1500) for s in [rng.choice(["a", "a", "a", "b", "c", None])]]
