@@ -7,13 +7,13 @@ its source's mean size, held at the limit of copies, and lambda maximises a
 concave dual: distributed Newton steps, kept in a bracket, solve it.  A step
 is one aggregation over (source, size, number of documents), written once;
 lambdas stay in a table, and only how many sources are not yet there reaches
-the driver.
+the driver.  Steps that end without a solution are an error.
 
 Rates become whole copies by carrying the rounding error on from document to
 document, large ones first, within blocks of a source that have a bounded
 number of rows, so that a source's words miss its target by some of its
-smallest documents only.  Blocks go by a hash of the id: the same input gives
-the same copies.
+smallest documents only.  Blocks go by a hash of id and text: the same input
+gives the same copies.
 
 Defined results: a null text has size 0 and any number of words taken is 0;
 a null source is a source, the last one; sources without a word have target 0;
@@ -25,6 +25,7 @@ empty table; columns besides doc_id, text and source are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -33,10 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, materialise
+from tessera.llm.common import documents, materialise, shuffle_partitions
 
-#: Words are runs of other characters than these.
-WORD_GAPS = b"\x09\x0a\x0b\x0c\x0d"
 MAX_COPIES = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Newton steps end when each source's words are this near its target, relatively.
@@ -59,24 +58,39 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return thin.mapInArrow(_count_words, "doc_id long, row_key long, source string, size long")
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """sources with rank, their number from 0 in the order of their code points, null last; one count a partition reaches the driver."""
+    spark, order = sources.sparkSession, F.col("source").asc_nulls_last()
+    parted = sources.repartitionByRange(shuffle_partitions(spark), order).withColumn("part", F.spark_partition_id())
+    parted = materialise(parted.withColumn("rank", F.row_number().over(W.partitionBy("part").orderBy(order))), "sources")
+    counts = dict(sorted((r["part"], r["n"]) for r in parted.groupBy("part").agg(F.count("*").alias("n")).collect()))
+    before = dict(zip(counts, accumulate(counts.values(), initial=0), strict=False))
+    ahead = spark.createDataFrame(list(before.items()) or [(0, 0)], "part int, ahead long")
+    return parted.join(F.broadcast(ahead), "part").withColumn("rank", F.col("ahead") + F.col("rank") - 1).drop("part", "ahead")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = MAX_COPIES) -> DataFrame:
     """source, docs, source_size, target: all words dealt out by weight, at most limit times a source's size.
 
     What a source can't take goes to the others by weight: all sources below
-    their limit take weight x level, and the level follows from the order in
-    which sources reach their limit.  One row per source goes through here.
+    their limit take weight x level, and the level rises until no further source
+    is above its limit.  A step is one aggregation over the sources.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("most", F.col("source_size") * float(limit))
-    order = W.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, every = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(0))
-    per = per.withColumn("rest", F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-    per = per.withColumn("level", F.col("rest") / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    # The first source in that order which does not reach its limit sets the level.
-    per = per.withColumn("level", F.min_by("level", F.when(F.col("most") > F.col("weight") * F.col("level"), F.col("most") / F.col("weight"))).over(every))
-    return per.select("source", "docs", "source_size", F.coalesce(F.least("most", F.col("weight") * F.col("level")), F.col("most")).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    per = _numbered(per).withColumn("weight", weight).withColumn("most", F.col("source_size") * float(limit))
+    per = materialise(per.select("source", "docs", "source_size", "weight", "most"), "sources")
+    level, full = 0.0, -1
+    while True:
+        above = F.col("most") <= F.col("weight") * level if full >= 0 else F.lit(False)
+        got = per.agg(
+            F.sum(above.cast("long")).alias("full"), F.sum(F.col("source_size").cast("double")).alias("every"),
+            F.sum(F.when(above, F.col("most"))).alias("taken"), F.sum(F.when(~above, F.col("weight"))).alias("weight"),
+        ).first()
+        if (got["full"] or 0) == full or not got["weight"]:
+            break
+        full, level = got["full"] or 0, (got["every"] - (got["taken"] or 0.0)) / got["weight"]
+    return per.select("source", "docs", "source_size", F.least("most", F.col("weight") * level).alias("target"))
 
 
 def _rate(size: str = "size") -> Column:
@@ -114,8 +128,8 @@ def balance(sizes: DataFrame, targets: DataFrame, limit: float = MAX_COPIES, tol
         step = step.withColumn("lam", F.when(F.col("near"), F.col("lam")).when(inside, newton).otherwise(aside)).withColumn("done", F.col("near"))
         state = materialise(step.drop("words", "slope", "near"), "balance")
         if state.where("not done").isEmpty():
-            break
-    return state
+            return state
+    raise ArithmeticError(f"the targets were not met within {MAX_STEPS} steps")
 
 
 def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +154,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = MAX
     blocks = targets.select("source", F.ceil(F.col("docs") / BLOCK_ROWS).alias("blocks"))
     info = solved.join(blocks, F.col("of").eqNullSafe(F.col("source"))).drop("source")
     rated = sizes.join(info, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", _rate())
-    rated = rated.select("doc_id", "row_key", "source", "size", "rate", "limit", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
+    rated = rated.select("doc_id", "row_key", "source", "size", "rate", "limit", F.pmod(F.xxhash64("doc_id", "row_key"), F.col("blocks")).alias("block"))
     copies = rated.groupBy("source", "block").applyInPandas(_round_block, "doc_id long, row_key long, source string, size long, copies long")
     per = targets.select(F.col("source").alias("of"), "source_size", "target")
     return copies.join(per, F.col("source").eqNullSafe(F.col("of"))).drop("of")

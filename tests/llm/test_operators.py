@@ -363,6 +363,28 @@ def test_mixing(spark, docs, nothing):
     assert mixing.mix(mixing.word_counts(nothing)).count() == 0
 
 
+def test_rates_solve_the_dual(spark, monkeypatch):
+    """Rates are exp(lambda x size) up to the limit and meet the targets; too few steps are an error."""
+    rng = random.Random(41)
+    rows = [(s, rng.randrange(0, 90)) for s in ["a"] * 400 + ["b"] * 30 + [None] * 5]
+    sizes = spark.createDataFrame(rows, "source string, size long")
+    targets = mixing.source_targets(sizes)
+    solved = {r["source"]: r for r in mixing.balance(sizes, targets).collect()}
+    for source, r in solved.items():
+        own = [n for s, n in rows if s == source]
+        lam, mean = r["lam"], sum(own) / len(own)
+        rate = [3.0 if r["full"] else min(3.0, np.exp(lam * n / mean)) for n in own]
+        assert abs(sum(n * x for n, x in zip(own, rate, strict=True)) - r["target"]) <= 2e-6 * r["target"]
+    assert abs(sum(r["target"] for r in solved.values()) - sum(n for _, n in rows)) < 1e-6 and solved[None]["full"]
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    with pytest.raises(ArithmeticError):
+        mixing.balance(sizes, targets)
+    many = spark.createDataFrame([(f"s{k:03}", k % 17) for k in range(300)], "source string, size long")
+    got = {r["source"]: r for r in mixing.source_targets(many).collect()}
+    level = max(r["target"] / (1, 2, 3)[k % 3] for k, (_, r) in enumerate(sorted(got.items())))
+    assert all(abs(r["target"] - min(3.0 * r["source_size"], (1, 2, 3)[k % 3] * level)) < 1e-6 for k, (_, r) in enumerate(sorted(got.items())))
+
+
 def test_lz_fingerprints(spark, docs, nothing, texts):
     def plain(data):
         seen, at, ends = set(), 0, []
