@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, salted_join
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of the edges (a, b), root being the smallest node of its component.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), each an
-    aggregation and a join; what a step leaves is written to the shared folder.
-    The driver sees a count and a checksum a round.
+    aggregation and a join; what a step leaves is written to the shared folder,
+    and its number and checksum, which tell when nothing changes any more, are
+    observed while it is written.  A node of very many neighbours is split in the
+    join that brings its least neighbour to them.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs, before = materialise(pairs, label), None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = materialise(small, label)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), label)
+        large = salted_join(both, least.drop("n"), "u", "v", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.withColumn("m", F.min("v").over(W.partitionBy("u")))
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        seen = Observation()
+        pairs = materialise(small.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), label)
+        now = seen.get
         if now == before:
             break
         before = now

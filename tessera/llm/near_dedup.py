@@ -4,24 +4,28 @@
    has occurred before.  For each of SKETCHES hash functions the TUPLE smallest
    labelled shingles are kept in the order they have in the text (Marcais et
    al., 2019): two texts agree in a sketch when they share these shingles and
-   their order, so the sketches follow edit similarity.  CLOSE_SKETCHES more
-   are of pairs of 3-word shingles, which scattered edits leave standing; texts
-   of SHORT words at most have as many of pairs of 2-word shingles, and those
-   of TINY words at most a key for each way to leave out words that THRESHOLD
-   allows: two of these that are alike always agree in one.
+   their order, so the sketches follow edit similarity.  As many more are of
+   3-word shingles, which scattered edits leave standing; texts of SHORT words
+   at most have as many of 2-word shingles, and those of TINY words at most a
+   key for each way to leave out words that THRESHOLD allows: two of these that
+   are alike always agree in one.
 2. Texts that agree in a sketch meet in its bucket, whose first text is its
    centre.  A text is paired with the least of its buckets' centres, then once
-   with each component that another centre of its lies in: about as many pairs
-   as texts, however large the buckets.
+   with each group of texts so linked that another centre of its lies in: about
+   as many pairs as texts, however large the buckets.
 3. Pairs are verified by aligning their words in a band as wide as a
    similarity of THRESHOLD allows: words in common, in order, over the longer
    text's words.
-4. Verified pairs make components.  Buckets whose members are not in one
-   component then are compared member by member, in blocks: pairs that lie in
-   different components and whose words could reach THRESHOLD are aligned too.
+4. Verified pairs make components.  What then is in buckets of several
+   components is compared member by member.  Buckets of over BLOCK members, as a
+   common passage makes, are parted first: a member goes on under its rarest
+   pairs of neighbouring words, so many of them that two members that are alike
+   must have one in common (a prefix filter).  Most members have none left that
+   another member shares, and drop out.  What is left meets in blocks.
 
-Pairs of TINY words at most are all found.  Longer ones can be missed where
-edits lie scattered and near THRESHOLD; README has the recall measured.
+Pairs of TINY words at most are all found, and of pairs that agree in a sketch
+none is left out.  Longer ones can be missed where edits lie scattered and near
+THRESHOLD; README has the recall measured.
 
 Equal word sequences are collapsed before all this.  Defined results: words are
 compared in lower case and without punctuation; texts without a word (null
@@ -38,25 +42,26 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, documents, materialise
+from tessera.llm.common import broadcast_if_small, documents, materialise, salted_join, shuffle_partitions
 from tessera.llm.components import components
 from tessera.llm.hashing import mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
-SKETCHES = 48
-TUPLE = 3
-CLOSE_SKETCHES = 32
+SKETCHES = 24
+TUPLE = 2
 #: Words up to which texts have sketches of 2-word shingles, and up to which they are found exactly.
 SHORT = 64
 TINY = 14
-#: Members compared at once in the blockwise step.
+#: Members of a bucket that are compared at once.
 BLOCK = 500
+#: Bits of the signature that says which words a member has.
+SIGNATURE = 1024
 
 _COLUMNS = 1 << 15
 #: Keep the kinds of bucket apart.
@@ -81,21 +86,24 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
     return np.where(earlier > 0, mix(shingles + earlier * np.uint64(0xD6E8FEB86659FD93)), shingles)
 
 
-def order_sketches(words: np.ndarray, sketches: int = SKETCHES, size: int = TUPLE, shingle: int = SHINGLE) -> np.ndarray:
+def order_sketches(words: np.ndarray, shingle: int = SHINGLE, sketches: int = SKETCHES, size: int = TUPLE) -> np.ndarray:
     """One 64-bit value per sketch; none for a text without words."""
     if not len(words):
         return np.zeros(0, np.int64)
     label = labelled(shingle_hashes(words, shingle))
     flip, times = _seeds(sketches)
+    row = np.arange(sketches)
     best = np.zeros((sketches, 0), np.int64)
     for start in range(0, len(label), _COLUMNS):
-        at = np.concatenate([best, np.broadcast_to(np.arange(start, min(len(label), start + _COLUMNS)), (sketches, min(len(label) - start, _COLUMNS)))], axis=1)
-        value = (label[at] if best.shape[1] else np.broadcast_to(label[start : start + _COLUMNS], at.shape)) ^ flip
-        value *= times
-        if at.shape[1] > size:
-            part = np.argpartition(value, size - 1, axis=1)[:, :size]
-            at = np.take_along_axis(at, part, axis=1)
-        best = np.array(at)
+        part = label[start : start + _COLUMNS]
+        # What was least so far is looked at again in front of the block.
+        value = np.concatenate([(label[best] ^ flip) * times, (part ^ flip) * times], axis=1) if start else (part ^ flip) * times
+        least = []
+        for _ in range(min(size, value.shape[1])):
+            least.append(value.argmin(axis=1))
+            value[row, least[-1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        at, held = np.stack(least, axis=1), best.shape[1]
+        best = np.where(at < held, np.take_along_axis(best, np.minimum(at, max(0, held - 1)), axis=1), at - held + start) if held else at + start
     best.sort(axis=1)
     value = np.arange(sketches, dtype=np.uint64)
     for i in range(best.shape[1]):
@@ -118,9 +126,9 @@ def bucket_keys(words: np.ndarray) -> np.ndarray:
     """The buckets of a text: all its sketches, and for a tiny one what is left when words are left out."""
     if not len(words):
         return np.zeros(0, np.int64)
-    keys = [order_sketches(words), order_sketches(words, CLOSE_SKETCHES, 2, 3) ^ _CLOSE]
+    keys = [order_sketches(words), order_sketches(words, 3) ^ _CLOSE]
     if len(words) <= SHORT:
-        keys.append(order_sketches(words, CLOSE_SKETCHES, 2, 2) ^ _SHORT)
+        keys.append(order_sketches(words, 2) ^ _SHORT)
     if len(words) <= TINY:
         keys.append(left_out(words))
     return np.concatenate(keys)
@@ -140,7 +148,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(len(words))
             values.append(bucket_keys(words))
         sketches = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(v) for v in values])).astype(np.int32)), pa.array(np.concatenate(values)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), sketches], names=["doc_id", "row_key", "content", "n_words", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), sketches], names=["doc_id", "row_key", "content", "n_words", "sketch"])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,120 +223,163 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found.filter(pa.array([s >= THRESHOLD for s in alike]))
 
 
-def _bags(words: list[np.ndarray], size: int = 256) -> np.ndarray:
-    """How many words of each text fall to each of `size` hash values."""
-    return np.stack([np.bincount(w & np.uint32(size - 1), minlength=size) for w in words]).astype(np.int32)
+def signatures(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the bits of its words' hashes, and how many words the bits don't count."""
+    slot = [np.unique(w & np.uint32(SIGNATURE - 1)) for w in words]
+    bits = np.zeros((len(words), SIGNATURE), np.uint8)
+    bits[np.repeat(np.arange(len(words)), [len(s) for s in slot]), np.concatenate(slot)] = 1
+    return np.packbits(bits, axis=1).view(np.uint64), np.array([len(w) - len(s) for w, s in zip(words, slot, strict=True)])
 
 
-def _compare_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The links between members of a bucket in different components, for two blocks of members.
+def compare(members: list[tuple], key: int, within: bool, left: int) -> Iterator[tuple[int, int, float]]:
+    """The links between members (node, root, keys, words) of different components: of all, or of the first `left` with the others.
 
-    Their words' hash values have to agree in as many places as the threshold
-    needs; these are aligned at once, but only in the first of the buckets that
-    two members share.  A link joins two components for the rest of the block.
+    Bits in common and the words that bits don't count are at least as many as
+    common words.  Two members are aligned in the first of their keys alone, and
+    a link joins two components for the rest of the block.
     """
-    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-    left = pdf[pdf["block"] == i]
-    right = left if i == j else pdf[pdf["block"] == j]
-    found: list[tuple[int, int, float]] = []
-    if len(left) and len(right):
-        bucket = pdf["bucket"].iloc[0]
-        (ls, lw, ln, lc), (rs, rw, rn, rc) = (
-            (list(x["sketch"]), [np.frombuffer(w, np.uint32) for w in x["words"]], x["node"].to_numpy(), x["root"].to_numpy()) for x in (left, right)
+    words = [np.frombuffer(m[3], np.uint32) for m in members]
+    size, root = np.array([len(w) for w in words]), np.array([m[1] for m in members])
+    bits, more = signatures(words)
+    for k in range(left if not within else len(members)):
+        low = k + 1 if within else left
+        need = THRESHOLD * np.maximum(size[low:], size[k])
+        fit = np.flatnonzero((root[low:] != root[k]) & (np.minimum(size[low:], size[k]) >= need))
+        if len(fit):
+            common = np.bitwise_count(bits[low + fit] & bits[k]).sum(axis=1) + np.minimum(more[low + fit], more[k])
+            for m in (low + fit[common >= need[fit]]).tolist():
+                if root[m] != root[k] and np.intersect1d(members[k][2], members[m][2])[0] == key and (alike := similarity(words[k], words[m])) >= THRESHOLD:
+                    yield members[k][0], members[m][0], alike
+                    root[root == root[m]] = root[k]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come group by group (key, i, j), the block i of each first."""
+    members: list[tuple] = []
+    group, left = None, 0
+
+    def links() -> Iterator[pa.RecordBatch]:
+        found = list(compare(members, group[0], group[1] == group[2], left)) if len(members) > 1 else []
+        if found:
+            yield pa.RecordBatch.from_pydict({"a": [f[0] for f in found], "b": [f[1] for f in found], "similarity": [f[2] for f in found]})
+
+    for batch in batches:
+        for key, i, j, block, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, i, j) != group:
+                yield from links()
+                members, group, left = [], (key, i, j), 0
+            members.append(tuple(member))
+            left += block == i
+    yield from links()
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member's pairs of neighbouring words, equal ones told apart, and how many of the rarest must hold one that it shares with any like it."""
+    for batch in batches:
+        grams = [labelled(shingle_hashes(np.frombuffer(w, np.uint32).astype(np.uint64), 2)).view(np.int64) for w in batch.column(2).to_pylist()]
+        size = np.array([len(g) for g in grams], np.int64)
+        # Two alike have 0.4 times their words - 1 pairs in common: 3 x common words - both lengths - 1, with THRESHOLD x the longer one in common.
+        need = [len(g) - max(1, int(np.ceil((3 * THRESHOLD - 2) * (len(g) + 1) - 1 - 1e-9))) + 1 for g in grams]
+        row = pa.array(np.repeat(np.arange(len(grams)), size))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate([np.zeros(0, np.int64), *grams])), pa.array(np.repeat(size, size).astype(np.int32)), pa.array(np.repeat(np.array(need, np.int32), size))],
+            names=["bucket", "node", "gram", "size", "first"],
         )
-        lb, rb = _bags(lw), _bags(rw)
-        lm, rm = lb.sum(axis=1), rb.sum(axis=1)
-        lc, rc = lc.copy(), rc.copy()
-        for k in range(len(left)):
-            need = THRESHOLD * np.maximum(rm, lm[k])
-            fit = np.flatnonzero((rc != lc[k]) & (np.minimum(rm, lm[k]) >= need) & ((rn > ln[k]) if i == j else True))
-            fit = fit[np.minimum(rb[fit], lb[k]).sum(axis=1) >= need[fit]]
-            for m in fit.tolist():
-                if rc[m] != lc[k] and np.intersect1d(ls[k], rs[m])[0] == bucket and (alike := similarity(lw[k], rw[m])) >= THRESHOLD:
-                    found.append((int(ln[k]), int(rn[m]), alike))
-                    old, new = rc[m], lc[k]
-                    lc[lc == old], rc[rc == old] = new, new
-    return pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+
+
+def _parted(large: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, node) instead of (bucket, node) for large buckets: under the rarest pairs of words of each member."""
+    grams = materialise(large.join(words, "node").select("bucket", "node", "words").mapInArrow(_grams, "bucket long, node long, gram long, size int, first int"), "grams")
+    often = materialise(grams.groupBy("bucket", "gram").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    shared = salted_join(grams, often.withColumnRenamed("n", "times"), ["bucket", "gram"], "node", often)
+    order = W.partitionBy("bucket", "node").orderBy("times", "gram")
+    placed = shared.withColumn("place", F.row_number().over(order)).withColumn("alone", F.col("size") - F.count("*").over(W.partitionBy("bucket", "node")))
+    return placed.where(F.col("place") <= F.col("first") - F.col("alone")).select(F.xxhash64("bucket", "gram").alias("key"), "node")
+
+
+def _links_within(buckets: DataFrame, roots: DataFrame, texts: DataFrame, thin: DataFrame) -> DataFrame | None:
+    """Links between members of buckets that hold several components; None where there is no such bucket."""
+    placed = buckets.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    left = materialise(placed.join(split, "bucket").select("bucket", "node", "root", "n"), "split")
+    if left.isEmpty():
+        return None
+    words = _words_of(left.select("node").distinct(), texts, thin)
+    keys = left.where(F.col("n") <= BLOCK).select(F.col("bucket").alias("key"), "node")
+    large = left.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        keys = keys.unionByName(_parted(large.select("bucket", "node"), words))
+    keys = materialise(keys.join(left.select("node", "root").distinct(), "node"), "keys")
+    met = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    met = materialise(met.select("key", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "met")
+    held = salted_join(keys, met.drop("members"), "key", "node", met.withColumnRenamed("members", "n"))
+    held = materialise(held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "held")
+    own = held.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("own"))
+    wide = held.join(own, "node").join(words, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wide = wide.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "own", "words")
+    dealt = wide.repartition(3 * shuffle_partitions(buckets.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "node")
+    return materialise(dealt.mapInArrow(_compare, "a long, b long, similarity double"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, row_key (xxhash64 of the text), n_words, class_id, class_size, kept."""
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
-    rows = materialise(thin.mapInArrow(_sketch, "doc_id long, row_key long, content binary, n_words long, sketch array<long>"), "sketches")
+    rows = materialise(thin.mapInArrow(_sketch, "doc_id long, row_key long, content binary, n_words int, sketch array<long>"), "sketches")
     # One node for all rows with the same words.
-    texts = rows.groupBy("content").agg(F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("of"))
+    texts = rows.groupBy("content").agg(F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "row_key")).alias("of"), F.count("*").alias("n"))
     texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
 
-    member = texts.select("node", F.explode("sketch").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
-    buckets = materialise(member.join(shared, "bucket"), "buckets")
-    # One pair a node first: with the least centre of all its buckets.
-    first = buckets.where("node <> centre").groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b"))
-    links = _verified(first, texts, thin)
-    if links is None and not buckets.isEmpty():  # none whose lengths fit
-        links = docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    roots = _roots(links)
-    if links is not None:
-        # Then with the centres in other components, once for each of these.
-        placed = _placed(buckets, roots)
-        centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("other"))
-        apart = placed.join(centre, "centre", "left").withColumn("other", F.coalesce("other", "centre")).where("root <> other")
-        links, roots = _add(links, roots, apart.groupBy("node", "other").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b")), texts, thin)
-        # What then still is in buckets of several components, member by member.
-        placed = _placed(buckets, roots)
-        split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        left = placed.join(split, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        left = materialise(left.select("bucket", "node", "root", "blocks", "block"), "split")
-        if not left.isEmpty():
-            words = _words_of(left.select("node").distinct(), texts, thin)
-            left = left.join(texts.select("node", "sketch"), "node").join(words, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "sketch", "words")
-            more = materialise(left.groupBy("bucket", "i", "j").applyInPandas(_compare_block, "a long, b long, similarity double"), "links")
-            roots = _roots(links.unionByName(more))
-
-    node_of = texts.select("content", "node")
-    if roots is not None:
-        node_of = node_of.join(roots, "node", "left").select("content", F.coalesce("root", "node").alias("node"))
-    member = rows.select("doc_id", "row_key", "n_words", "content").join(node_of, "content")
-    classes = member.groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("keep"), F.count("*").alias("class_size"))
-    member = member.join(classes, "node")
-    return member.select("doc_id", "row_key", "n_words", F.col("keep.doc_id").alias("class_id"), "class_size", (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("row_key") == F.col("keep.row_key"))).alias("kept"))
-
-
-def _roots(links: DataFrame | None) -> DataFrame | None:
-    return None if links is None else materialise(components(links), "roots")
-
-
-def _placed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    return buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def _add(links: DataFrame, roots: DataFrame, pairs: DataFrame, texts: DataFrame, thin: DataFrame) -> tuple[DataFrame, DataFrame]:
-    more = _verified(pairs, texts, thin)
-    if more is None:
-        return links, roots
-    links = links.unionByName(more)
-    return links, _roots(links)
+    member = texts.select("node", "n_words", F.explode("sketch").alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "n_words")).alias("c")).where("n > 1")
+    buckets = materialise(member.join(shared, "bucket").select("bucket", "node", "n_words", "n", F.col("c.node").alias("centre"), F.col("c.n_words").alias("n_centre")), "buckets")
+    roots = None
+    if not buckets.isEmpty():
+        # One pair a node first: with the least centre of all its buckets.
+        fit = F.least("n_words", "n_centre") >= THRESHOLD * F.greatest("n_words", "n_centre")
+        pairs = buckets.where((F.col("node") != F.col("centre")) & fit)
+        links = _verified(pairs.groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b")), texts, thin)
+        # Then with the centres in other groups, once for each of these.  A group is what two links lead to.
+        up = links.select(F.col("b").alias("node"), F.col("a").alias("group"))
+        up = up.join(up.select(F.col("node").alias("group"), F.col("group").alias("top")), "group", "left").select("node", F.coalesce("top", "group").alias("group"))
+        up = materialise(up, "groups")
+        apart = pairs.select("node", "centre").distinct().join(up, "node", "left").join(up.select(F.col("node").alias("centre"), F.col("group").alias("other")), "centre", "left")
+        apart = apart.select("node", "centre", F.coalesce("group", "node").alias("group"), F.coalesce("other", "centre").alias("other")).where("`group` <> other")
+        more = _verified(apart.groupBy("node", "other").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b")), texts, thin)
+        roots = materialise(components(links.unionByName(more)), "roots")
+        found = _links_within(buckets, roots, texts, thin)
+        if found is not None and not found.isEmpty():
+            root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+            joined = found.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+            above = materialise(components(joined), "roots").select(F.col("node").alias("root"), F.col("root").alias("top"))
+            alone = above.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+            roots = materialise(roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(alone), "roots")
+
+    placed = texts.select("content", "node", "of", "n")
+    placed = placed.withColumn("root", F.col("node")) if roots is None else placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = placed.drop("node")
+    classes = materialise(placed.groupBy("root").agg(F.min("of").alias("keep"), F.sum("n").alias("class_size"), F.count("*").alias("n")), "classes")
+    each = salted_join(placed.select("content", "root"), classes.drop("n"), "root", "content", classes).drop("root")
+    member = salted_join(rows.select("doc_id", "row_key", "n_words", "content"), each, "content", "doc_id", texts)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("row_key") == F.col("keep.row_key"))
+    return member.select("doc_id", "row_key", F.col("n_words").cast("long").alias("n_words"), F.col("keep.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
 
 
 def _words_of(nodes: DataFrame, texts: DataFrame, thin: DataFrame) -> DataFrame:
     """(node, words) of the nodes given, from a second reading of their texts."""
-    wanted = materialise(texts.join(nodes, "node").select("node", "content", F.col("of").alias("wanted")), "wanted")
+    wanted = materialise(texts.join(nodes, "node").select("node", "content", F.col("of.doc_id").alias("wanted")), "wanted")
     ids = broadcast_if_small(wanted.select("wanted").distinct(), 16)
     words = thin.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(_words, "content binary, words binary")
     return materialise(words.join(wanted, "content").groupBy("node").agg(F.first("words").alias("words")), "words")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, thin: DataFrame) -> DataFrame | None:
-    """The pairs (a, b) that alignment confirms, written down; None where there are none."""
-    size = lambda end: texts.select(F.col("node").alias(end), F.col("n_words").alias(f"n_{end}"))
-    fit = F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b")
-    pairs = materialise(pairs.join(size("a"), "a").join(size("b"), "b").where(fit).select("a", "b"), "pairs")
+def _verified(pairs: DataFrame, texts: DataFrame, thin: DataFrame) -> DataFrame:
+    """The pairs (a, b) that alignment confirms, written down."""
+    pairs = materialise(pairs, "pairs")
     if pairs.isEmpty():
-        return None
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    words = _words_of(nodes, texts, thin)
-    both = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
+        return pairs.withColumn("similarity", F.lit(1.0))
+    words = _words_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, thin)
+    both = salted_join(pairs, words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a", "b")
+    both = both.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
     return materialise(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, similarity double"), "links")
 
 

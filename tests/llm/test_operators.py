@@ -188,6 +188,73 @@ def test_near_dedup_of_short_texts_and_scattered_edits(spark):
     assert all(got[i] in (i, base_of[i]) for i in got) and sum(got[i] == base_of[i] for i in got if i >= exact) >= 0.97 * (len(rows) - exact)
 
 
+def _plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = above[j] + 1 if x == y else max(above[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.mark.parametrize("block", [500, 6])
+def test_near_dedup_against_all_pairs(spark, monkeypatch, block):
+    """A passage that all share, copies and edited ones, with buckets compared at once or parted by rare word pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng, texts = random.Random(23), []
+    passage = prose(rng, 60, 10**6).split()
+    for k in range(60):
+        own = prose(rng, rng.randrange(20, 90), 10**6).split()
+        texts.append([*own[: len(own) // 2], *passage, *own[len(own) // 2 :]] if k % 4 else own)
+        for _ in range(rng.randrange(3)):
+            texts.append([w if rng.random() > rng.choice((0.02, 0.1)) else f"new{rng.randrange(10**6)}" for w in texts[-1]])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(900 + k, " ".join(texts[k])) for k in range(30)]
+    root = {k: k for k in range(len(texts))}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            short, long = sorted((len(texts[a]), len(texts[b])))
+            if short >= 0.8 * long and len(set(texts[a]) & set(texts[b])) >= 0.7 * long and _plain_common(texts[a], texts[b]) >= 0.8 * long:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k]["class_id"] == find(k) for k in root) and all(got[900 + k]["class_id"] == find(k) for k in range(30))
+    size: dict = {}
+    for k, _ in rows:
+        size.setdefault(got[k]["class_id"], []).append(k)
+    assert all(got[k]["class_size"] == len(own) and got[k]["kept"] == (k == c) for c, own in size.items() for k in own)
+
+
+def test_long_texts_are_sketched_in_blocks(monkeypatch):
+    words = near_dedup.word_hashes(prose(random.Random(24), 3000, 40))
+    whole = [near_dedup.order_sketches(words, k).tolist() for k in (2, 3, 5)]
+    monkeypatch.setattr(near_dedup, "_COLUMNS", 128)
+    assert [near_dedup.order_sketches(words, k).tolist() for k in (2, 3, 5)] == whole
+
+
+def test_recall_by_similarity_and_length():
+    """Pairs of random words with words replaced, left out or put in at random places: how many agree in a key."""
+    rng = random.Random(25)
+    for n in (20, 40, 100, 200):
+        met = total = 0
+        for _ in range(250):
+            a = [rng.randrange(10**9) for _ in range(n)]
+            b = list(a)
+            for _ in range(rng.randrange(1, n // 5 + 1)):
+                k = rng.randrange(len(b))
+                b[k : k + 1] = rng.choice(([rng.randrange(10**9)], [], [b[k], rng.randrange(10**9)]))
+            a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+            if 0.8 <= near_dedup.similarity(a.astype(np.uint32), b.astype(np.uint32)) <= 0.9:
+                total += 1
+                met += bool(np.intersect1d(near_dedup.bucket_keys(a), near_dedup.bucket_keys(b)).size)
+        assert total > 50 and met >= 0.95 * total, (n, met, total)
+
+
 def test_tiny_texts_share_a_key_where_they_are_alike():
     rng = random.Random(12)
     for _ in range(400):
