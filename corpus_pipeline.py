@@ -4,11 +4,13 @@ Each stage takes all that the one before it kept.  A stage works on rows by
 (doc_id, hash of the text), so it doesn't need ids to be unique: rows that agree
 in both are one document that occurs several times.
 
-Defined results: null and empty texts are rejected by the first stage; rows
-that agree in id and text are reduced to one by the second and third (of their
-other columns the smallest values stay) and mixed as copies of one by the
-fourth; further columns go along up to the last stage; empty tables give empty
-tables.
+Defined results: null and empty texts and those without letters are rejected by
+the first stage, and so are texts of LONG_ENOUGH letters whose language can't be
+told; without any label nothing else is.  Rows that agree in id and text are
+reduced to one by the second and third (the one whose other columns come first
+as JSON stays) and mixed as copies of one by the fourth; further columns, maps
+too and whatever their names, go along up to the last stage; empty tables give
+empty tables.
 """
 
 from __future__ import annotations
@@ -23,42 +25,52 @@ from tessera.llm.mixing import mix, word_counts
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import default_tokenizer, pack_documents
 
-#: A text whose language is less sure than this is rejected.
+#: A text whose language is less sure than this is rejected, if it has so many letters that it could be told.
 LEAST_SCORE = 0.5
+LONG_ENOUGH = 20
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__key", F.xxhash64("text"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, id, row_key): whole rows aside, so that no column's name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row_key"))
 
 
 def _among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """rows (with __key) joined to keys (doc_id, row_key), broadcast where their counted size allows."""
-    keys = broadcast_if_small(keys.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row")), 32)
-    return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), how)
+    """rows (row, id, row_key) joined to keys (doc_id, row_key), broadcast where their counted size allows."""
+    keys = broadcast_if_small(keys.select(F.col("doc_id").alias("of"), F.col("row_key").alias("of_key")), 32)
+    return rows.join(keys, F.col("id").eqNullSafe(F.col("of")) & (F.col("row_key") == F.col("of_key")), how)
 
 
 def _one_of_each(rows: DataFrame) -> DataFrame:
-    """One row for each doc_id and __key, the smallest."""
-    others = [c for c in rows.columns if c not in ("doc_id", "__key")]
-    return rows.groupBy("doc_id", "__key").agg(F.min(F.struct(*others)).alias("__least")).select("doc_id", "__key", *[F.col("__least")[c].alias(c) for c in others]).select(*rows.columns)
+    """One row for each id and row_key, the first as JSON."""
+    return rows.groupBy("id", "row_key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row", "id", "row_key")
+
+
+def _without(rows: DataFrame, dropped: DataFrame, again: DataFrame) -> DataFrame:
+    """rows but for those dropped, and of those that occur again one each."""
+    left = _among(rows, dropped, "left_anti")
+    if again.isEmpty():
+        return left
+    return _among(left, again, "left_anti").unionByName(_one_of_each(_among(left, again, "left_semi")))
 
 
 def _keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of docs that decisions (doc_id, row_key, kept) keep, each once."""
     per = decisions.groupBy("doc_id", "row_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     per = materialise(per.where("not kept or n > 1"), "decisions")
-    left = _among(_with_key(docs), per.where("not kept"), "left_anti")
-    again = per.where("kept and n > 1")
-    if not again.isEmpty():
-        left = _among(left, again, "left_anti").unionByName(_one_of_each(_among(left, again, "left_semi")))
-    return left.select(*docs.columns)
+    return _without(_keyed(docs), per.where("not kept"), per.where("kept and n > 1")).select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told."""
-    found = language_of(spark.sparkContext.broadcast(train(docs)), F.col("text"))
-    told = docs.withColumn("__found", found)
-    return told.where((F.col("__found.lang_pred") != UNKNOWN) & (F.col("__found.score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents in a language that can be told, and short ones that have letters."""
+    model = train(docs)
+    letters = F.regexp_count("text", F.lit(r"\p{L}"))
+    if not model.languages:
+        return docs.where(letters > 0)
+    found = language_of(spark.sparkContext.broadcast(model), F.col("text"))
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), letters.alias("letters"), found.alias("found"))
+    sure = (F.col("found.lang_pred") != UNKNOWN) & ((F.col("found.score") >= LEAST_SCORE) | (F.col("letters") < LONG_ENOUGH))
+    return told.where(sure).select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,15 +85,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mix(word_counts(docs)).groupBy("doc_id", "row_key").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n"))
-    copies = materialise(copies, "copies")
-    rows = _with_key(docs)
-    again = copies.where("__n > 1")
-    if not again.isEmpty():
-        rows = _among(rows, again, "left_anti").unionByName(_one_of_each(_among(rows, again, "left_semi")))
-    taken = copies.where("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"), "__copies")
-    met = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    copies = materialise(mix(word_counts(docs)).groupBy("doc_id", "row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")), "copies")
+    rows = _without(_keyed(docs), copies.where("false"), copies.where("n > 1"))
+    taken = copies.where("copies > 0").select(F.col("doc_id").alias("of"), F.col("row_key").alias("of_key"), "copies")
+    met = rows.join(taken, F.col("id").eqNullSafe(F.col("of")) & (F.col("row_key") == F.col("of_key")))
+    return met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
