@@ -17,11 +17,11 @@
    similarity of THRESHOLD allows: words in common, in order, over the longer
    text's words.
 4. Verified pairs make components.  What then is in buckets of several
-   components is compared member by member.  Buckets of over BLOCK members, as a
-   common passage makes, are parted first: a member goes on under its rarest
-   pairs of neighbouring words, so many of them that two members that are alike
-   must have one in common (a prefix filter).  Most members have none left that
-   another member shares, and drop out.  What is left meets in blocks.
+   components is compared member by member, in blocks, by bits that say which
+   words a member has, and aligned where these allow it.  Buckets of over LARGE
+   members, as a very common passage makes, are parted first: a member goes on
+   under its rarest words, so many of them that two members that are alike must
+   have one in common (a prefix filter), and only where another member has it.
 
 Pairs of TINY words at most are all found, and of pairs that agree in a sketch
 none is left out.  Longer ones can be missed where edits lie scattered and near
@@ -58,8 +58,9 @@ TUPLE = 2
 #: Words up to which texts have sketches of 2-word shingles, and up to which they are found exactly.
 SHORT = 64
 TINY = 14
-#: Members of a bucket that are compared at once.
-BLOCK = 500
+#: Members of a bucket that are compared at once, and up to which a bucket isn't parted.
+BLOCK = 2000
+LARGE = 20_000
 #: Bits of the signature that says which words a member has.
 SIGNATURE = 1024
 
@@ -241,6 +242,7 @@ def compare(members: list[tuple], key: int, within: bool, left: int) -> Iterator
     words = [np.frombuffer(m[3], np.uint32) for m in members]
     size, root = np.array([len(w) for w in words]), np.array([m[1] for m in members])
     bits, more = signatures(words)
+    earlier = [{x for x in m[2] if x < key} for m in members]
     for k in range(left if not within else len(members)):
         low = k + 1 if within else left
         need = THRESHOLD * np.maximum(size[low:], size[k])
@@ -248,7 +250,7 @@ def compare(members: list[tuple], key: int, within: bool, left: int) -> Iterator
         if len(fit):
             common = np.bitwise_count(bits[low + fit] & bits[k]).sum(axis=1) + np.minimum(more[low + fit], more[k])
             for m in (low + fit[common >= need[fit]]).tolist():
-                if root[m] != root[k] and np.intersect1d(members[k][2], members[m][2])[0] == key and (alike := similarity(words[k], words[m])) >= THRESHOLD:
+                if root[m] != root[k] and earlier[k].isdisjoint(earlier[m]) and (alike := similarity(words[k], words[m])) >= THRESHOLD:
                     yield members[k][0], members[m][0], alike
                     root[root == root[m]] = root[k]
 
@@ -273,28 +275,27 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from links()
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member's pairs of neighbouring words, equal ones told apart, and how many of the rarest must hold one that it shares with any like it."""
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member's words, equal ones told apart, and how many of the rarest must hold one that it shares with any like it."""
     for batch in batches:
-        grams = [labelled(shingle_hashes(np.frombuffer(w, np.uint32).astype(np.uint64), 2)).view(np.int64) for w in batch.column(2).to_pylist()]
-        size = np.array([len(g) for g in grams], np.int64)
-        # Two alike have 0.4 times their words - 1 pairs in common: 3 x common words - both lengths - 1, with THRESHOLD x the longer one in common.
-        need = [len(g) - max(1, int(np.ceil((3 * THRESHOLD - 2) * (len(g) + 1) - 1 - 1e-9))) + 1 for g in grams]
-        row = pa.array(np.repeat(np.arange(len(grams)), size))
+        terms = [labelled(mix(np.frombuffer(w, np.uint32).astype(np.uint64))).view(np.int64) for w in batch.column(2).to_pylist()]
+        size = np.array([len(t) for t in terms], np.int64)
+        first = size - np.ceil(THRESHOLD * size - 1e-9).astype(np.int64) + 1
+        row = pa.array(np.repeat(np.arange(len(terms)), size))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate([np.zeros(0, np.int64), *grams])), pa.array(np.repeat(size, size).astype(np.int32)), pa.array(np.repeat(np.array(need, np.int32), size))],
-            names=["bucket", "node", "gram", "size", "first"],
+            [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate([np.zeros(0, np.int64), *terms])), pa.array(np.repeat(size, size)), pa.array(np.repeat(first, size))],
+            names=["bucket", "node", "term", "size", "first"],
         )
 
 
 def _parted(large: DataFrame, words: DataFrame) -> DataFrame:
-    """(key, node) instead of (bucket, node) for large buckets: under the rarest pairs of words of each member."""
-    grams = materialise(large.join(words, "node").select("bucket", "node", "words").mapInArrow(_grams, "bucket long, node long, gram long, size int, first int"), "grams")
-    often = materialise(grams.groupBy("bucket", "gram").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    shared = salted_join(grams, often.withColumnRenamed("n", "times"), ["bucket", "gram"], "node", often)
-    order = W.partitionBy("bucket", "node").orderBy("times", "gram")
-    placed = shared.withColumn("place", F.row_number().over(order)).withColumn("alone", F.col("size") - F.count("*").over(W.partitionBy("bucket", "node")))
-    return placed.where(F.col("place") <= F.col("first") - F.col("alone")).select(F.xxhash64("bucket", "gram").alias("key"), "node")
+    """(key, node) instead of (bucket, node) for large buckets: under the rarest words of each member."""
+    terms = materialise(large.join(words, "node").select("bucket", "node", "words").mapInArrow(_terms, "bucket long, node long, term long, size long, first long"), "terms")
+    often = materialise(terms.groupBy("bucket", "term").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    shared = salted_join(terms, often.withColumnRenamed("n", "times"), ["bucket", "term"], "node", often)
+    own = W.partitionBy("bucket", "node")
+    placed = shared.withColumn("place", F.row_number().over(own.orderBy("times", "term"))).withColumn("alone", F.col("size") - F.count("*").over(own))
+    return placed.where(F.col("place") <= F.col("first") - F.col("alone")).select(F.xxhash64("bucket", "term").alias("key"), "node")
 
 
 def _links_within(buckets: DataFrame, roots: DataFrame, texts: DataFrame, thin: DataFrame) -> DataFrame | None:
@@ -305,8 +306,8 @@ def _links_within(buckets: DataFrame, roots: DataFrame, texts: DataFrame, thin:
     if left.isEmpty():
         return None
     words = _words_of(left.select("node").distinct(), texts, thin)
-    keys = left.where(F.col("n") <= BLOCK).select(F.col("bucket").alias("key"), "node")
-    large = left.where(F.col("n") > BLOCK)
+    keys = left.where(F.col("n") <= LARGE).select(F.col("bucket").alias("key"), "node")
+    large = left.where(F.col("n") > LARGE)
     if not large.isEmpty():
         keys = keys.unionByName(_parted(large.select("bucket", "node"), words))
     keys = materialise(keys.join(left.select("node", "root").distinct(), "node"), "keys")

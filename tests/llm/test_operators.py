@@ -197,10 +197,11 @@ def _plain_common(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("block", [500, 6])
-def test_near_dedup_against_all_pairs(spark, monkeypatch, block):
-    """A passage that all share, copies and edited ones, with buckets compared at once or parted by rare word pairs."""
+@pytest.mark.parametrize(("block", "large"), [(2000, 20_000), (6, 20_000), (4, 6)])
+def test_near_dedup_against_all_pairs(spark, monkeypatch, block, large):
+    """A passage that all share, copies and edited ones, with buckets compared at once, in blocks or parted by rare words."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "LARGE", large)
     rng, texts = random.Random(23), []
     passage = prose(rng, 60, 10**6).split()
     for k in range(60):
