@@ -1,17 +1,38 @@
-"""Text functions as columns: all of them stay in the JVM."""
+"""Text functions as columns: all of them stay in the JVM but for nfkc() and html_text()."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import html
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Character classes and replacements of the normal form.
-INVISIBLE = "[​-‏‪-‮⁠-⁤﻿]"
-DIACRITICS = "[ؐ-ًؚ-ٰٟۖ-ۭـ]"
-LETTERS_FROM = "أإآٱىةؤئیکگھہ"
-LETTERS_TO = "اااايهوييككهه"
+# Character classes and replacements of the normal form, prefixes and stop words of search terms.
+INVISIBLE = r"[\x{feff}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{ad}]"
+DIACRITICS = r"[\x{610}-\x{61a}\x{64b}-\x{65f}\x{670}\x{6d6}-\x{6dc}\x{6df}-\x{6e8}\x{6ea}-\x{6ed}\x{640}]"
+LETTERS_FROM = "آأإٱٲٳىةؤئیےکہ"
+LETTERS_TO = "اااااايهويييكه"
 ARABIC_PREFIX = "^(وال|بال|كال|فال|لل|ال)(.{3,})$"
-WORD = "[a-zà-ÿ0-9]+"
+ENGLISH_STOP = (
+    "a an the of to in on and or is are was were be been it its this that these those for with as by at from do does did "
+    "why what how who whom which when where can could would should i you he she we they me my your our their his her them "
+    "us not no so if then than there about into over also just"
+)
+ARABIC_STOP = (
+    "في من على الى عن ما ماذا لماذا هل ان او ثم لا لم لن قد كان كانت هو هي هم هذا هذه ذلك تلك التي الذي الذين كل بعض اي كيف متي "
+    "اين مع عند بين حتي اذا لكن بل انا نحن انت"
+)
+
+STOP = sorted({*ENGLISH_STOP.split(), *ARABIC_STOP.split()})
+SPACES = r"[\t-\r\x{1c}- \x{85}\x{a0}\x{2028}\x{2029}]+"
+#: A search term: Arabic letters, or Latin ones and digits.
+TERM = "[ء-ي]+|[a-zà-ÿ0-9]+"
+#: A word of any script.
+WORD = r"[\p{L}\p{N}]+"
+ARABIC = "[ء-ي]"
 
 
 def strip_diacritics(text: Column) -> Column:
@@ -19,26 +40,69 @@ def strip_diacritics(text: Column) -> Column:
 
 
 def norm(text: Column) -> Column:
-    """Invisible marks and diacritics dropped, letter forms unified, spaces collapsed, lower case."""
+    """Invisible marks and diacritics dropped, letter forms unified, spaces collapsed, lower case.
+
+    Compatibility forms stay; normalise() sees to these as well.
+    """
     plain = F.translate(strip_diacritics(F.regexp_replace(text, INVISIBLE, "")), LETTERS_FROM, LETTERS_TO)
-    return F.lower(F.trim(F.regexp_replace(plain, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(plain, SPACES, " ")))
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def normalise(rows: DataFrame, text: str) -> DataFrame:
+    """rows with `text` in NFKC and normal form; only rows that hold other than ASCII, common Latin or plain Arabic letters go through Python."""
+    plain = F.coalesce(~F.col(text).rlike(r"[^\x00-\x{7f}\x{c0}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{60c}-\x{65f}\x{670}-\x{674}\x{679}-\x{6d3}«»“”]"), F.lit(True))
+    direct, other = rows.where(plain), rows.where(~plain)
+    return direct.withColumn(text, norm(F.col(text))).unionByName(other.withColumn(text, norm(nfkc(F.col(text)))))
 
 
-def stem(token: Column) -> Column:
-    return F.regexp_replace(token, ARABIC_PREFIX, "$2")
+def has_arabic(text: Column) -> Column:
+    return norm(text).rlike(ARABIC)
+
+
+def stem(term: Column) -> Column:
+    return F.regexp_replace(term, ARABIC_PREFIX, "$2")
 
 
 def words(text: Column) -> Column:
-    """Words of two letters or more, in order."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.length(w) > 1)
+    """All words of a text in normal form, whatever their script, in order."""
+    return F.regexp_extract_all(norm(text), F.lit(WORD), F.lit(0))
+
+
+def terms(text: Column) -> Column:
+    """Search terms in order: without stop words, Arabic ones without their prefix, two letters or more."""
+    found = F.filter(F.regexp_extract_all(norm(text), F.lit(TERM), F.lit(0)), lambda t: ~t.isin(STOP))
+    return F.filter(F.transform(found, stem), lambda t: F.length(t) > 1)
+
 
+@F.pandas_udf(T.StringType())
+def unescape(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else html.unescape(t))
 
-def html_text(html: Column) -> Column:
-    """Tags become spaces, the four entities in use their characters, white space one space."""
-    plain = F.regexp_replace(html, "<[^>]*>", " ")
-    for name, value in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")):
+
+def html_text(rows: DataFrame, source: str, out: str) -> DataFrame:
+    """rows with `out`, the text of HTML: tags become spaces, entities their characters, white space one space.
+
+    Entities beyond the commonest ones go through Python, where a row has any.
+    """
+    plain = F.regexp_replace(F.col(source), "<[^>]*>", " ")
+    for name, value in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'")):
         plain = F.replace(plain, F.lit(name), F.lit(value))
-    return F.trim(F.regexp_replace(plain, r"[ \t\r\n]+", " "))
+    rows = rows.withColumn(out, plain)
+    rest = F.coalesce(F.regexp_replace(out, "&amp;", " ").rlike("&(#[0-9xX]|[A-Za-z])"), F.lit(False))
+    direct = rows.where(~rest).withColumn(out, F.replace(F.col(out), F.lit("&amp;"), F.lit("&")))
+    both = direct.unionByName(rows.where(rest).withColumn(out, unescape(F.regexp_replace(source, "<[^>]*>", " "))))
+    return both.withColumn(out, F.trim(F.regexp_replace(out, SPACES, " ")))
+
+
+def without_quotes(text: Column) -> Column:
+    """A text without quotations, placeholders and references, unless fewer than three letters are left."""
+    rest = F.trim(F.regexp_replace(F.regexp_replace(text, r"﴿[^﴾]*﴾|«[^»]*»|\[\[[^\]]*\]\]|\[[^\]]{1,40}\]", " "), SPACES, " "))
+    return F.when(F.regexp_count(rest, F.lit(r"\p{L}")) >= 3, rest).otherwise(text)
 
 
 def sigmoid(x: Column) -> Column:
@@ -47,3 +111,19 @@ def sigmoid(x: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm_sql(text: str) -> str:
+    """norm() as DuckDB SQL."""
+    plain = f"regexp_replace(regexp_replace({text}, '{INVISIBLE}', '', 'g'), '{DIACRITICS}', '', 'g')"
+    return f"lower(trim(regexp_replace(translate({plain}, '{LETTERS_FROM}', '{LETTERS_TO}'), '{SPACES}', ' ', 'g')))"
+
+
+def words_sql(text: str) -> str:
+    return f"regexp_extract_all({norm_sql(text)}, '{WORD}')"
+
+
+def terms_sql(text: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in STOP)
+    found = f"list_filter(regexp_extract_all({norm_sql(text)}, '{TERM}'), lambda x: x NOT IN ({stop}))"
+    return f"list_filter(list_transform({found}, lambda x: regexp_replace(x, '{ARABIC_PREFIX}', '\\2')), lambda x: length(x) > 1)"

@@ -10,10 +10,13 @@ MAX_SPAN = 40
 
 
 def range_lookup(rows: DataFrame, refs: DataFrame, key: str, place: str, text: str) -> DataFrame:
-    """(key, lo, hi, text) of refs whose places all exist; others are left out."""
-    fit = refs.where((F.col("lo") <= F.col("hi")) & (F.col("hi") - F.col("lo") < MAX_SPAN))
+    """(key, lo, hi, text) of refs whose places all exist, each ref once; others are left out.
+
+    Of rows of one key and place the first text counts.
+    """
+    fit = refs.where((F.col("lo") <= F.col("hi")) & (F.col("hi") - F.col("lo") < MAX_SPAN)).select(key, "lo", "hi").distinct()
     spelt = fit.select(key, "lo", "hi", F.explode(F.sequence("lo", "hi")).alias(place))
-    met = spelt.join(rows.select(key, place, text), [key, place])
+    met = spelt.join(rows.groupBy(key, place).agg(F.min(text).alias(text)), [key, place])
     whole = met.groupBy(key, "lo", "hi").agg(F.array_sort(F.collect_list(F.struct(place, text))).alias("parts"))
     whole = whole.where(F.size("parts") == F.col("hi") - F.col("lo") + 1)
     return whole.select(key, "lo", "hi", F.array_join(F.transform("parts", lambda p: F.concat(F.lit("("), p[place].cast("string"), F.lit(") "), p[text])), " ").alias("text"))
@@ -31,3 +34,17 @@ def overlaps(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     met = left.join(r, (F.col(key) == F.col("_k")) & (F.col("lo") <= F.col("_hi")) & (F.col("_lo") <= F.col("hi")))
     places = F.least("hi", "_hi") - F.greatest("lo", "_lo") + 1
     return met.groupBy(key, "lo", "hi").agg(F.count("*").alias("n"), F.sum(places).cast("long").alias("places"))
+
+
+def matches(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """The pairs of found and expected ids (id, lo, hi) that agree: equal, one beneath the other, or ranges of one key that overlap.
+
+    Ids are paths with colons; key, lo and hi are null for ids that are no
+    range.  Three equality joins, on the id, on each path above it, and on the
+    key with the places spelt out for ranges of MAX_SPAN at most.
+    """
+    above = F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split("id", ":"))), lambda i: F.array_join(F.slice(F.split("id", ":"), F.lit(1), i), ":")), lambda p: p != "")
+    beneath = found.select(F.col("id").alias("found"), F.explode(above).alias("expected")).join(expected.select(F.col("id").alias("expected")), "expected")
+    spelt = lambda df, name: df.where((F.col("lo") <= F.col("hi")) & (F.col("hi") - F.col("lo") < MAX_SPAN)).select(F.col("id").alias(name), "key", F.explode(F.sequence("lo", "hi")).alias("place"))
+    over = spelt(found, "found").join(spelt(expected, "expected"), ["key", "place"])
+    return beneath.select("found", "expected").unionByName(over.select("found", "expected")).distinct()

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tessera.jobs.queries import QUERIES, SQL
+from tessera.jobs import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
