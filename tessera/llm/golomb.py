@@ -74,13 +74,20 @@ def unpack(blob: bytes) -> np.ndarray:
     return decode(blob[8:]) + np.uint64(int.from_bytes(blob[:8], "little"))
 
 
-def repeated_bitmaps(sent: list[np.ndarray], times: int = 2) -> list[bytes]:
-    """For each sender's distinct values a bitmap of those that so many senders have."""
-    every, count = np.unique(np.concatenate(sent), return_counts=True) if sent else (np.zeros(0, np.uint64), np.zeros(0))
-    often = every[count >= times]
-    out = []
-    for v in sent:
-        at = np.searchsorted(often, v)
-        hit = (often[np.minimum(at, len(often) - 1)] == v) if len(often) else np.zeros(len(v), bool)
-        out.append(np.packbits(hit).tobytes())
-    return out
+def values_of_many(sent: list[np.ndarray], times: int) -> np.ndarray:
+    """The values that at least so many senders of distinct values have, sorted."""
+    every, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *sent]), return_counts=True)
+    return every[count >= times]
+
+
+def bitmap(values: np.ndarray, among: np.ndarray) -> bytes:
+    """Which of the values are among others, which are sorted."""
+    at = np.searchsorted(among, values)
+    hit = (among[np.minimum(at, len(among) - 1)] == values) if len(among) else np.zeros(len(values), bool)
+    return np.packbits(hit).tobytes()
+
+
+def repeated_bitmaps(sent: list[np.ndarray]) -> list[bytes]:
+    """For each sender's distinct values a bitmap of those that another sender has too."""
+    twice = values_of_many(sent, 2)
+    return [bitmap(v, twice) for v in sent]

@@ -19,9 +19,9 @@ and only those that can meet an equal one:
    of its suffixes.  What has an equal of a smaller id in the unit is settled.
 3. The rest goes, in runs with the bytes around, to the task of its key, and is
    sorted there by the same routine.  A passage that a third of all documents
-   share leaves each unit once.  A key that many units have, as a frequent
-   phrase gives, is parted by the bytes before or after the key's string: the
-   side of which the suffix holds more.
+   share leaves each unit once.  A key that many units have in MANY_RUNS places
+   each, as a frequent phrase gives, is parted by the bytes before or after the
+   key's string: the side of which the suffix holds more.
 4. Ranges to remove come back to the units, which cut the texts.
 
 (The keys of step 1 are by content and not by residues: to bring equal strings
@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, materialise, shuffle_partitions
-from tessera.llm.golomb import owner_of, pack_by_owner, repeated_bitmaps, unpack
+from tessera.llm.golomb import bitmap, owner_of, pack_by_owner, repeated_bitmaps, unpack, values_of_many
 from tessera.llm.hashing import mix, powers, prefix_hash, run_hashes
 
 LENGTH = 50
@@ -58,8 +58,9 @@ KEY_BITS = 44
 UNITS = 4
 #: Groups of keys for each shuffle partition; a task has one of them in memory at a time.
 GROUPS = 8
-#: Keys of so many units are parted by CONTEXT bytes beside their strings.
+#: Keys that so many units have in so many places each are parted by CONTEXT bytes beside their strings.
 MANY_UNITS = 32
+MANY_RUNS = 8
 CONTEXT = 13
 #: A bucket has so many suffixes, or a sixteenth of them if that is more.
 SORT_AT_ONCE = 1 << 16
@@ -269,15 +270,18 @@ def part_keys(data: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndarra
 
 def _send_keys(owners: int):
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        sent = pack_by_owner(np.unique(Unit(pdf).runs()[3]), KEY_BITS, owners)
-        return pd.DataFrame({"unit": int(pdf["unit"].iloc[0]), "owner": [s[0] for s in sent], "blob": [s[3] for s in sent]})
+        keys, runs = np.unique(Unit(pdf).runs()[3], return_counts=True)
+        often = {s[0]: s[3] for s in pack_by_owner(keys[runs >= MANY_RUNS], KEY_BITS, owners)}
+        sent = pack_by_owner(keys, KEY_BITS, owners)
+        return pd.DataFrame({"unit": int(pdf["unit"].iloc[0]), "owner": [s[0] for s in sent], "blob": [s[3] for s in sent], "often": [often.get(s[0], b"") for s in sent]})
 
     return send
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     sent = [unpack(b) for b in pdf["blob"]]
-    return pd.DataFrame({"unit": pdf["unit"], "owner": pdf["owner"], "bits": repeated_bitmaps(sent), "many": repeated_bitmaps(sent, MANY_UNITS)})
+    many = values_of_many([unpack(b) for b in pdf["often"] if b], MANY_UNITS)
+    return pd.DataFrame({"unit": pdf["unit"], "owner": pdf["owner"], "bits": repeated_bitmaps(sent), "many": [bitmap(v, many) for v in sent]})
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -426,7 +430,7 @@ def _planned(docs: DataFrame, last, schema: str, id_col: str, text_col: str) ->
     salt = F.when(F.col("spread"), F.pmod(F.xxhash64("doc_id"), F.lit(units))).otherwise(F.lit(0).cast("long"))
     # Units, owners and groups are dealt in turn, so that every partition has as many of them.
     dealt = thin.join(spread, "key", "left").select(F.pmod(F.pmod("key", F.lit(units)) + salt, F.lit(units)).cast("int").alias("unit"), "doc_id", "raw").repartitionById(partitions, "unit")
-    keys = dealt.groupBy("unit").applyInPandas(_send_keys(partitions), "unit int, owner int, blob binary").repartitionById(partitions, "owner")
+    keys = dealt.groupBy("unit").applyInPandas(_send_keys(partitions), "unit int, owner int, blob binary, often binary").repartitionById(partitions, "owner")
     answers = keys.groupBy("owner").applyInPandas(_answer, "unit int, owner int, bits binary, many binary").repartitionById(partitions, "unit")
     asked = dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(_send_suffixes(partitions, groups), "bucket int, unit int, settled boolean, blob binary").repartitionById(partitions, "bucket")
     ranges = asked.groupBy("bucket").applyInPandas(_sort_group, "unit int, blob binary").repartitionById(partitions, "unit")

@@ -128,7 +128,7 @@ def test_frequent_keys_are_parted_alike(monkeypatch):
 @pytest.mark.parametrize("many", [2, 1000])
 def test_suffix_dedup_in_small_pieces(spark, monkeypatch, many):
     """Chunks and buckets of few bytes, keys parted or not, against brute force."""
-    for name, value in (("_CHUNK", 256), ("SORT_AT_ONCE", 64), ("MANY_UNITS", many)):
+    for name, value in (("_CHUNK", 256), ("SORT_AT_ONCE", 64), ("MANY_UNITS", many), ("MANY_RUNS", 1)):
         monkeypatch.setattr(suffix_dedup, name, value)
     rng = random.Random(4)
     shared = [prose(rng, 30) for _ in range(3)]
