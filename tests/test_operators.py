@@ -2,8 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import norm, stem, strip_diacritics, words
-from tessera.operators import chat, chunks, evaluation, intervals, labels, search
+from tessera.functions.text import has_arabic, html_text, norm, normalise, stem, strip_diacritics, terms, without_quotes, words
+from tessera.operators import chat, checks, chunks, copies, evaluation, intervals, labels, records, search, store
 
 
 def _one(spark, text, f):
@@ -15,7 +15,16 @@ def test_text(spark):
     assert _one(spark, "أَحْمَد", norm) == "احمد"
     assert _one(spark, "كـتاب", strip_diacritics) == "كتاب"
     assert _one(spark, "والكتاب", stem) == "كتاب"
-    assert _one(spark, "The 2 cafés, a-b", words) == ["the", "cafés"]
+    assert _one(spark, "The 2 cafés, a-b أَحْمَد", words) == ["the", "2", "cafés", "a", "b", "احمد"]
+    # Stop words go before prefixes do; one letter is no term.
+    assert _one(spark, "The Books of والكتاب في المدرسة x 7 للناس", terms) == ["books", "كتاب", "مدرسه", "ناس"]
+    assert _one(spark, "a\u200fb\u2066c\u00adt کتاب ے ٱلله", norm) == "abct كتاب ي الله"
+    assert _one(spark, "مرحبا", has_arabic) and not _one(spark, "hello", has_arabic)
+    assert _one(spark, "see «نص طويل» [x: 1]", without_quotes) == "see" and _one(spark, "«نص»", without_quotes) == "«نص»"
+    forms = spark.createDataFrame([(1, "ﻛﺘﺎب ①"), (2, "Plain Text"), (3, None), (4, "ﬁne\u00a0x")], "i int, t string")
+    assert {r["i"]: r["t"] for r in normalise(forms, "t").collect()} == {1: "كتاب 1", 2: "plain text", 3: None, 4: "fine x"}
+    pages = spark.createDataFrame([(1, "<p>a &amp;lt; b&nbsp;&middot; c</p>"), (2, "&eacute;&#x41;<br>&amp;"), (3, None)], "i int, h string")
+    assert {r["i"]: r["t"] for r in html_text(pages, "h", "t").collect()} == {1: "a &lt; b · c", 2: "éA &", 3: None}
 
 
 def test_rrf_prefers_the_document_of_most_lists(spark):
@@ -32,7 +41,7 @@ def test_diversity_keeps_two_a_parent(spark):
 
 def test_range_lookup_is_all_or_nothing(spark):
     rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 4, "d")], "k int, n int, t string")
-    refs = spark.createDataFrame([(1, 1, 2), (1, 2, 4), (1, 2, 1), (1, 1, 99), (2, 1, 1)], "k int, lo int, hi int")
+    refs = spark.createDataFrame([(1, 1, 2), (1, 1, 2), (1, 2, 4), (1, 2, 1), (1, 1, 99), (2, 1, 1)], "k int, lo int, hi int")
     assert [tuple(r) for r in intervals.range_lookup(rows, refs, "k", "n", "t").collect()] == [(1, 1, 2, "(1) a (2) b")]
 
 
@@ -47,16 +56,113 @@ def test_intervals_against_brute_force(spark):
 
 
 def test_reply_language_falls_back(spark):
-    en, de = "the cat and the dog of the house", "der Hund und die Katze ist nicht das"
-    rows = [(1, 0, "user", de), (2, 0, "user", en), (2, 1, "user", "???"), (3, 0, "user", "123"), (4, 0, "user", de), (4, 5, "user", "hm")]
-    got = chat.reply_language(chat.message_languages(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")))
-    assert {r["conv_id"]: (r["lang"], r["source"]) for r in got.collect()} == {1: ("de", "target"), 2: ("en", "nearby"), 3: ("en", "default"), 4: ("de", "conversation")}
+    en, de, fr = "the cat and the dog of the house", "der Hund und die Katze ist nicht das", "le chat et la maison est dans la rue"
+    rows = [(1, 0, "user", de), (2, 0, "user", en), (2, 1, "user", "???"), (3, 0, "user", "123"), (4, 0, "user", de), (4, 1, "assistant", en), (4, 2, "user", de), (4, 3, "user", en), (4, 9, "user", "hm"), (5, 0, "assistant", "x")]
+    told = chat.message_languages(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))
+    known = spark.createDataFrame([(3, "FR_ca", "de"), (5, None, "es-MX")], "conv_id int, conversation string, profile string")
+    assert {r["conv_id"]: (r["turn"], r["lang"], r["source"]) for r in chat.reply_language(told, known).collect()} == {
+        1: (0, "de", "target_message"), 2: (1, "en", "recent_messages"), 3: (0, "fr", "conversation"), 4: (9, "de", "recent_messages"), 5: (0, "es", "profile"),
+    }
+    assert {r["conv_id"]: r["source"] for r in chat.reply_language(told).collect()}[3] == "default"
+    more = rows + [(6, 0, "user", fr), (6, 1, "user", "?"), (6, 2, "user", en), (6, 3, "user", "!"), (6, 8, "user", "...")]
+    told = chat.message_languages(spark.createDataFrame(more, "conv_id int, turn int, role string, text string"))
+    targets = spark.createDataFrame([(6, 1), (6, 8), (4, 1), (4, 77), (4, 0)], "conv_id int, turn int")
+    # Of equally near messages the earlier counts; another's message, or none, can't be answered.
+    assert {(r["conv_id"], r["turn"]): (r["lang"], r["source"]) for r in chat.reply_language(told, None, targets).collect()} == {
+        (6, 1): ("fr", "nearby_message"), (6, 8): ("en", "nearby_message"), (4, 1): (None, "invalid_target"), (4, 77): (None, "invalid_target"), (4, 0): ("de", "target_message"),
+    }
 
 
 def test_chunks(spark):
     text = "\n".join(["x" * 500] * 5 + ["y" * 10])
-    got = chunks.chunk_lines(spark.createDataFrame([(1, text), (2, None), (3, "z" * 3000), (4, "  0" + "a" * 90 + " \n10" + "b" * 90 + "1")], "doc_id int, text string")).orderBy("doc_id", "chunk").collect()
-    assert [(r["doc_id"], r["chunk"], r["n_lines"], r["chars"]) for r in got] == [(1, 1, 3, 1502), (1, 2, 3, 1012), (3, 1, 1, 3000), (4, 1, 2, 185)]
+    long = ". ".join("w" * 400 for _ in range(9))
+    rows = [(1, text), (2, None), (3, "z" * 3000), (4, "  0" + "a" * 90 + " \n10" + "b" * 90 + "1"), (5, long)]
+    got = chunks.chunk_pages(spark.createDataFrame(rows, "doc_id int, text string")).orderBy("doc_id", "chunk").collect()
+    assert [(r["doc_id"], r["chunk"], r["n_parts"], r["chars"]) for r in got] == [(1, 1, 3, 1502), (1, 2, 3, 1012), (3, 1, 1, 3000), (4, 1, 2, 185), (5, 1, 1, 1607), (5, 2, 1, 1607), (5, 3, 1, 400)]
+    lines = "\n".join(["a" * 700 + "."] * 4 + ["b" * 90])
+    got = chunks.chunk_sentences(spark.createDataFrame([(1, lines), (2, "c" * 100), (3, "d\n" * 1300)], "doc_id int, text string")).orderBy("doc_id", "chunk").collect()
+    assert [(r["doc_id"], r["chunk"], r["chars"]) for r in got][:3] == [(1, 1, 1403), (1, 2, 1494), (2, 1, 100)] and all(r["chars"] <= 2240 + 420 for r in got)
+    pages = spark.createDataFrame([([("٢", 5), ("٢", 7)],), ([("المقدمة", 3)],), ([(None, None)],), ([(None, 9), ("x", 9)],)], "p array<struct<part:string,page:int>>")
+    assert [r[0] for r in pages.select(chunks.page_label(F.col("p"))).collect()] == ["ج ٢ ص 5-7", "المقدمة، ص 3", "", "ص 9"]
+
+
+def test_references(spark):
+    cases = {"Q:2:255": (2, 255, 255), " Q:112:1-4": (112, 1, 4), "Q:0:1": None, "Q:115:1": None, "Q:2:5-3": None, "H:x": None, "Q:2": None, "2:255": None}
+    got = spark.createDataFrame([(r,) for r in cases], "r string").select("r", store.parse_ref(F.col("r")).alias("p")).collect()
+    assert {r["r"]: None if r["p"] is None else tuple(r["p"]) for r in got} == cases
+    rows = spark.createDataFrame([(2, 1, "a"), (2, 2, "b"), (2, 2, "b"), (2, 3, "c")], "key int, place int, text string")
+    said = spark.createDataFrame([(2, 1, "en", "A"), (2, 2, "en", "B"), (2, 1, "fr", "Af")], "key int, place int, lang string, text string")
+    asked = spark.createDataFrame([("Q:2:1-2", "de"), ("Q:2:1-2", "de"), ("Q:2:1-2", "fr-FR"), ("Q:2:2-3", "en"), ("Q:2:3-4", "en"), ("Q:2:1", "ar"), ("Q:2:1", "fr")], "ref string, lang string")
+    got = {(r["ref"], r["lang"]): (r["text"], r["translation"]) for r in store.lookup(asked, rows, said, ["en", "fr"]).collect()}
+    pair = "a ۝١ b ۝٢"
+    assert got == {("Q:2:1-2", "de"): (pair, "(1) A (2) B"), ("Q:2:1-2", "fr-FR"): (pair, None), ("Q:2:2-3", "en"): ("b ۝٢ c ۝٣", None), ("Q:2:1", "ar"): ("a", None), ("Q:2:1", "fr"): ("a", "Af")}
+    ids = spark.createDataFrame([("Q:2:1-4", 2, 1, 4), ("Q:2:9", 2, 9, 9), ("QA:s:9:3", None, None, None), ("QA:s:91", None, None, None)], "id string, key int, lo int, hi int")
+    want = spark.createDataFrame([("Q:2:1", 2, 1, 1), ("QA:s:9", None, None, None)], "id string, key int, lo int, hi int")
+    assert sorted(map(tuple, intervals.matches(ids, want).collect())) == [("Q:2:1-4", "Q:2:1"), ("QA:s:9:3", "QA:s:9")]
+
+
+def test_draft_checks(spark):
+    def issues(reply, evidence=("Q:2:1-5", "S:1"), cited=("S:1",), points=(("m", ("S:1",)),), lang="en", detected=None, level="B", copied=None):
+        return (reply, lang, level, list(evidence), list(cited), [(m, list(s)) for m, s in points], ["ramadan"], detected, copied)
+
+    cases = [
+        (issues("fine [[Q:2:3]]"), []), (issues("so [[Q:9:1]]"), ["placeholder"]), (issues("x", cited=("S:2",)), ["cited_id"]), (issues("x", cited=()), ["no_citation"]),
+        (issues("﴿x﴾"), ["brackets"]), (issues("x ([GL:1])"), ["raw_id"]), (issues("кот"), ["garbled"]), (issues("x", points=(("m", ()),)), ["point_without_source"]),
+        (issues("x", points=(("m", ("S:7",)),)), ["point_source"]), (issues("x", points=()), ["no_points"]), (issues("x", detected="fr"), ["language"]), (issues("x", lang="ur", detected="fa"), []),
+        (issues("x", copied=8), ["copied"]), (issues("All scholars agree", level="D"), ["certainty"]), (issues("All scholars agree", level="A"), []),
+    ]
+    drafts = spark.createDataFrame([c[0] for c in cases], "reply string, lang string, level string, evidence array<string>, cited array<string>, points array<struct<meaning:string,sources:array<string>>>, latin array<string>, detected string, copied int")
+    assert [r["issues"] for r in checks.draft_issues(drafts).collect()] == [c[1] for c in cases]
+    letters = [("وقد Exploration Stem sorry", "ar", "latin_run"), ("كلمة Ramadan فقط", "ar", None), ("أوshares", "en", "glued"), ("plain english words", "en", None), ("[[Q:1:1]] https://a.b/c نص", "ar", None)]
+    rows = spark.createDataFrame(letters, "t string, lang string, want string").select("want", checks.garbled(F.col("t"), F.col("lang"), F.array(F.lit("ramadan"))).alias("got"))
+    assert all(r["want"] == r["got"] for r in rows.collect())
+    assert _one(spark, "a ([GL:1], [SH:2]) b  \n\n\n\nc [[Q:1:2]]", checks.tidy) == "a b\n\nc [[Q:1:2]]"
+
+
+def test_search_finds_words_of_both_alphabets(spark):
+    docs = spark.createDataFrame([(1, "الصلاة عماد الدين"), (2, "prayer is the pillar"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "صلاة"), (8, "Prayer"), (9, "the of")], "item_id long, text string")
+    index = search.build_index(docs)
+    assert index.documents == 3 and {(r["query"], r["doc"]) for r in search.bm25_scores(index, asked).collect()} <= {(7, 1), (8, 2)}
+    many = spark.createDataFrame([(k, "الصلاة" if k == 1 else f"word{k} text") for k in range(1, 9)], "doc_id long, text string")
+    assert [(r["query"], r["doc"]) for r in search.bm25(search.build_index(many), asked).collect()] == [(7, 1)]
+
+
+def test_vector_search_in_blocks(spark):
+    rng = random.Random(4)
+    rows = [(k, [float(rng.randrange(-3, 4)) for _ in range(4)]) for k in range(90)]
+    corpus = spark.createDataFrame(rows, "doc long, vector array<float>").repartition(3)
+    asked = spark.createDataFrame(rows[:11], "query long, vector array<float>")
+    want = [(q, d) for q, v in rows[:11] for d in sorted(range(90), key=lambda d: (-sum(a * b for a, b in zip(v, rows[d][1], strict=True)), d))[:5]]
+    for block in (1 << 20, 100):
+        assert sorted((r["query"], r["rank"], r["doc"]) for r in search.dense(corpus, asked, 5, block).collect()) == [(q, i % 5 + 1, d) for i, (q, d) in enumerate(want)]
+
+
+def test_copied_runs_against_all_places(spark):
+    rng = random.Random(6)
+    a = [(k, [rng.choice("abc") for _ in range(40)]) for k in range(4)]
+    b = [(9, a[1][1][5:25] + ["z"] + a[2][1][:12])]
+    got = {(r["doc_id"], r["pos"], r["origin"], r["length"]) for r in copies.runs(*(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{key} long, text string") for rows, key in ((a, "doc_id"), (b, "item_id")))).collect()}
+    want = set()
+    for k, x in a:
+        for p in range(40):
+            for q in range(len(b[0][1])):
+                if p and q and x[p - 1] == b[0][1][q - 1]:
+                    continue
+                n = 0
+                while p + n < 40 and q + n < len(b[0][1]) and x[p + n] == b[0][1][q + n]:
+                    n += 1
+                if n >= 8:
+                    want.add((k, p, q, n))
+    assert got == want and (1, 5, 0, 20) in got
+
+
+def test_glossary_terms_and_alternates(spark):
+    terms = spark.createDataFrame([("zakat", "الزكاة", "Zakat (alms-tax)", True), ("hajj", "الحج", "hajj, pilgrimage", False)], "term string, ar string, en string, official boolean")
+    texts = spark.createDataFrame([(1, "وبالزكاة"), (2, "the pilgrimage and ZAKAT"), (3, "والحج ثم للزكاة"), (4, "pilgrimages"), (5, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["term"]): r["rank"] for r in records.glossary_terms(texts, terms).collect()}
+    assert got == {(2, "zakat"): 1, (2, "hajj"): 2, (3, "hajj"): 2, (3, "zakat"): 1}
+    assert _one(spark, "<i>12. Say</i> * it [3] , now", records.clean_translation) == "Say  it, now"
 
 
 def test_discrete_quantiles(spark):
