@@ -601,3 +601,20 @@ def test_license_scan_of_edited_notices():
             assert any(m[0] == name or m[5] - m[4] > len(" ".join(own)) for m in license_scan.scan(raw, index)), (name, own)
     twice = b"released under an MIT license and again released under the MIT licence. Released under the MIT License"
     assert [m[0] for m in license_scan.scan(twice, index)] == ["MIT"] * 3
+
+
+def test_functions_load_where_the_package_is_missing(tmp_path):
+    """What is sent to executors has no need of an installed copy."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    functions = [
+        near_dedup._sketch, near_dedup._compare, near_dedup._verify, near_dedup._terms, near_dedup._words, lz_fingerprint._edit_and_compare, license_scan._scanner(license_scan.build_index(license_scan.TEMPLATES)),
+        suffix_dedup._send_keys(3), suffix_dedup._send_suffixes(3, 4), suffix_dedup._sort_group, suffix_dedup._cut, packing._packer("x", 9), language_id._counter, substring_dedup._chunks, mixing._round_block, exact_dedup._sender(3),
+    ]
+    for k, f in enumerate(functions):
+        (tmp_path / str(k)).write_bytes(cloudpickle.dumps(f))
+    load = f"import pickle; [pickle.load(open('{tmp_path}/' + str(k), 'rb')) for k in range({len(functions)})]"
+    subprocess.run([sys.executable, "-c", load], cwd=tmp_path, check=True)
