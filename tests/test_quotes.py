@@ -72,12 +72,12 @@ def test_spans(spark):
     assert got == [(1, 0, "first one in brackets"), (1, 1, "second in quotes"), (2, 0, "One whole sentence here"), (2, 3, "longer than that")]
 
 
-def test_drafts_and_choices(spark):
-    rows = [("see [[Q:2:255]]", "de-AT"), ("Q:2:255 for sure", "xx"), (None, None), ("aب", "EN_us"), ("x" * 4001, "fr")]
+def test_phrases_and_choices(spark):
+    rows = [("For Sure it is", "de-AT"), ("no", "xx"), (None, None), ("for sure, in short", "EN_us")]
     docs = spark.createDataFrame(rows, "t string, lang string")
-    got = docs.select(checks.draft_issues(F.col("t"), ["for sure"]).alias("i"), checks.pick({"en": "e", "de": "d"}, F.col("lang")).alias("p")).collect()
-    assert [r["i"] for r in got] == ["placeholder,raw_id", "raw_id,boilerplate", "empty", "glued_scripts", "long"]
-    assert [tuple(r["p"]) for r in got] == [("d", True), ("e", False), ("e", False), ("e", True), ("e", False)]
+    got = docs.select(checks.phrases_in(F.col("t"), ["for sure", "in short"]).alias("i"), checks.pick({"en": "e", "de": "d"}, F.col("lang")).alias("p")).collect()
+    assert [r["i"] for r in got] == [["for sure"], [], [], ["for sure", "in short"]]
+    assert [tuple(r["p"]) for r in got] == [("d", True), ("e", False), ("e", False), ("e", True)]
 
 
 def test_paragraphs(spark):
