@@ -87,9 +87,7 @@ def draft_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return _checked(spark, sf).groupBy("lang", made.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query(rf"""WITH {_DRAFT} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(reply, '{checks.RAW_GROUP}', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ 	
-]+|[ 	
-]+$', '', 'g') AS reply,
+@query(rf"""WITH {_DRAFT} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(reply, '{checks.RAW_GROUP}', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS reply,
 len({_MARKS})::INT AS marks, len(regexp_extract_all({_PLAIN}, '{checks.RAW_ID}'))::INT AS stray FROM dr""")
 def draft_tidy(spark: SparkSession, sf: str) -> DataFrame:
     """Drafts without stray ids, and how many placeholders and stray ids they have."""
