@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and the SQL that some can be held against."""
 
+from tessera.llm.conversation_repair import OP12_SQL, op12_conversation_repair
 from tessera.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from tessera.llm.language_id import op7_language_id
 from tessera.llm.license_scan import op1_license_scan
@@ -24,7 +25,8 @@ QUERIES = {
         op8_substring_dedup,
         op9_mixing,
         op10_exact_dedup,
+        op12_conversation_repair,
     )
 }
 
-SQL = {"op10_exact_dedup": OP10_SQL}
+SQL = {"op10_exact_dedup": OP10_SQL, "op12_conversation_repair": OP12_SQL}
