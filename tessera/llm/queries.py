@@ -2,6 +2,7 @@
 
 from tessera.llm.conversation_repair import OP12_SQL, op12_conversation_repair
 from tessera.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from tessera.llm.importance import OP11_SQL, op11_importance_resampling
 from tessera.llm.language_id import op7_language_id
 from tessera.llm.license_scan import op1_license_scan
 from tessera.llm.lz_fingerprint import op2_lz_fingerprint
@@ -25,8 +26,9 @@ QUERIES = {
         op8_substring_dedup,
         op9_mixing,
         op10_exact_dedup,
+        op11_importance_resampling,
         op12_conversation_repair,
     )
 }
 
-SQL = {"op10_exact_dedup": OP10_SQL, "op12_conversation_repair": OP12_SQL}
+SQL = {"op10_exact_dedup": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op12_conversation_repair": OP12_SQL}
