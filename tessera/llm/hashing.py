@@ -47,11 +47,16 @@ _WORD[list(b"0123456789abcdefghijklmnopqrstuvwxyz_")] = True
 _WORD[128:] = True
 
 
-def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of lower-case UTF-8 bytes start and end."""
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = _WORD[data]
     edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start, end = word_edges(data)
     return run_hashes(prefix_hash(data), start, end), start, end
 
 

@@ -12,6 +12,7 @@ from tessera.llm.packing import op5_packing
 from tessera.llm.sharding import op6_sharding
 from tessera.llm.substring_dedup import op8_substring_dedup
 from tessera.llm.suffix_dedup import op4_suffix_dedup
+from tessera.llm.toxicity import op13_toxicity
 
 QUERIES = {
     f.__name__: f
@@ -28,6 +29,7 @@ QUERIES = {
         op10_exact_dedup,
         op11_importance_resampling,
         op12_conversation_repair,
+        op13_toxicity,
     )
 }
 
