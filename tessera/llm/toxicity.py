@@ -98,14 +98,25 @@ def _features(parts: list[bytes], rows: list[int]) -> tuple[np.ndarray, np.ndarr
     return np.array(rows)[np.concatenate(of)], (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def packed(buckets: np.ndarray) -> bytes:
+    """Ascending buckets as the gaps between them, 2 bytes each, or 4 where one is too large for that; the first byte tells which."""
+    gaps = np.diff(buckets, prepend=0)
+    size = 2 if not len(gaps) or gaps.max() < 1 << 16 else 4
+    return bytes([size]) + gaps.astype(f"<u{size}").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, f"<u{raw[0]}", offset=1), dtype=np.int64)
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place in the order, toxic, distinct buckets as bytes) of labelled texts."""
+    """(place in the order, toxic, distinct buckets packed) of labelled texts."""
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for k, text in enumerate(texts):
             own = [bucket for _, bucket in blocks([text])]
             buckets = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([buckets.astype(np.uint32).tobytes()])], names=["place", "toxic", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([packed(buckets)])], names=["place", "toxic", "buckets"])
 
 
 def weights_of(z: np.ndarray, n: np.ndarray, spare: np.ndarray | float = L1) -> np.ndarray:
@@ -132,7 +143,7 @@ def _pass(state):
         z[at], n[at] = held_z, held_n
         for batch in batches:
             for toxic, buckets in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                step(z, n, np.frombuffer(buckets, np.uint32).astype(np.int64), toxic)
+                step(z, n, unpacked(buckets), toxic)
         at = np.flatnonzero(n)
         for k in range(0, len(at), 1 << 16):
             own = at[k : k + (1 << 16)]

@@ -48,6 +48,11 @@ def test_features_one_by_one(monkeypatch, block):
     assert found == [plain_buckets(t or "") for t in texts]
 
 
+def test_packing_round_trip():
+    for own in ([], [0], [5], [0, 1, 65535, 65536], [1 << 19, tx.BUCKETS - 1], list(range(0, tx.BUCKETS, 97))):
+        assert tx.unpacked(tx.packed(np.array(own, np.int64))).tolist() == own
+
+
 def test_steps_are_plain_ftrl():
     """Against the update rule written out for each coordinate."""
     rng = random.Random(2)
