@@ -8,21 +8,28 @@ document whose word hashes hit the index is a candidate; around the hits
 template and document are aligned in a band, which tells the words matched, the
 coverage of the template and the span in the document.
 
-Edited notices may have no fingerprint left, so places where no match was found
-but which hold as many of a template's words as MIN_COVERAGE needs, as close
-together as the band allows, are aligned at every diagonal of these words.
-What the band can align is found, whichever words are changed.
+Words in [brackets] tell a template from its neighbours: all of them must be in
+the document, next to each other as in the template, however much of the rest is
+there ("GNU [Lesser] General" is no GPL).  Their first two words are always a
+fingerprint, so an edited notice is found whatever else of it was changed: each
+place that holds them is aligned, through them.  Templates without brackets are
+found by winnowed fingerprints, and where an edit left none, at places which hold
+as many of their words as MIN_COVERAGE needs, as close together as the band
+allows, aligned at every diagonal of these words.
 
 Defined results: a null or empty text has no match; words are compared in lower
-case, so lay-out and punctuation don't matter; a notice that occurs several
-times is reported each time; a shorter match inside a longer one of another
-template is left out, and of equal spans the template with more words, then
-the first by name, is reported; equal rows get equal rows; an empty table gives
-an empty table; columns besides doc_id and text are not looked at.
+case, with `licence` as `license`, so lay-out and punctuation don't matter; a
+notice that occurs several times is reported each time; a shorter match inside a
+longer one of another template is left out, and of equal spans the template with
+more words matched, then better covered, then first by name, is reported; texts
+over BLOCK bytes are scanned in blocks that overlap by CONTEXT, which a span must
+not exceed; equal rows get equal rows; an empty table gives an empty table;
+columns besides doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,32 +46,56 @@ MIN_COVERAGE = 0.8
 #: Template words that the index takes at most; more are refused, as each task holds it.
 INDEX_LIMIT = 4_000_000
 
-#: Notices by which works declare a licence, and the opening of the licences themselves.
+#: Bytes of a text that are scanned together, and what each such block sees of its neighbours.
+BLOCK = 8 << 20
+CONTEXT = 1 << 20
+
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the [GNU {}] as published by the Free Software Foundation, [either version {} of the License], or (at your option) any later version."
+_COMMONS = "This work is licensed under a [Creative Commons Attribution{} 4.0] International License."
+_KINDS = {"BY": "", "BY-SA": "-ShareAlike", "BY-ND": "-NoDerivatives", "BY-NC": "-NonCommercial", "BY-NC-SA": "-NonCommercial-ShareAlike", "BY-NC-ND": "-NonCommercial-NoDerivatives"}
+_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+    "to deal in the Software [without restriction], including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+    "copies of the Software, and to permit persons to whom the Software is furnished to do so"
+)
+#: Notices by which works declare a licence, and the opening of the licences themselves; brackets hold what tells them apart.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0 header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or [without fee] is hereby granted.",
+    "AGPL-3.0": "This work is licensed under the [GNU Affero General Public License], [version 3].",
+    "AGPL-3.0 header": _GNU.format("Affero General Public License", 3),
+    "Apache-1.1": "Licensed under the [Apache Software License], [Version 1.1].",
+    "Apache-1.1 text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    "3. The end-user documentation included with the redistribution, if any, must include the following acknowledgment: \"This product includes software developed by the [Apache Software Foundation] (http://www.apache.org/).\"",
+    "Apache-2.0": "Licensed under the [Apache License], Version [2.0].",
+    "Apache-2.0 header": "Licensed under the [Apache License], Version [2.0] (the \"License\"); you may not use this file except in compliance with the License. "
     "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
     "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
     "See the License for the specific language governing permissions and limitations under the License.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
-    "and this permission notice appear in all copies.",
-    "MIT": "Released under the MIT License.",
-    "MIT text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
-    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
-    "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    "MIT warranty": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
+    "BSD": "Redistribution and use in source and [binary forms], with or without modification, are permitted provided that the following conditions are met:",
+    **{f"CC-{kind}-4.0": f"Licensed under [CC {kind} 4.0]." for kind in _KINDS},
+    **{f"CC-{kind}-4.0 notice": _COMMONS.format(long) for kind, long in _KINDS.items()},
+    "CC0-1.0": "To the extent possible under law, the author has [waived all copyright] and related or neighboring rights to this work.",
+    "GPL-2.0": "This work is licensed under the [GNU General Public License], [version 2].",
+    "GPL-2.0 header": _GNU.format("General Public License", 2),
+    "GPL-3.0": "This work is licensed under the [GNU General Public License], [version 3].",
+    "GPL-3.0 header": _GNU.format("General Public License", 3),
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or [without fee] is hereby granted, provided that the above copyright notice "
+    "and [this permission notice appear] in all copies.",
+    "LGPL-2.1": "This work is licensed under the [GNU Lesser General Public License], [version 2.1].",
+    "LGPL-2.1 header": _GNU.format("Lesser General Public License", 2.1),
+    "LGPL-3.0": "This work is licensed under the [GNU Lesser General Public License], [version 3].",
+    "LGPL-3.0 header": _GNU.format("Lesser General Public License", 3),
+    "MIT": "Released under the [MIT License].",
+    "MIT text": f"{_GRANT}, [subject to] the following conditions:",
+    "MIT-0 text": f"{_GRANT}.",
+    "MIT warranty": "The above copyright notice and [this permission notice] shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
     "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
     "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
     "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+    "MPL-2.0": "This Source Code Form is subject to the terms of the [Mozilla Public License], v. [2.0].",
+    "Unlicense": "This is free and [unencumbered software released into the public domain]. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
     "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
@@ -139,9 +170,11 @@ def dense(places: np.ndarray, need: int, span: int) -> list[np.ndarray]:
     edge = np.zeros(len(places) + 1, np.int64)
     np.add.at(edge, close, 1)
     np.add.at(edge, close + need, -1)
-    inside = np.cumsum(edge[:-1]) > 0
-    cut = np.flatnonzero(~inside[1:] | ~inside[:-1]) + 1
-    return [g for g, i in zip(np.split(places, cut), np.split(inside, cut), strict=True) if i[0] and len(g) >= need]
+    inside = np.zeros(len(places) + 2, np.int8)
+    inside[1:-1] = np.cumsum(edge[:-1]) > 0
+    turn = np.diff(inside)
+    runs = zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), strict=True)
+    return [places[a:b] for a, b in runs if b - a >= need]
 
 
 def starts(template: list[int], origins: dict[int, list[int]], words: np.ndarray, group: np.ndarray, need: int, span: int) -> Iterator[int]:
@@ -165,18 +198,101 @@ def starts(template: list[int], origins: dict[int, list[int]], words: np.ndarray
         held[word[first]] -= 1
 
 
-def build_index(templates: dict[str, str]) -> tuple[np.ndarray, list[list[tuple[str, int]]], dict[str, list[int]], Vocabulary]:
-    """Sorted fingerprints, for each of them (template, place), each template's words, and which templates have a word."""
-    words = {name: word_spans(text.encode())[0] for name, text in templates.items()}
-    if sum(map(len, words.values())) > INDEX_LIMIT:
-        raise ValueError(f"the templates have more than {INDEX_LIMIT} words")
-    postings: dict[int, list[tuple[str, int]]] = {}
-    for name in sorted(words):
-        grams = shingle_hashes(words[name], GRAM)
-        for at in winnow(grams, WINDOW).tolist():
-            postings.setdefault(int(grams[at]), []).append((name, at))
+_BRACKETS = re.compile(rb"\[([^\]]*)\]")
+_SPELLINGS = {b"licence": b"license", b"licences": b"licenses", b"licenced": b"licensed"}
+
+
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of words, with one spelling of licence."""
+    words, begin, end = word_spans(raw)
+    for other, usual in _SPELLINGS.items():
+        words[words == word_spans(other)[0][0]] = word_spans(usual)[0][0]
+    return words, begin, end
+
+
+class Index:
+    """Templates by their fingerprints: words, marks (from, to) by place, and which of them are looked for by vocabulary too."""
+
+    def __init__(self, templates: dict[str, str]):
+        self.words: dict[str, list[int]] = {}
+        self.marks: dict[str, list[tuple[int, int]]] = {}
+        prints: dict[int, list[tuple[str, int]]] = {}
+        pairs: dict[int, list[tuple[str, int]]] = {}
+        held = {}
+        for name in sorted(templates):
+            raw = templates[name].encode()
+            words, begin, _ = words_of(raw)
+            held[name], self.words[name] = words, words.tolist()
+            spans = [(int(np.searchsorted(begin, m.start())), int(np.searchsorted(begin, m.end()))) for m in _BRACKETS.finditer(raw)]
+            if any(b - a < 2 for a, b in spans):
+                raise ValueError(f"{name}: brackets hold two words at least")
+            self.marks[name] = spans
+            if spans:
+                own = shingle_hashes(words[slice(*spans[0])], 2)
+                pairs.setdefault(int(own[0]), []).append((name, spans[0][0]))
+                continue
+            grams = shingle_hashes(words, GRAM)
+            for at in winnow(grams, WINDOW).tolist():
+                prints.setdefault(int(grams[at]), []).append((name, at))
+        if sum(map(len, held.values())) > INDEX_LIMIT:
+            raise ValueError(f"the templates have more than {INDEX_LIMIT} words")
+        self.prints, self.pairs = _sorted(prints), _sorted(pairs)
+        self.vocabulary = Vocabulary({n: w for n, w in held.items() if not self.marks[n]})
+
+
+def _sorted(postings: dict[int, list[tuple[str, int]]]) -> tuple[np.ndarray, list[list[tuple[str, int]]]]:
     order = sorted(postings)
-    return np.array(order, np.uint64), [postings[k] for k in order], {n: w.tolist() for n, w in words.items()}, Vocabulary(words)
+    return np.array(order, np.uint64), [postings[k] for k in order]
+
+
+def hits_of(words: np.ndarray, size: int, postings: tuple) -> Iterator[tuple[str, int, int]]:
+    """(template, place in it, place in the document) where a run of size words is a fingerprint."""
+    keys, lists = postings
+    if len(words) < size or not len(keys):
+        return
+    grams = shingle_hashes(words, size)
+    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+    for place in np.flatnonzero(keys[at] == grams).tolist():
+        for name, origin in lists[at[place]]:
+            yield name, origin, place
+
+
+def align_marked(template: list[int], marks: list[tuple[int, int]], words: list[int], diagonal: int, band: int) -> list[tuple[int, int]]:
+    """Matched places (template, words) of the best alignment within the band that passes through all marks, each met as a whole, the first of them on the diagonal; empty if there is none."""
+    whole = dict(marks)
+    inside = {i for a, b in marks for i in range(a + 1, b)}
+    first, width, none = marks[0][0], 2 * band + 1, -1 << 20
+    score = [[none] * (width + 2) for _ in range(len(template) + 1)]  # column c: word = i + diagonal + c - band - 1
+    score[len(template)] = [0] * (width + 2)
+    for i in range(len(template) - 1, -1, -1):
+        row, below = score[i], score[i + 1]
+        for c in range(width, 0, -1):
+            j = i + diagonal + c - 1 - band
+            best = row[c + 1] if c < width else none
+            if i in whole:
+                to = whole[i]
+                if 0 <= j and words[j : j + to - i] == template[i:to] and (i != first or j == i + diagonal):
+                    best = max(best, score[to][c] + to - i)
+            elif i not in inside:
+                best = max(best, below[c - 1] if c > 1 else none)
+                if 0 <= j < len(words) and template[i] == words[j]:
+                    best = max(best, below[c] + 1)
+            row[c] = best
+    found, i = [], 0
+    c = max(range(1, width + 1), key=lambda c: score[0][c])
+    if score[0][c] <= 0:
+        return []
+    while i < len(template):
+        j = i + diagonal + c - 1 - band
+        to = whole.get(i, i + 1)
+        if 0 <= j and words[j : j + to - i] == template[i:to] and (i != first or j == i + diagonal) and score[i][c] == score[to][c] + to - i:
+            found += [(i + k, j + k) for k in range(to - i)]
+            i = to
+        elif c < width and score[i][c] == score[i][c + 1]:
+            c += 1
+        else:
+            i, c = i + 1, c - 1
+    return found
 
 
 def align(template: list[int], words: list[int], diagonal: int, band: int) -> list[tuple[int, int]]:
@@ -206,26 +322,69 @@ def align(template: list[int], words: list[int], diagonal: int, band: int) -> li
     return found
 
 
-def scan(raw: bytes, index: tuple) -> list[tuple[str, float, int, int, int, int]]:
+_GAP = re.compile(rb"[^0-9A-Za-z_\x80-\xff]")
+
+
+def _blocks(raw: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(from, own from, own to, to): each block owns the matches that start in its own part, and sees CONTEXT around it."""
+
+    def gap(at: int) -> int:
+        met = _GAP.search(raw, at) if 0 < at < len(raw) else None
+        return met.start() if met else (0 if at <= 0 else len(raw))
+
+    first = 0
+    while first < len(raw):
+        last = gap(first + BLOCK)
+        yield gap(first - CONTEXT), first, last, gap(last + CONTEXT)
+        first = last
+
+
+def scan(raw: bytes, index: Index) -> list[tuple[str, float, int, int, int, int]]:
     """(template, coverage, words matched, words of the template, from byte, to byte)."""
-    keys, postings, templates, vocabulary = index
-    words, begin, end = word_spans(raw)
-    grams = shingle_hashes(words, GRAM)
-    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-    hits: dict[str, list[tuple[int, int]]] = {}
-    covered: dict[str, list[tuple[int, int]]] = {}
-    for place in np.flatnonzero(keys[at] == grams).tolist():
-        for name, origin in postings[at[place]]:
-            hits.setdefault(name, []).append((place - origin, place))
+    found = set()
+    for low, first, last, high in _blocks(raw):
+        found |= {(*m[:4], m[4] + low, m[5] + low) for m in _found(raw[low:high], index) if first <= m[4] + low < last}
+    # A span that starts no earlier and ends no later than another is left out; of equal ones the better stays.
+    taken, furthest = [], -1
+    for match in sorted(found, key=lambda m: (m[4], -m[5], -m[2], -m[1], m[0])):
+        if match[5] > furthest:
+            taken.append(match)
+            furthest = match[5]
+    return taken
+
+
+def _found(raw: bytes, index: Index) -> list[tuple[str, float, int, int, int, int]]:
+    words, begin, end = words_of(raw)
     found = []
 
     def take(name: str, pairs: list[tuple[int, int]]) -> None:
-        first, last, total = pairs[0][1], pairs[-1][1], len(templates[name])
+        first, last, total = pairs[0][1], pairs[-1][1], len(index.words[name])
         found.append((name, len(pairs) / total, len(pairs), total, int(begin[first]), int(end[last])))
-        covered.setdefault(name, []).append((first, last))
 
+    marked: dict[str, list[list[tuple[int, int]]]] = {}
+    for name, origin, place in hits_of(words, 2, index.pairs):
+        template, mark = index.words[name], index.marks[name][0]
+        if words[place : place + mark[1] - mark[0]].tolist() != template[slice(*mark)]:
+            continue
+        band = band_of(len(template))
+        low = max(0, place - origin - 2 * band)
+        part = words[low : place + len(template) - origin + 2 * band].tolist()
+        pairs = align_marked(template, index.marks[name], part, place - origin - low, band)
+        if len(pairs) >= MIN_COVERAGE * len(template):
+            marked.setdefault(name, []).append([(i, low + j) for i, j in pairs])
+    for name, own in marked.items():
+        # The places of one template that share words: the better covered stay, then the first.
+        used: set[int] = set()
+        for pairs in sorted(own, key=lambda p: (-len(p), p[-1][1] - p[0][1], p[0][1])):
+            if used.isdisjoint(range(pairs[0][1], pairs[-1][1] + 1)):
+                used.update(range(pairs[0][1], pairs[-1][1] + 1))
+                take(name, pairs)
+    hits: dict[str, list[tuple[int, int]]] = {}
+    for name, origin, place in hits_of(words, GRAM, index.prints):
+        hits.setdefault(name, []).append((place - origin, place))
+    covered: dict[str, list[tuple[int, int]]] = {}
     for name, own in hits.items():
-        template = templates[name]
+        template = index.words[name]
         band = band_of(len(template))
         own.sort()
         while own:
@@ -238,8 +397,9 @@ def scan(raw: bytes, index: tuple) -> list[tuple[str, float, int, int, int, int]
             pairs = align(template, part, near[len(near) // 2][0] - low, band)
             if pairs and len(pairs) >= MIN_COVERAGE * len(template):
                 take(name, [(i, low + j) for i, j in pairs])
-    for name, need, places in vocabulary.places(words):
-        template, origins = templates[name], vocabulary.origins[name]
+                covered.setdefault(name, []).append((low + pairs[0][1], low + pairs[-1][1]))
+    for name, need, places in index.vocabulary.places(words):
+        template, origins = index.words[name], index.vocabulary.origins[name]
         band = band_of(len(template))
         span = len(template) + 2 * band
         parts, after = [], -1
@@ -261,15 +421,10 @@ def scan(raw: bytes, index: tuple) -> list[tuple[str, float, int, int, int, int]
                     take(name, best)
                     groups += [g for rest in (group[(group >= start) & (group < best[0][1])], group[group > best[-1][1]]) for g in dense(rest, need, span)]
                     break
-    # Longest spans first; what lies inside one that is taken is left out.
-    taken: list[tuple] = []
-    for match in sorted(found, key=lambda m: (m[4] - m[5], -m[2], -m[1], m[0])):
-        if not any(t[4] <= match[4] and match[5] <= t[5] for t in taken):
-            taken.append(match)
-    return sorted(taken, key=lambda m: (m[4], m[5], m[0]))
+    return found
 
 
-def _scanner(index: tuple):
+def _scanner(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -289,7 +444,7 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverag
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per match."""
-    index = build_index(TEMPLATES if templates is None else templates)
+    index = Index(TEMPLATES if templates is None else templates)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(_scanner(index), MATCHES)
 
 
