@@ -6,8 +6,8 @@ chunks fall back into step right after an insertion, and a passage is cut the
 same way in every document that has it; a chunk is cut after each MOST bytes of
 it, as fillers of one letter need.  Chunks are compared by a 128-bit digest:
 those that also occur under a smaller id are repeats.  Runs of repeats that make
-up MIN_RUN bytes are removed, one chunk or many, and so is a text that consists
-of repeats.  Chunks that very many documents hold are split in the join that
+up `least` bytes are removed, one chunk or many, and so is a text that consists
+of repeats; with 0 all repeats are.  Chunks that very many documents hold are split in the join that
 tells their documents.
 
 Defined results: a null text is the empty text; rows that share an id don't remove each other's passages, nor
@@ -30,7 +30,7 @@ from tessera.llm.common import documents, materialise, salted_join
 from tessera.llm.hashing import mix
 
 RADIUS = 24
-#: A run of repeated chunks shorter than this stays, unless it is the whole text.
+#: A run of repeated chunks shorter than this stays, unless it is the whole text; with 0 every repeated chunk goes.
 MIN_RUN = 64
 #: The longest chunk.
 MOST = 4096
@@ -105,7 +105,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def runs_to_remove(chunks: list[tuple[int, int]], size: int, least: int = MIN_RUN) -> list[tuple[int, int]]:
+def runs_to_remove(chunks: list[tuple[int, int]], size: int, least: int) -> list[tuple[int, int]]:
     """Spans of successive repeated chunks (start, size) that are long enough, or the whole text of that size."""
     spans: list[list[int]] = []
     for start, length in sorted(chunks):
@@ -116,22 +116,28 @@ def runs_to_remove(chunks: list[tuple[int, int]], size: int, least: int = MIN_RU
     return [(a, b) for a, b in spans if b - a >= least or b - a == size]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans, kept, sources = [], [], []
-        for raw, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            cut = runs_to_remove([(c["start"], c["size"]) for c in found or []], len(raw))
-            spans.append([[a, b] for a, b in cut])
-            kept.append(b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in cut)], [*(a for a, _ in cut), len(raw)], strict=True)))
-            sources.append(sorted({c["first"] for c in found or [] if any(a <= c["start"] < b for a, b in cut)}))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(r) for r in batch.column(1).to_pylist()], pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), pa.array(sources, pa.list_(pa.int64()))],
-            names=["doc_id", "n_bytes", "spans", "kept", "repeats_of"],
-        )
+def _cutter(least: int):
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, kept, sources = [], [], []
+            for raw, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                cut = runs_to_remove([(c["start"], c["size"]) for c in found or []], len(raw), least)
+                spans.append([[a, b] for a, b in cut])
+                kept.append(b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in cut)], [*(a for a, _ in cut), len(raw)], strict=True)))
+                sources.append(sorted({c["first"] for c in found or [] if any(a <= c["start"] < b for a, b in cut)}))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(r) for r in batch.column(1).to_pylist()], pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), pa.array(sources, pa.list_(pa.int64()))],
+                names=["doc_id", "n_bytes", "spans", "kept", "repeats_of"],
+            )
+
+    return cut_all
+
 
+def remove_repeated_passages(docs: DataFrame, least: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, spans (removed, from and to in bytes), kept (bytes), repeats_of (ids that have the passages first).
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, spans (removed, from and to in bytes), kept (bytes), repeats_of (ids that have the passages first)."""
+    Runs of repeated chunks of fewer than `least` bytes stay, unless they are a whole text; 0 keeps none.
+    """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(raw).alias("row_key"), raw.alias("raw"))
     chunks = thin.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), "row_key", "raw").mapInArrow(_chunks, "d1 long, d2 long, doc_id long, row_key long, start long, size int")
@@ -141,7 +147,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     copies = salted_join(chunks, repeated.drop("n"), ["d1", "d2"], "doc_id", repeated).where("doc_id > first")
     found = copies.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "size", "first")).alias("found"))
     met = thin.join(found.withColumnRenamed("doc_id", "of"), F.coalesce(thin["doc_id"], F.lit(_NULL)).eqNullSafe(F.col("of")) & (thin["row_key"] == found["row_key"]), "left")
-    return met.select(thin["doc_id"], "raw", "found").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<array<long>>, kept binary, repeats_of array<long>")
+    return met.select(thin["doc_id"], "raw", "found").mapInArrow(_cutter(least), "doc_id long, n_bytes long, spans array<array<long>>, kept binary, repeats_of array<long>")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -522,7 +522,7 @@ def test_substring_dedup(docs, nothing):
     assert substring_dedup.remove_repeated_passages(nothing).count() == 0
 
 
-def _plain_passages(rows):
+def _plain_passages(rows, least):
     """Removed bytes by chunks compared as bytes."""
     cut = {}
     for k, (i, t) in enumerate(rows):
@@ -543,15 +543,15 @@ def _plain_passages(rows):
             stop = at
             while stop < len(t) and marked[stop] == marked[at]:
                 stop += 1
-            if not marked[at] or (stop - at < substring_dedup.MIN_RUN and stop - at < len(t)):
+            if not marked[at] or (stop - at < least and stop - at < len(t)):
                 kept += t[at:stop]
             at = stop
         out.append((i, kept))
     return sorted(out)
 
 
-@pytest.mark.parametrize(("block", "most"), [(1 << 20, 4096), (300, 120)])
-def test_substring_dedup_against_plain_chunks(spark, monkeypatch, block, most):
+@pytest.mark.parametrize(("block", "most", "least"), [(1 << 20, 4096, substring_dedup.MIN_RUN), (300, 120, substring_dedup.MIN_RUN), (1 << 20, 4096, 0)])
+def test_substring_dedup_against_plain_chunks(spark, monkeypatch, block, most, least):
     """Hot passages, one-chunk copies, fillers; blocks and longest chunks of few bytes turn every loop."""
     monkeypatch.setattr(substring_dedup, "_BLOCK", block)
     monkeypatch.setattr(substring_dedup, "MOST", most)
@@ -559,8 +559,8 @@ def test_substring_dedup_against_plain_chunks(spark, monkeypatch, block, most):
     shared = [prose(rng, n) for n in (9, 30, 200)]
     rows = [(k, " ".join([prose(rng, rng.randrange(60)), rng.choice(shared), prose(rng, 9)][: rng.randrange(1, 4)])) for k in range(300)]
     rows += [(900 + k, t) for k, t in enumerate(["a" * 300, "a" * 300, "one line of thirty-eight letters alone", "one line of thirty-eight letters alone", "x" + "a" * 9000, "yy" + "a" * 9000, "", ""])]
-    got = substring_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"], bytes(r["kept"])) for r in got) == _plain_passages([(i, t.encode()) for i, t in rows])
+    got = substring_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()
+    assert sorted((r["doc_id"], bytes(r["kept"])) for r in got) == _plain_passages([(i, t.encode()) for i, t in rows], least)
     by = {r["doc_id"]: r for r in got}
     assert not by[901]["kept"] and not by[903]["kept"] and by[900]["kept"] and by[902]["kept"]
 
