@@ -301,8 +301,8 @@ def _parted(large: DataFrame, words: DataFrame) -> DataFrame:
 def _links_within(buckets: DataFrame, roots: DataFrame, texts: DataFrame, thin: DataFrame) -> DataFrame | None:
     """Links between members of buckets that hold several components; None where there is no such bucket."""
     placed = buckets.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    left = materialise(placed.join(split, "bucket").select("bucket", "node", "root", "n"), "split")
+    split = materialise(placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y"), "apart")
+    left = materialise(salted_join(placed, split.select("bucket"), "bucket", "node", split).select("bucket", "node", "root", "n"), "split")
     if left.isEmpty():
         return None
     words = _words_of(left.select("node").distinct(), texts, thin)
@@ -331,8 +331,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
 
     member = texts.select("node", "n_words", F.explode("sketch").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "n_words")).alias("c")).where("n > 1")
-    buckets = materialise(member.join(shared, "bucket").select("bucket", "node", "n_words", "n", F.col("c.node").alias("centre"), F.col("c.n_words").alias("n_centre")), "buckets")
+    shared = materialise(member.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "n_words")).alias("c")).where("n > 1"), "shared")
+    buckets = materialise(salted_join(member, shared, "bucket", "node", shared).select("bucket", "node", "n_words", "n", F.col("c.node").alias("centre"), F.col("c.n_words").alias("n_centre")), "buckets")
     roots = None
     if not buckets.isEmpty():
         # One pair a node first: with the least centre of all its buckets.
