@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import SPACES, dot, norm, norm_sql, terms, terms_sql, words, words_sql
 from tessera.functions.text import html_text as html_to_text
 from tessera.jobs.registry import QUERIES, SQL, closed_sql, fold_sql, query
-from tessera.operators import chat, checks, chunks, copies, evaluation, intervals, labels, quotes, search, segments
+from tessera.operators import chat, checks, chunks, copies, evaluation, intervals, labels, quotes, search, segments, vector_index
 from tessera.sources import broadcast_if_small, table, written
 from tessera.streaming import stream_hourly, stream_run_stats
 
@@ -98,6 +98,13 @@ def dense_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return search.dense(corpus.where("label < 5"), asked)
 
 
+@query()
+def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same searches in a part of the cells of an index; a test holds their recall against all inner products."""
+    corpus, asked = _vectors(spark, sf)
+    return vector_index.search(vector_index.build(corpus), asked)
+
+
 # A request asks for a protected text and for its beginning; the vectors that go with them are those of the item's id and of the next.
 _REQUESTS = """
 rq AS (SELECT item_id AS request, [text, ' ' || substr(text, 1, 40), text, '  '] AS queries FROM benchmark),
@@ -308,9 +315,8 @@ def argmax_assign(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     means = e.select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("x"))
     means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("centre"))
-    met = e.join(broadcast_if_small(written(means, "means").withColumnRenamed("label", "of"), 1024), F.lit(True))
-    score = F.round(dot(F.col("embedding"), F.col("centre")), 6)
-    return met.groupBy("vec_id").agg(F.max_by(F.col("of"), F.struct(score.alias("s"), (-F.col("of")).alias("o"))).alias("label"))
+    centres = written(means, "means").select(F.col("label").cast("int").alias("cell"), F.col("centre").alias("vector"))
+    return vector_index.assign(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector")), centres).select(F.col("doc").alias("vec_id"), F.col("cell").alias("label"))
 
 
 # --- copies ---
