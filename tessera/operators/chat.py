@@ -23,23 +23,24 @@ NEAR, RECENT = 2, 3
 DEFAULT = "en"
 
 
-def language(text: Column) -> Column:
-    """struct(lang, share): the language with most function words, ties by name; null with none."""
-    w = words(F.coalesce(text, F.lit("")))
+def language(words: Column) -> Column:
+    """struct(lang, share): the language that most of an array of words are function words of, ties by name; null with none.
 
-    def share(stop: list[str]) -> Column:
-        return F.size(F.filter(w, lambda x: x.isin(stop))) / F.greatest(F.size(w), F.lit(1))
-
-    shares = [F.struct(share(stop).alias("share"), F.lit(-i).alias("order"), F.lit(name).alias("lang")) for i, (name, stop) in enumerate(sorted(FUNCTION_WORDS.items()))]
+    The words are looked through once a language, so let them be a column that is made before.
+    """
+    shares = [F.struct((F.size(F.filter(words, lambda x: x.isin(stop))) / F.greatest(F.size(words), F.lit(1))).alias("share"), F.lit(-i).alias("order"), F.lit(name).alias("lang")) for i, (name, stop) in enumerate(sorted(FUNCTION_WORDS.items()))]
     top = F.greatest(*shares)
     return F.struct(F.when(top["share"] > 0, top["lang"]).alias("lang"), F.round(top["share"], 6).alias("share"))
 
 
 def message_languages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, lang, share, prob and whether the language is sure; quotations don't count."""
-    found = messages.select("conv_id", "turn", "role", "text", language(without_quotes(F.coalesce("text", F.lit("")))).alias("l"))
+    own = F.coalesce("text", F.lit(""))
+    cut = messages.select("conv_id", "turn", "role", F.regexp_count(own, F.lit(r"\p{L}")).alias("letters"), without_quotes(own).alias("plain"))
+    cut = cut.withColumn("words", words(F.col("plain")))
+    found = cut.withColumn("l", language(F.col("words")))
     prob = F.round(F.least(F.lit(1.0), F.col("l.share") * (LEAST_SURE / SURE_SHARE)), 6)
-    sure = F.col("l.lang").isNotNull() & (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")) >= LEAST_LETTERS) & (prob >= LEAST_SURE)
+    sure = F.col("l.lang").isNotNull() & (F.col("letters") >= LEAST_LETTERS) & (prob >= LEAST_SURE)
     return found.select("conv_id", "turn", "role", "l.lang", "l.share", prob.alias("prob"), sure.alias("sure"))
 
 
