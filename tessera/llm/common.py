@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ BROADCAST_LIMIT = 64 * 1024 * 1024
 #: In a salted join a part of one key's rows is about one in so many of all rows, and PART_ROWS at least.
 PARTS = 1000
 PART_ROWS = 200
+#: Bytes of rows that go to a Python worker at once, while tables between steps are written.
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +39,18 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Long texts go to Python workers in batches of few bytes: buffers of both sides follow the largest batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
@@ -43,7 +59,8 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    with small_batches(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
