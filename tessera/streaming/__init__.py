@@ -8,6 +8,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.operators.evaluation import run_stats
 from tessera.sources import place_for, table
+from tessera.sources.keyed import LatestTable
 
 #: How late events may be.
 LATE = "7 days"
@@ -45,3 +46,18 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = _events(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", LATE)
     counted = timed.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
     return _drain(counted.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n"), "hourly", "hour", "event_type")
+
+
+def upsert(stream: DataFrame, latest: LatestTable, label: str = "upsert") -> DataFrame:
+    """Merge a stream into a keyed table batch by batch until all that is there is read; a batch that is run again changes nothing."""
+    place = place_for(latest.spark, label)
+    query = stream.writeStream.foreachBatch(lambda batch, _: latest.merge(batch)).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return latest.read()
+
+
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each user."""
+    events = _events(spark, sf_dir)
+    latest = LatestTable(spark, place_for(spark, "latest"), events.schema, ["user_id"], ["ts", "event_id"])
+    return upsert(events, latest).select("user_id", "event_id", "event_type")
