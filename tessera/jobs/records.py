@@ -82,7 +82,7 @@ def record_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(rf"""SELECT page_id, md5(regexp_replace(trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{SPACES}', ' ', 'g')), '{records.NOTE_MARK}', '', 'g'), '{records.LEADING}', '')), '[ \t\n]+([,.;:!?،۔])', '\1', 'g')) AS translation,
-md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, chr(13), chr(10)), '<[^>]+>', '', 'g'), '\(?¬[0-9٠-٩*]*\)?|\[¬\*?\]', '', 'g'), '\n{{2,}}', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g')) AS page FROM pages""")
+md5(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(replace(html, chr(13), chr(10)), '<[^>]+>', '', 'g'), '\(?¬[0-9٠-٩*]*\)?|\[¬\*?\]', '', 'g'), '{records.LIGATURE}', '{records.SPELT}'), '\n{{2,}}', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g')) AS page FROM pages""")
 def page_cleanups(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.md5(records.clean_translation(F.col("html"))).alias("translation"), F.md5(records.clean_page(F.col("html"))).alias("page"))
 
@@ -106,20 +106,20 @@ def best_alternate(spark: SparkSession, sf: str) -> DataFrame:
 
 _GLOSSARY = r"""
 gl AS (SELECT p_partkey AS term, p_partkey % 3 = 0 AS official, unnest(list_distinct(list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(replace(replace(lower(n), '‘', chr(39)), '’', chr(39)), '[/،,()]'), lambda p: trim(p)), lambda p: length(p) >= 4), lambda p: trim(regexp_replace(p, '[^\p{L}\p{N}'']+', ' ', 'g'))), lambda p: length(p) > 1))) AS name
-       FROM (SELECT p_partkey, (SELECT lower(w[1 + p_partkey % len(w)] || ' ' || w[1 + (p_partkey + 1) % len(w)] || ', ' || w[1 + (p_partkey * 7) % len(w)]) FROM (SELECT string_split(text, ' ') AS w FROM benchmark WHERE item_id = p_partkey % 40)) AS n FROM part WHERE p_partkey % 5 = 0))
+       FROM (SELECT p_partkey, (SELECT lower(w[1 + p_partkey % len(w)] || ' ' || w[1 + (p_partkey + 1) % len(w)] || ', ' || w[1 + (p_partkey * 7) % len(w)] || ', ' || array_to_string(w[1 + p_partkey % 5:6 + p_partkey % 5], ' ')) FROM (SELECT string_split(text, ' ') AS w FROM benchmark WHERE item_id = p_partkey % 40)) AS n FROM part WHERE p_partkey % 5 = 0))
 """
 
 
 @query(rf"""WITH {_GLOSSARY}, w AS (SELECT doc_id, regexp_extract_all({norm_sql("coalesce(text, '')")}, '[\p{{L}}\p{{N}}'']+') AS w FROM documents),
-g AS (SELECT doc_id, unnest(list_distinct(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))], [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]))) AS name FROM w),
+g AS (SELECT doc_id, unnest(list_distinct(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))], [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)], list_transform(range(1, len(w) - 4 + 2), lambda i: array_to_string(w[i:i + 4 - 1], ' ')), list_transform(range(1, len(w) - 5 + 2), lambda i: array_to_string(w[i:i + 5 - 1], ' ')), list_transform(range(1, len(w) - 6 + 2), lambda i: array_to_string(w[i:i + 6 - 1], ' '))))) AS name FROM w),
 m AS (SELECT doc_id, term, max(official) AS official FROM g JOIN gl USING (name) GROUP BY ALL)
 SELECT doc_id, term, rank::INT AS rank FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY official DESC, term) AS rank FROM m) WHERE rank <= 15""")
 def glossary_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms of two words and of one, made of the protected texts."""
+    """Terms of one, two and six words, made of the protected texts."""
     bench = table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), F.split("text", " ").alias("w"))
     parts = table(spark, sf, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("term"), (F.col("p_partkey") % 40).alias("item"))
     word = lambda k: F.get("w", (k % F.size("w")).cast("int"))
-    name = F.concat(word(F.col("term")), F.lit(" "), word(F.col("term") + 1), F.lit(", "), word(F.col("term") * 7))
+    name = F.concat(word(F.col("term")), F.lit(" "), word(F.col("term") + 1), F.lit(", "), word(F.col("term") * 7), F.lit(", "), F.array_join(F.slice("w", (F.col("term") % 5 + 1).cast("int"), 6), " "))
     terms = written(parts.join(bench, "item").select("term", F.lit(None).cast("string").alias("ar"), name.alias("en"), (F.col("term") % 3 == 0).alias("official")), "glossary")
     return records.glossary_terms(table(spark, sf, "documents"), terms)
 
@@ -176,3 +176,19 @@ def unmet_requires(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 60).alias("case_id"), F.array(*[F.lit(x) for x in ("click", "error", "view")]).alias("requires"))
     met = asked.join(has, "case_id", "left")
     return met.select("c_custkey", F.array_join(F.array_sort(F.array_except("requires", F.coalesce("has", F.array().cast("array<string>")))), ",").alias("unmet"))
+
+
+_ASCII = "regexp_replace(coalesce(text, ''), '[^ -%''-~]', ' ', 'g')"
+_TIDY = lambda x: f"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '{SPACES}', ' ', 'g'))"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {_ASCII} AS a FROM documents),
+r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN a WHEN 1 THEN (doc_id % 50) || '. <i>' || a || '</i> [' || (doc_id % 9) || '] , so*' ELSE a || '<BR> ______ <br/>[1] <b>note</b>  ' || doc_id END AS raw FROM t),
+p AS (SELECT doc_id, string_split_regex(raw, '{records.NOTES}') AS p FROM r)
+SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace({_TIDY('p[1]')}, '{records.NOTE_MARK}', '', 'g'), '{records.LEADING}', '')), '[ \t\n]+([,.;:!?،۔])', '\1', 'g') AS text, {_TIDY("array_to_string(nullif(p[2:], []), ' ')")} AS notes FROM p""")
+def translation_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Foot-notes apart from translations, both without marks."""
+    a, k, i = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -%'-~]", " "), F.col("doc_id") % 3, F.col("doc_id")
+    raw = F.when(k == 0, a).when(k == 1, F.concat((i % 50).cast("string"), F.lit(". <i>"), a, F.lit("</i> ["), (i % 9).cast("string"), F.lit("] , so*")))
+    raw = raw.otherwise(F.concat(a, F.lit("<BR> ______ <br/>[1] <b>note</b>  "), i.cast("string")))
+    return records.translations(table(spark, sf, "documents").select("doc_id", raw.alias("raw")))

@@ -148,15 +148,15 @@ def rendered_drafts(spark: SparkSession, sf: str) -> DataFrame:
     return store.render(table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), draft.alias("text")), blocks)
 
 
-@query("""WITH f AS (SELECT DISTINCT 'Q:' || (l_orderkey % 50) || ':' || l_linenumber || CASE WHEN l_partkey % 2 = 0 THEN '-' || (l_linenumber + l_suppkey % 3) ELSE '' END AS id, l_orderkey % 50 AS key, l_linenumber AS lo, l_linenumber + CASE WHEN l_partkey % 2 = 0 THEN l_suppkey % 3 ELSE 0 END AS hi FROM lineitem
+@query("""WITH f AS (SELECT DISTINCT 'Q:' || (l_orderkey % 50) || ':' || l_linenumber || CASE WHEN l_partkey % 2 = 0 THEN '-' || (l_linenumber + l_suppkey % CASE WHEN l_partkey % 20 = 0 THEN 97 ELSE 3 END) ELSE '' END AS id, l_orderkey % 50 AS key, l_linenumber AS lo, l_linenumber + CASE WHEN l_partkey % 2 = 0 THEN l_suppkey % CASE WHEN l_partkey % 20 = 0 THEN 97 ELSE 3 END ELSE 0 END AS hi FROM lineitem
   UNION SELECT 'QA:s:' || (o_custkey % 30) || CASE WHEN o_orderkey % 2 = 0 THEN ':' || (o_orderkey % 7) ELSE '' END, NULL, NULL, NULL FROM orders),
 e AS (SELECT * FROM f WHERE (key % 7 = 0 AND lo % 2 = 0) OR (key IS NULL AND length(id) < 8))
-SELECT DISTINCT f.id AS found, e.id AS expected FROM f, e WHERE f.id = e.id OR starts_with(f.id, e.id || ':') OR (f.key = e.key AND f.lo <= e.hi AND e.lo <= f.hi)""")
+SELECT DISTINCT f.id AS found, e.id AS expected FROM f, e WHERE f.id = e.id OR (starts_with(e.id, 'QA:') AND starts_with(f.id, e.id || ':')) OR (f.key = e.key AND f.lo <= e.hi AND e.lo <= f.hi)""")
 def id_match(spark: SparkSession, sf: str) -> DataFrame:
     """Found and expected ids that agree: equal, a part of it, or ranges that overlap."""
     line = table(spark, sf, "lineitem")
-    more = F.when(F.col("l_partkey") % 2 == 0, F.col("l_suppkey") % 3).otherwise(F.lit(0))
-    tail = F.when(F.col("l_partkey") % 2 == 0, F.format_string("-%d", F.col("l_linenumber") + F.col("l_suppkey") % 3)).otherwise(F.lit(""))
+    more = F.when(F.col("l_partkey") % 20 == 0, F.col("l_suppkey") % 97).when(F.col("l_partkey") % 2 == 0, F.col("l_suppkey") % 3).otherwise(F.lit(0))
+    tail = F.when(F.col("l_partkey") % 2 == 0, F.format_string("-%d", F.col("l_linenumber") + more)).otherwise(F.lit(""))
     ranges = line.select(F.concat(F.format_string("Q:%d:%d", F.col("l_orderkey") % 50, F.col("l_linenumber")), tail).alias("id"), (F.col("l_orderkey") % 50).alias("key"), F.col("l_linenumber").cast("long").alias("lo"), (F.col("l_linenumber") + more).cast("long").alias("hi"))
     part = F.when(F.col("o_orderkey") % 2 == 0, F.format_string(":%d", F.col("o_orderkey") % 7)).otherwise(F.lit(""))
     none = F.lit(None).cast("long")

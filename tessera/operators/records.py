@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SPACES, norm
+from tessera.functions.text import SPACES, nfkc, norm, unescape
+from tessera.sources import written
 
 # Limits and forms of record texts.
 RERANK_CHARS = 1500
 ALTERNATES = 4
 NOTE_MARK = r"\[[0-9]{1,2}\]|\*+"
 LEADING = r"^[ \t\n]*\(?[0-9]{1,3}\)?[.)]?[ \t\n]+"
+NOTES = r"(?i)<br\s*/?>\s*_{5,}\s*<br\s*/?>"
+LIGATURE, SPELT = "﷽", "بسم الله الرحمن الرحيم"
 PREFIXES = ["و", "ف", "ب", "ل", "ك", "ال", "وال", "بال", "لل"]
 MOST_TERMS = 15
 
@@ -71,9 +74,24 @@ def clean_translation(raw: Column) -> Column:
     return F.regexp_replace(body, r"[ \t\n]+([,.;:!?،۔])", "$1")
 
 
+def translations(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """rows with `text` and `notes` instead of a raw translation: foot-notes apart (null without any), entities and compatibility forms resolved.
+
+    Only rows that hold an entity or other than plain letters go through Python.
+    """
+    cut = F.split(F.coalesce(F.col(raw), F.lit("")), NOTES, 2)
+    parts = rows.withColumn("text", F.regexp_replace(cut[0], "<[^>]+>", " ")).withColumn("notes", F.regexp_replace(F.nullif(F.get(cut, 1), F.lit("")), "<[^>]+>", " ")).drop(raw)
+    odd = F.concat_ws(" ", "text", "notes").rlike(r"&[#A-Za-z]|[^\x00-\x{7f}\x{c0}-\x{131}\x{60c}-\x{65f}\x{670}-\x{674}\x{679}-\x{6d3}]")
+    own = parts.where(~odd).unionByName(parts.where(odd).withColumn("text", nfkc(unescape("text"))).withColumn("notes", nfkc(unescape("notes"))))
+    tidy = lambda c: F.trim(F.regexp_replace(c, SPACES, " "))
+    body = F.trim(F.regexp_replace(F.regexp_replace(tidy(F.col("text")), NOTE_MARK, ""), LEADING, ""))
+    return own.withColumn("text", F.regexp_replace(body, r"[ \t\n]+([,.;:!?،۔])", "$1")).withColumn("notes", tidy(F.col("notes")))
+
+
 def clean_page(body: Column) -> Column:
     """A book page without tags and foot-note marks; blanks and empty lines collapsed."""
     plain = F.regexp_replace(F.regexp_replace(F.replace(body, F.lit("\r"), F.lit("\n")), "<[^>]+>", ""), r"\(?¬[0-9٠-٩*]*\)?|\[¬\*?\]", "")
+    plain = F.replace(plain, F.lit(LIGATURE), F.lit(SPELT))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\n{2,}", "\n"), "[ \t]+", " "), "^[ \t\n]+|[ \t\n]+$", "")
 
 
@@ -97,26 +115,27 @@ def names_of(text: Column) -> Column:
     return F.filter(parts, lambda p: F.length(p) >= 4)
 
 
-def _grams(most: int) -> Column:
-    """All runs of up to `most` words of column w, each once."""
+def _grams(lengths: list[int]) -> Column:
+    """All runs of so many words of column w, each once."""
     runs = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.array_join(F.slice("w", i + 1, k), " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[runs(k) for k in range(1, most + 1)]))
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[runs(k) for k in lengths]))
 
 
-def glossary_terms(texts: DataFrame, glossary: DataFrame, key: str = "doc_id", text: str = "text", longest: int = 3, most: int = MOST_TERMS) -> DataFrame:
+def glossary_terms(texts: DataFrame, glossary: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_TERMS) -> DataFrame:
     """(key, term, rank): the terms of a glossary (term, ar, en, official) that a text has, official ones first, then by term.
 
     An Arabic name also matches behind the particles that are written with it, an
-    English one as any of its names.  Names of up to `longest` words are keys of an
-    equality join with the runs of words of a text.
+    English one as any of its names.  Names are keys of an equality join with the
+    runs of words of a text, of the lengths that names have.
     """
     ar = norm(F.coalesce("ar", F.lit("")))
     bare = F.when(ar.startswith("ال") & (F.length(ar) > 4), F.substring(ar, 3, 1000)).otherwise(ar)
     arabic = F.concat(F.array(ar, bare), *[F.array(F.concat(F.lit(p), bare)) for p in PREFIXES])
     names = F.filter(F.array_distinct(F.concat(arabic, F.transform(names_of(F.col("en")), lambda n: F.trim(F.regexp_replace(norm(n), r"[^\p{L}\p{N}']+", " "))))), lambda n: F.length(n) > 1)
-    keys = glossary.select("term", "official", F.explode(names).alias("name"))
+    keys = written(glossary.select("term", "official", F.explode(names).alias("name")), "names")
+    lengths = sorted(r[0] for r in keys.select(F.size(F.split("name", " "))).distinct().collect())  # a few
     split = texts.select(key, F.regexp_extract_all(norm(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}']+"), F.lit(0)).alias("w"))
-    met = split.select(key, F.explode(_grams(longest)).alias("name")).join(keys, "name").groupBy(key, "term").agg(F.max("official").alias("official"))
+    met = split.select(key, F.explode(_grams(lengths)).alias("name")).join(keys, "name").groupBy(key, "term").agg(F.max("official").alias("official"))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.col("official").desc(), "term"))
     return met.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "term", "rank")
 
@@ -127,9 +146,8 @@ def in_sequence(rows: DataFrame, key: str, order: str, number: str) -> DataFrame
     One fold over a key's own numbers.
     """
     listed = rows.where(F.col(number).isNotNull()).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, number))), lambda x: x[number].cast("long")).alias("n"))
-    start = F.expr("cast(array() as array<bigint>)")
-    taken = F.aggregate("n", start, lambda s, x: F.when(x == F.size(s) + 1, F.concat(s, F.array(x))).otherwise(s))
-    return listed.select(key, F.size(taken).alias("accepted"), (F.size("n") - F.size(taken)).alias("noise"))
+    taken = F.aggregate("n", F.lit(0).cast("int"), lambda s, x: s + F.when(x == s + 1, 1).otherwise(0))
+    return listed.select(key, taken.alias("accepted"), (F.size("n") - taken).alias("noise"))
 
 
 def carried(rows: DataFrame, key: str, order: str, value: Column, out: str = "section") -> DataFrame:

@@ -179,3 +179,32 @@ def test_labels(spark):
     texts = spark.createDataFrame([(1, "the red cat, the red cat"), (2, None), (3, "cat")], "doc_id int, text string")
     terms = spark.createDataFrame([("red cat", 2), ("the red", 1), ("cat the", 2)], "term string, priority int")
     assert sorted(map(tuple, labels.terms_in(texts, terms).collect())) == [(1, "cat the", 2), (1, "red cat", 3), (1, "the red", 1)]
+
+
+def test_translations_with_notes(spark):
+    rows = [("In the name &amp; of<br>_______<br>[1] note &lt;x&gt;",), ("(12) ﻻ إله [3] * , ok",), (None,), ("plain",), ("<i>5. Say</i><BR/> _____ <br />",)]
+    got = [tuple(r) for r in records.translations(spark.createDataFrame(rows, "raw string").coalesce(1)).collect()]
+    assert sorted(got, key=repr) == sorted([("In the name & of", "[1] note <x>"), ("لا إله, ok", None), ("", None), ("plain", None), ("Say", None)], key=repr)
+    assert _one(spark, "a ﷽ b", records.clean_page) == "a بسم الله الرحمن الرحيم b"
+
+
+def test_names_of_any_length(spark):
+    glossary = spark.createDataFrame([(1, None, "the oneness of god in worship, tawhid", True), (2, "x", "", False)], "term int, ar string, en string, official boolean")
+    texts = spark.createDataFrame([(1, "so The oneness of God, in worship!"), (2, "Tawhid"), (3, "oneness of god")], "doc_id int, text string")
+    assert sorted((r["doc_id"], r["term"]) for r in records.glossary_terms(texts, glossary).collect()) == [(1, 1), (2, 1)]
+
+
+def test_overlapping_intervals_of_any_length(spark):
+    import random
+
+    from tessera.operators import intervals
+
+    rng = random.Random(1)
+    side = lambda name: [(f"{name}{k}", rng.randrange(3) if rng.random() < 0.95 else None, lo := rng.randrange(-500, 500), lo + rng.choice([0, 1, 5, 40, 41, 200, 900, -3])) for k in range(120)]
+    a, b = side("a"), side("b") + [("all", 0, -(1 << 40), 1 << 40)]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, key int, lo long, hi long")
+    got = {tuple(r) for r in intervals.overlapping(frame(a), frame(b)).collect()}
+    assert got == {(x[0], y[0]) for x in a for y in b if x[1] is not None and x[1] == y[1] and x[2] <= x[3] and y[2] <= y[3] and x[2] <= y[3] and y[2] <= x[3]}
+    paths = [("Q:2:1-60", 2, 1, 60), ("Q:2:10-50", 2, 10, 50), ("Q:2", None, None, None), ("Q:2:5", 2, 5, 5), ("QA:s:1:2", None, None, None), ("QA:s:1", None, None, None), ("QA:s:11", None, None, None)]
+    met = {tuple(r) for r in intervals.matches(frame(paths), frame(paths)).collect()}
+    assert ("Q:2:1-60", "Q:2:10-50") in met and ("Q:2:5", "Q:2") not in met and ("QA:s:1:2", "QA:s:1") in met and ("QA:s:11", "QA:s:1") not in met and ("QA:s:1", "QA:s:1:2") not in met
