@@ -18,6 +18,8 @@ PARTS = 1000
 PART_ROWS = 200
 #: Bytes of rows that go to a Python worker at once, while tables between steps are written.
 BATCH_BYTES = 4 * 1024 * 1024
+#: Bytes of rows that a task holds of a table between steps before it writes them out.
+ROW_GROUP_BYTES = 32 * 1024 * 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,8 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
     with small_batches(spark):
         writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
