@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, documents, materialise
+from tessera.llm.common import BATCH_BYTES, broadcast_if_small, documents, materialise
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.language_id import UNKNOWN, language_of, train
 from tessera.llm.mixing import mix, word_counts
@@ -30,6 +30,11 @@ LEAST_SCORE = 0.5
 LONG_ENOUGH = 20
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """The session's texts go to Python workers in small batches from now on: a stage's result is computed when it is written, by the caller."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(row, id, row_key): whole rows aside, so that no column's name can clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row_key"))
@@ -63,6 +68,7 @@ def _keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told, and short ones that have letters."""
+    _bound_batches(spark)
     model = train(docs)
     letters = F.regexp_count("text", F.lit(r"\p{L}"))
     if not model.languages:
@@ -85,6 +91,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    _bound_batches(spark)
     copies = materialise(mix(word_counts(docs)).groupBy("doc_id", "row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")), "copies")
     rows = _without(_keyed(docs), copies.where("false"), copies.where("n > 1"))
     taken = copies.where("copies > 0").select(F.col("doc_id").alias("of"), F.col("row_key").alias("of_key"), "copies")
@@ -94,6 +101,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids and places in windows."""
+    _bound_batches(spark)
     return pack_documents(docs, default_tokenizer())
 
 
