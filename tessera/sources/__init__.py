@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -42,3 +43,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Broadcast df where its counted rows fit into limit; else the join is left to shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to the end."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def content_key(df: DataFrame, *more: str) -> str:
+    """A name for what df was read from and how: its files with sizes and times, and its plan's columns; a df of no files has a name of its own."""
+    if not df.inputFiles():
+        return uuid.uuid4().hex
+    plan = re.sub(r"#\d+L?|plan_id=\d+", "", df._jdf.queryExecution().analyzed().toString())
+    held = df.sparkSession.read.format("binaryFile").load(df.inputFiles()).select("path", "length", "modificationTime").orderBy("path").collect()  # as many as the driver lists to read df
+    return hashlib.sha1(repr([plan, held, more]).encode()).hexdigest()
