@@ -97,7 +97,8 @@ def draft_issues(drafts: DataFrame) -> DataFrame:
     drafts has reply, lang, level, evidence and cited (arrays of ids), points
     (array of struct(meaning, sources)), detected (the language told from the
     reply, or null), latin (allowed Latin words) and copied (the longest run of
-    words that it shares with an explanation).
+    words that it shares with an explanation).  A column glossary, the ids of terms
+    that were given to the draft, may be cited too, but isn't in placeholders.
     """
     allowed = allowed_ids(F.coalesce("evidence", F.array().cast("array<string>")))
     known = lambda x: covered(x, F.col("__allowed"))
@@ -105,9 +106,10 @@ def draft_issues(drafts: DataFrame) -> DataFrame:
     sources = lambda p: F.coalesce(p["sources"], F.array().cast("array<string>"))
     points = F.coalesce("points", F.expr("cast(array() as array<struct<meaning:string,sources:array<string>>>)"))
     cited = F.coalesce("cited", F.array().cast("array<string>"))
+    terms = F.coalesce("glossary", F.array().cast("array<string>")) if "glossary" in drafts.columns else F.array().cast("array<string>")
     rules = {
         "placeholder": F.exists(marks, lambda x: ~known(x)),
-        "cited_id": F.exists(cited, lambda x: ~known(x)),
+        "cited_id": F.exists(cited, lambda x: ~known(x) & ~F.array_contains(terms, x)),
         "no_citation": (F.size(cited) == 0) & (F.size(marks) == 0),
         "brackets": plain.rlike(BRACKETS),
         "raw_id": F.size(raw_ids(F.col("reply"))) > 0,

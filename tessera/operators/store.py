@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.checks import PLACEHOLDER
 from tessera.operators.intervals import MAX_SPAN
 
 # The form of references, the marks of places and the form of citations in texts.
@@ -113,12 +114,15 @@ def citations(cites: DataFrame, *dims: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def render(texts: DataFrame, blocks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, missing): placeholders `[[ref]]` replaced by the blocks (ref, block) they name, in order; those that name none stay and are counted."""
-    cut = texts.select(key, F.split(F.coalesce(F.col(text), F.lit("")), r"\[\[").alias("parts"))
-    each = cut.select(key, F.posexplode("parts").alias("pos", "part"))
-    end = F.instr("part", "]]")
-    each = each.select(key, "pos", F.when((F.col("pos") > 0) & (end > 0), F.substring_index("part", "]]", 1)).alias("ref"), "part")
-    met = each.join(blocks, "ref", "left")
-    body = F.when(F.col("block").isNotNull(), F.concat("block", F.expr("substring(part, length(ref) + 3)"))).when(F.col("pos") > 0, F.concat(F.lit("[["), "part")).otherwise(F.col("part"))
-    out = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", body.alias("body")))).alias("p"), F.sum((F.col("ref").isNotNull() & F.col("block").isNull()).cast("long")).alias("missing"))
-    return out.select(key, F.array_join(F.transform("p", lambda x: x["body"]), "").alias("text"), "missing")
+    """(key, text, missing): placeholders `[[ref]]` replaced by the blocks (ref, block) they name, in order; those that name none stay and are counted.
+
+    White space inside the brackets doesn't count; other things in double brackets are no placeholders.
+    """
+    own = F.coalesce(F.col(text), F.lit(""))
+    part = lambda k: F.regexp_extract_all(own, F.lit(PLACEHOLDER), F.lit(k))
+    cut = texts.select(key, F.split(own, PLACEHOLDER, -1).alias("pieces"), F.arrays_zip(part(1).alias("ref"), part(0).alias("whole")).alias("m"))
+    met = cut.select(key, F.posexplode("m").alias("pos", "x")).select(key, "pos", "x.ref", "x.whole").join(blocks.select("ref", "block"), "ref", "left")
+    put = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("block", "whole").alias("body"))))
+    per = met.groupBy(key).agg(F.transform(put, lambda x: x["body"]).alias("put"), F.sum(F.col("block").isNull().cast("long")).alias("missing"))
+    whole = cut.join(per, key, "left").withColumn("put", F.coalesce("put", F.array().cast("array<string>")))
+    return whole.select(key, F.array_join(F.zip_with("pieces", "put", lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "").alias("text"), F.coalesce("missing", F.lit(0).cast("long")).alias("missing"))

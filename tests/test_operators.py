@@ -208,3 +208,15 @@ def test_overlapping_intervals_of_any_length(spark):
     paths = [("Q:2:1-60", 2, 1, 60), ("Q:2:10-50", 2, 10, 50), ("Q:2", None, None, None), ("Q:2:5", 2, 5, 5), ("QA:s:1:2", None, None, None), ("QA:s:1", None, None, None), ("QA:s:11", None, None, None)]
     met = {tuple(r) for r in intervals.matches(frame(paths), frame(paths)).collect()}
     assert ("Q:2:1-60", "Q:2:10-50") in met and ("Q:2:5", "Q:2") not in met and ("QA:s:1:2", "QA:s:1") in met and ("QA:s:11", "QA:s:1") not in met and ("QA:s:1", "QA:s:1:2") not in met
+
+
+def test_placeholders_are_rendered_and_terms_may_be_cited(spark):
+    blocks = spark.createDataFrame([("Q:2:1", "B1"), ("H:a", "B2")], "ref string, block string")
+    rows = [(1, "[[ Q:2:1 ]] and [[note]] [[H:a]]x[[Q:9:9]]"), (2, None), (3, "[[Q:2:1]][[Q:2:1\n]]"), (4, "[[[Q:2:1]]]")]
+    got = {r["doc_id"]: (r["text"], r["missing"]) for r in store.render(spark.createDataFrame(rows, "doc_id int, text string"), blocks).collect()}
+    assert got == {1: ("B1 and [[note]] B2x[[Q:9:9]]", 1), 2: ("", 0), 3: ("B1B1", 0), 4: ("[B1]", 0)}
+    schema = "doc_id int, reply string, lang string, level string, evidence array<string>, cited array<string>, points array<struct<meaning:string,sources:array<string>>>, detected string, latin array<string>, copied int, glossary array<string>"
+    drafts = [(1, "so [[Q:2:1]]", "en", "B", ["Q:2:1"], ["Q:2:1", "GL:5"], [("m", ["Q:2:1"])], None, None, 0, ["GL:5"]), (2, "so [[Q:2:1]]", "en", "B", ["Q:2:1"], ["GL:6"], [("m", ["Q:2:1"])], None, None, 0, ["GL:5"]), (3, "so [[Q:2:1]]", "en", "B", ["Q:2:1"], ["GL:6"], [("m", ["Q:2:1"])], None, None, 0, None)]
+    frame = spark.createDataFrame(drafts, schema)
+    assert {r["doc_id"]: r["issues"] for r in checks.draft_issues(frame).collect()} == {1: [], 2: ["cited_id"], 3: ["cited_id"]}
+    assert {r["doc_id"]: r["issues"] for r in checks.draft_issues(frame.drop("glossary")).collect()} == {1: ["cited_id"], 2: ["cited_id"], 3: ["cited_id"]}
