@@ -220,3 +220,8 @@ def test_placeholders_are_rendered_and_terms_may_be_cited(spark):
     frame = spark.createDataFrame(drafts, schema)
     assert {r["doc_id"]: r["issues"] for r in checks.draft_issues(frame).collect()} == {1: [], 2: ["cited_id"], 3: ["cited_id"]}
     assert {r["doc_id"]: r["issues"] for r in checks.draft_issues(frame.drop("glossary")).collect()} == {1: ["cited_id"], 2: ["cited_id"], 3: ["cited_id"]}
+
+
+def test_html_with_given_entities_only(spark):
+    pages = spark.createDataFrame([(1, "a&ampb <b>c</b>&lt;&nbsp;d &amp;quot; &quot;\u00a0e")], "i int, h string")
+    assert html_text(pages, "h", "t", {"&quot;": '"', "&amp;": "&"}, "[ \\t\\r\\n]+").first()["t"] == 'a&ampb c &lt;&nbsp;d &quot; "\u00a0e'
