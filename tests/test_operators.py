@@ -225,3 +225,9 @@ def test_placeholders_are_rendered_and_terms_may_be_cited(spark):
 def test_html_with_given_entities_only(spark):
     pages = spark.createDataFrame([(1, "a&ampb <b>c</b>&lt;&nbsp;d &amp;quot; &quot;\u00a0e")], "i int, h string")
     assert html_text(pages, "h", "t", {"&quot;": '"', "&amp;": "&"}, "[ \\t\\r\\n]+").first()["t"] == 'a&ampb c &lt;&nbsp;d &quot; "\u00a0e'
+
+
+def test_references_count_for_a_drafts_language(spark):
+    rows = [(1, 0, "user", "the cab [GL:12] [SH:3] oak elm fir ash yew")]
+    told = [chat.message_languages(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"), quotes=q).first() for q in (False, True)]
+    assert [(r["share"], r["sure"]) for r in told] == [(round(1 / 7, 6), True), (round(1 / 11, 6), False)]
