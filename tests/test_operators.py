@@ -231,3 +231,12 @@ def test_references_count_for_a_drafts_language(spark):
     rows = [(1, 0, "user", "the cab [GL:12] [SH:3] oak elm fir ash yew")]
     told = [chat.message_languages(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"), quotes=q).first() for q in (False, True)]
     assert [(r["share"], r["sure"]) for r in told] == [(round(1 / 7, 6), True), (round(1 / 11, 6), False)]
+
+
+def test_alternates_meet_a_name_once(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["c", "a"]), (3, ["x"])], "k int, names array<string>")
+    entries = [("a", None), ("a", None), ("c", None), ("b", "y"), ("b", "x"), ("b", None)] * 50
+    best = records.best_alternate(rows, spark.createDataFrame(entries, "name string, en string"), "k", "names")
+    assert {r["k"]: (r["name"], r["en"]) for r in best.collect()} == {1: ("b", "x"), 2: ("c", None)}
+    # Entries of a name are one before the join.
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
