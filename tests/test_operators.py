@@ -267,3 +267,28 @@ def test_index_keeps_how_often_a_term_occurs(spark):
     index = search.build_index(docs)
     assert sorted(map(tuple, index.vocabulary.select("term", "df", "times").collect())) == [("ash", 1, 1), ("elm", 1, 1), ("oak", 2, 3)]
     assert (index.documents, index.mean) == (3, 5 / 3)
+
+
+def test_names_of_many_terms(spark):
+    rng = random.Random(5)
+    words = ["alder", "birch", "cedar", "maple"]
+    entries = [(t, ", ".join(rng.sample(words, 2)), rng.random() < 0.05) for t in range(300)]
+    entries += [(t, rng.choice(words), rng.random() < 0.3) for t in range(0, 300, 7)]
+    texts = [(1, "Alder and birch"), (2, "cedar"), (3, "maple, alder, cedar"), (4, "none"), (5, None)]
+    glossary = spark.createDataFrame([(t, None, en, o) for t, en, o in entries], "term int, ar string, en string, official boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = records.glossary_terms(spark.createDataFrame(texts, "doc_id int, text string"), glossary)
+        # Runs of words aren't shuffled.
+        assert "hashpartitioning(name" not in got._jdf.queryExecution().executedPlan().toString()
+        found = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = []
+    for doc, text in texts:
+        official = {}
+        for t, en, o in entries:
+            if any(n in (text or "").lower() for n in en.split(", ")):
+                official[t] = official.get(t, False) or o
+        want += [(doc, t, k) for k, t in enumerate(sorted(official, key=lambda t: (not official[t], t))[:15], 1)]
+    assert found == sorted(want)
