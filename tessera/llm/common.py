@@ -75,19 +75,25 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIM
 def salted_join(rows: DataFrame, groups: DataFrame, keys: str | list[str], spread: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """rows joined to groups, which has one row a key at most, though one key may hold any part of rows.
 
-    Keys with over one in PARTS of the rows are fewer than PARTS, so this list may
-    be broadcast.  Their rows are dealt to parts by a hash of `spread`, and their
-    groups repeated once a part, which makes 2 * PARTS rows more at most.
+    Keys with over one in PARTS of the rows are fewer than PARTS, so their hashes
+    may go into the plan.  Their rows are dealt to parts by a hash of `spread`, and
+    their groups repeated once a part, which makes 4 * PARTS rows more at most; no
+    other row is joined for that.
     counts (keys, n), a table written before, may tell how many rows the keys that
     matter have; then the part is of these rows.  how is inner or left.
     """
     keys = [keys] if isinstance(keys, str) else keys
     counts = materialise(rows.groupBy(*keys).agg(F.count("*").alias("n")), "counts") if counts is None else counts.select(*keys, "n")
     held = max(PART_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // PARTS)
-    hot = materialise(counts.where(F.col("n") > held).select(*keys, F.ceil(F.col("n") / held).cast("int").alias("__parts")), "hot")
-    if hot.isEmpty():
+    key = F.xxhash64(*[F.col(k).cast(rows.schema[k].dataType) for k in keys])
+    hot: dict[int, list[int]] = {}
+    for h, n in counts.where(F.col("n") > held).select(key, "n").collect():  # fewer than PARTS
+        hot.setdefault(1 << (-(-n // held) - 1).bit_length(), []).append(h)
+    if not hot:
         return rows.join(groups, keys, how)
-    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts")).cast("int"), F.lit(0))
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__parts")
-    right = groups.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    parts = F.lit(1)
+    for size, hashes in hot.items():
+        parts = F.when(key.isin(hashes), size).otherwise(parts)
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), parts).cast("int"))
+    right = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return left.join(right, [*keys, "__salt"], how).drop("__salt")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, golomb, language_id, license_scan, lz_fingerprint, mixing, near_dedup, packing, sharding, substring_dedup, suffix_dedup
+from tessera.llm import common, exact_dedup, golomb, language_id, license_scan, lz_fingerprint, mixing, near_dedup, packing, sharding, substring_dedup, suffix_dedup
 from tessera.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long, blob string, unit int"
@@ -602,3 +602,13 @@ def test_functions_load_where_the_package_is_missing(tmp_path):
         (tmp_path / str(k)).write_bytes(cloudpickle.dumps(f))
     load = f"import pickle; [pickle.load(open('{tmp_path}/' + str(k), 'rb')) for k in range({len(functions)})]"
     subprocess.run([sys.executable, "-c", load], cwd=tmp_path, check=True)
+
+
+def test_salted_join_joins_no_row_but_to_its_group(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") < 30_000, 7).when(F.col("id") < 39_000, F.col("id") % 500 + 10).cast("long").alias("k"), F.col("id").alias("v"))
+    groups = spark.range(300).select(F.col("id").cast("int").alias("k"), (F.col("id") * 3).alias("g"))
+    for how in ("inner", "left"):
+        got = common.salted_join(rows, groups, "k", "v", how=how)
+        assert sorted(map(tuple, got.select("k", "v", "g").collect()), key=repr) == sorted(map(tuple, rows.join(groups, "k", how).select("k", "v", "g").collect()), key=repr)
+        # The parts of frequent keys are told without a join of all rows.
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
