@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import words
+from tessera.functions.text import once, words
+from tessera.sources import broadcast_if_small
 
 # Letters that count for a script, the length of a heading, and how many terms a text is given.
 ARABIC = "[ء-ي]"
@@ -39,9 +40,9 @@ def terms_in(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: str
 
     An equality join on word pairs, told apart within each text before it.
     """
-    w = words(F.col(text))
-    n = F.greatest(F.size(w) - 1, F.lit(0))
-    pairs = F.array_distinct(F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
-    met = texts.where(F.col(text).isNotNull()).select(key, F.explode(pairs).alias("term")).join(terms, "term")
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+    split = texts.where(F.col(text).isNotNull()).select(key, once(words(F.col(text))).alias("w"))
+    met = split.select(key, F.explode(pairs).alias("term")).join(broadcast_if_small(terms, 64), "term")
     rank = F.row_number().over(W.partitionBy(key).orderBy("priority", "term"))
     return met.withColumn("rank", rank).where(F.col("rank") <= MOST_TERMS).select(key, "term", "rank")
