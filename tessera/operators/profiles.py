@@ -7,11 +7,16 @@ the distances become probabilities.  Profiles are a table.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from tessera.functions.text import without_quotes
+from tessera.functions.text import once, without_quotes
 from tessera.sources import broadcast_if_small, written
 
 # Labels that stand for another, groups of close languages, and English words with their limits.
@@ -30,6 +35,7 @@ DEFAULT = "en"
 ORDERS = (1, 2, 3)
 #: N-grams of a profile.
 SIZE = 300
+_NEAR = pa.list_(pa.struct([("lang", pa.string()), ("saved", pa.int64())]))
 #: How sharply probabilities fall off with distance, which is from 0 to 1.
 SHARPNESS = 60.0
 #: Longer words are cut: only their beginning is looked at.
@@ -61,25 +67,78 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", size: int = S
     return written(_ranked(words.groupBy("lang", "word").agg(F.count("*").alias("n")), ["lang"], size), "profiles")
 
 
+def commonest(words: list[str], size: int) -> list[str]:
+    """The commonest n-grams of a text's words, equally common ones by name."""
+    counts: Counter[str] = Counter()
+    for word, n in Counter(words).items():
+        for order in ORDERS:
+            for i in range(len(word) - order + 1):
+                counts[word[i : i + order]] += n
+    counts.pop("_", None)
+    return sorted(counts, key=lambda g: (-counts[g], g))[:size]
+
+
+def _saved(profile: dict[str, dict[str, int]], size: int, ranked: bool):
+    """How near each text comes to each profile, by its words or by its n-grams in order."""
+    held: dict[str, list[tuple[str, int]]] = {}
+    for lang, ranks in profile.items():
+        for gram, rank in ranks.items():
+            held.setdefault(gram, []).append((lang, rank))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, found = [], []
+            for row in batch.column(1):
+                own = row.as_py() if ranked else commonest(row.as_py(), size)
+                saved = dict.fromkeys(profile, 0)
+                for rank, gram in enumerate(own, 1):
+                    for lang, theirs in held.get(gram, ()):
+                        saved[lang] += size - min(abs(rank - theirs), size)
+                sizes.append(len(own))
+                found.append([{"lang": lang, "saved": n} for lang, n in saved.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, _NEAR)], names=[batch.schema.names[0], "size", "near"])
+
+    return near
+
+
 def probabilities(rows: DataFrame, profiles: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, place, lang, prob): the TOP most likely languages of each text with letters, in order; quotations don't count.
 
     An n-gram that a profile lacks is as far out of place as the profile is long.
+    A text's n-grams are counted in its row.  Rows that share a key are one text;
+    n-grams of these alone are counted by a shuffle.
     """
-    own = rows.select(key, without_quotes(F.coalesce(F.col(text), F.lit(""))).alias("plain")).withColumn("words", letters(F.col("plain")))
-    words = own.select(key, F.explode("words").alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    ranked = _ranked(words, [key], SIZE)
-    size = ranked.groupBy(key).agg(F.count("*").alias("size"))
-    met = ranked.join(broadcast_if_small(profiles.withColumnRenamed("rank", "theirs"), 100), "gram")
-    saved = met.groupBy(key, "lang").agg(F.sum(F.lit(SIZE) - F.least(F.abs(F.col("rank") - F.col("theirs")), F.lit(SIZE))).alias("saved"))
-    languages = F.array(*[F.lit(r["lang"]) for r in profiles.select("lang").distinct().orderBy("lang").collect()]).cast("array<string>")  # as many as there are profiles
-    every = size.withColumn("lang", F.explode(languages)).join(saved, [key, "lang"], "left")
-    near = every.select(key, "lang", F.round(F.coalesce("saved", F.lit(0)) / (F.col("size") * SIZE), 9).alias("near"))
-    per = W.partitionBy(key)
-    weight = near.withColumn("weight", F.exp(SHARPNESS * (F.col("near") - F.max("near").over(per))))
-    prob = weight.withColumn("prob", F.round(F.col("weight") / F.sum("weight").over(per), 6))
-    order = per.orderBy(F.col("prob").desc(), "lang")
-    return prob.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TOP).select(key, "place", "lang", "prob")
+    listed = _listed(rows, profiles, key, text)
+    return listed.select(key, F.inline("p")).select(key, "place", "lang", "prob")
+
+
+def _listed(rows: DataFrame, profiles: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, p): the (place, lang, prob) of probabilities(), one row for each text with letters."""
+    held: dict[str, dict[str, int]] = {}
+    for r in profiles.orderBy("lang", "rank").collect():  # SIZE rows for each language
+        held.setdefault(r["lang"], {})[r["gram"]] = r["rank"]
+    own = rows.select(key, once(without_quotes(F.coalesce(F.col(text), F.lit("")))).alias("plain")).select(key, letters(F.col("plain")).alias("words"))
+    schema = StructType([rows.select(key).schema[0], StructField("size", LongType()), StructField("near", ArrayType(StructType([StructField("lang", StringType()), StructField("saved", LongType())])))])
+    # No n-gram is shuffled but of keys that several rows have.
+    twice = written(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("__key")), "twice")
+    if twice.isEmpty():
+        found = own.where(F.size("words") > 0).mapInArrow(_saved(held, SIZE, False), schema)
+    else:
+        few, same = broadcast_if_small(twice, 16), F.col(key).eqNullSafe(F.col("__key"))
+        words = own.join(few, same, "left_semi").select(key, F.explode("words").alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"])
+        shared = _ranked(words, [key], SIZE).groupBy(key).agg(ordered.alias("grams"))
+        alone = own.join(few, same, "left_anti").where(F.size("words") > 0)
+        found = alone.mapInArrow(_saved(held, SIZE, False), schema).unionByName(shared.mapInArrow(_saved(held, SIZE, True), schema))
+    # A null key is equal to none: such texts are near no profile.
+    near = F.transform("near", lambda x: F.struct(x["lang"].alias("lang"), F.round(F.when(F.col(key).isNull(), F.lit(0)).otherwise(x["saved"]) / (F.col("size") * SIZE), 9).alias("near")))
+    found = found.select(key, once(near).alias("near"))
+    found = found.select(key, "near", F.array_max(F.transform("near", lambda x: x["near"])).alias("most"))
+    weights = found.select(key, once(F.transform("near", lambda x: F.struct(x["lang"].alias("lang"), F.exp(SHARPNESS * (x["near"] - F.col("most"))).alias("weight")))).alias("weights"))
+    summed = weights.select(key, "weights", once(F.aggregate("weights", F.lit(0.0), lambda s, x: s + x["weight"])).alias("total"))
+    ordered = F.array_sort(F.transform("weights", lambda x: F.struct((-F.round(x["weight"] / F.col("total"), 6)).alias("less"), x["lang"].alias("lang"))))
+    top = summed.select(key, once(F.slice(ordered, 1, TOP)).alias("top")).where(F.size("top") > 0)
+    return top.select(key, F.transform("top", lambda x, i: F.struct((i + 1).alias("place"), x["lang"].alias("lang"), (-x["less"]).alias("prob"))).alias("p"))
 
 
 def folded(lang: Column) -> Column:
@@ -102,8 +161,7 @@ def detect(rows: DataFrame, profiles: DataFrame, key: str = "doc_id", text: str
     the profiles say.  An unsure language of a group of close ones has the sum of
     those of the group among the TOP.  A text without letters is DEFAULT with 0.
     """
-    top = probabilities(rows, profiles, key, text)
-    listed = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "lang", "prob"))).alias("p"))
+    listed = _listed(rows, profiles, key, text)
     found = rows.select(key, without_quotes(F.coalesce(F.col(text), F.lit(""))).alias("plain")).withColumn("english", english_share(F.col("plain"))).drop("plain").join(listed, key, "left")
     first, prob = folded(F.col("p")[0]["lang"]), F.col("p")[0]["prob"]
     english = (first != "en") & (F.col("english") >= LEAST_ENGLISH)

@@ -71,3 +71,17 @@ def test_accuracy_on_held_out_texts(spark):
     told = pf.detect(held, learned).select("doc_id", F.col("lang").alias("told"))
     right, n = held.join(told, "doc_id").agg(F.avg((F.col("lang") == F.col("told")).cast("double")), F.count("*")).first()
     assert n > 200 and right >= 0.97, right
+
+
+def test_rows_of_one_key_are_one_text(spark, learned):
+    """Also of none; and where keys differ no n-gram is shuffled."""
+    rows = [(1, "der hund schläft"), (2, "the dog"), (2, "sleeps while they"), (None, "the fox"), (None, "and the cat"), (3, "12")]
+    texts = spark.createDataFrame(rows, "doc_id int, text string")
+    got: dict = {}
+    for r in pf.probabilities(texts, learned).collect():
+        got.setdefault(r["doc_id"], []).append((r["place"], r["lang"], r["prob"]))
+    one = spark.createDataFrame([(1, "der hund schläft"), (2, "the dog sleeps while they")], "doc_id int, text string")
+    alone = pf.probabilities(one, learned)
+    assert {k: v for k, v in got.items() if k} == {k: [tuple(r)[1:] for r in alone.where(F.col("doc_id") == k).collect()] for k in (1, 2)}
+    assert got[None] == [(k, lang, 0.2) for k, lang in enumerate(sorted(SAMPLES), 1)]
+    assert "Exchange" not in alone._jdf.queryExecution().sparkPlan().toString() and "Aggregate" not in alone._jdf.queryExecution().optimizedPlan().toString()
