@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.text import once
 from tessera.operators.checks import PLACEHOLDER
 from tessera.operators.intervals import MAX_SPAN
+from tessera.sources import broadcast_if_small, written
 
 # The form of references, the marks of places and the form of citations in texts.
 REFERENCE = r"^Q:([0-9]{1,3}):([0-9]{1,3})(?:-([0-9]{1,3}))?$"
@@ -90,6 +92,7 @@ def cited(texts: DataFrame, names: DataFrame, store: DataFrame, key: str = "doc_
     names (name, number) is a dimension of a few names; store has (key, place).
     """
     parts = lambda k: F.regexp_extract_all(F.col(text), F.lit(CITED), F.lit(k))
+    texts = texts.select(key, once(F.col(text)).alias(text))
     found = texts.select(key, F.posexplode(F.arrays_zip(parts(1).alias("name"), parts(2).alias("lo"), parts(3).alias("hi"))).alias("pos", "c"))
     plain = lambda x: F.nullif(F.translate(F.col(x), INDIC, DIGITS), F.lit(""))
     found = found.select(key, "pos", F.trim("c.name").alias("name"), plain("c.lo").alias("lo"), plain("c.hi").alias("hi")).join(F.broadcast(names), "name")
@@ -98,7 +101,8 @@ def cited(texts: DataFrame, names: DataFrame, store: DataFrame, key: str = "doc_
     asked = first.select("ref").distinct().withColumn("r", parse_ref(F.col("ref"))).where("r is not null and r.hi - r.lo < %d" % MAX_SPAN)
     spelt = asked.select("ref", F.col("r.key").alias("key_of"), (F.col("r.hi") - F.col("r.lo") + 1).alias("n"), F.explode(F.sequence("r.lo", "r.hi")).alias("place"))
     held = spelt.join(store.select(F.col("key").alias("key_of"), "place").distinct(), ["key_of", "place"]).groupBy("ref", "n").agg(F.count("*").alias("met")).where("met = n")
-    return first.join(held.select("ref"), "ref", "left_semi").select(key, "pos", "ref")
+    # References are few and each is cited by many texts, so none of them is a shuffle key.
+    return first.join(broadcast_if_small(written(held.select("ref"), "held"), 64), "ref", "left_semi").select(key, "pos", "ref")
 
 
 def citations(cites: DataFrame, *dims: DataFrame, key: str = "doc_id") -> DataFrame:
