@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest side that is ever broadcast, in bytes, as measured before doing so.
@@ -72,6 +72,18 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIM
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def parts_of(key: Column, counts: DataFrame, least: int | None = None) -> Column | None:
+    """Into how many parts the rows of a key are dealt, so that none has many more than one in PARTS of all rows that counts (n) tells, or `least`; None where all are whole."""
+    held = max(least or PART_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // PARTS)
+    hot: dict[int, list[int]] = {}
+    for h, n in counts.where(F.col("n") > held).select(key, "n").collect():  # fewer than PARTS
+        hot.setdefault(1 << (-(-n // held) - 1).bit_length(), []).append(h)
+    parts = F.lit(1)
+    for size, hashes in hot.items():
+        parts = F.when(key.isin(hashes), size).otherwise(parts)
+    return parts if hot else None
+
+
 def salted_join(rows: DataFrame, groups: DataFrame, keys: str | list[str], spread: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """rows joined to groups, which has one row a key at most, though one key may hold any part of rows.
 
@@ -84,16 +96,10 @@ def salted_join(rows: DataFrame, groups: DataFrame, keys: str | list[str], sprea
     """
     keys = [keys] if isinstance(keys, str) else keys
     counts = materialise(rows.groupBy(*keys).agg(F.count("*").alias("n")), "counts") if counts is None else counts.select(*keys, "n")
-    held = max(PART_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // PARTS)
     key = F.xxhash64(*[F.col(k).cast(rows.schema[k].dataType) for k in keys])
-    hot: dict[int, list[int]] = {}
-    for h, n in counts.where(F.col("n") > held).select(key, "n").collect():  # fewer than PARTS
-        hot.setdefault(1 << (-(-n // held) - 1).bit_length(), []).append(h)
-    if not hot:
+    parts = parts_of(key, counts)
+    if parts is None:
         return rows.join(groups, keys, how)
-    parts = F.lit(1)
-    for size, hashes in hot.items():
-        parts = F.when(key.isin(hashes), size).otherwise(parts)
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), parts).cast("int"))
     right = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return left.join(right, [*keys, "__salt"], how).drop("__salt")

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, documents, materialise, salted_join, shuffle_partitions
+from tessera.llm.common import PART_ROWS, broadcast_if_small, documents, materialise, parts_of, salted_join, shuffle_partitions
 from tessera.llm.components import components
 from tessera.llm.hashing import mix, shingle_hashes, word_hashes
 
@@ -61,6 +61,8 @@ TINY = 14
 #: Members of a bucket that are compared at once, and up to which a bucket isn't parted.
 BLOCK = 2000
 LARGE = 20_000
+#: One text in so many tells which buckets are frequent.
+SEEN = 16
 #: Bits of the signature that says which words a member has.
 SIGNATURE = 1024
 
@@ -322,6 +324,25 @@ def _links_within(buckets: DataFrame, roots: DataFrame, texts: DataFrame, thin:
     return materialise(dealt.mapInArrow(_compare, "a long, b long, similarity double"), "links")
 
 
+def bucket_members(member: DataFrame) -> DataFrame:
+    """(bucket, node, n_words, n, centre, n_centre) of the buckets with several of the members (node, n_words, bucket), which are shuffled once.
+
+    Members of frequent buckets are dealt to parts, whose numbers and centres are
+    put together afterwards.  Which these are is told by the members of one node
+    in SEEN: that decides where rows go, and nothing else.
+    """
+    seen = materialise(member.where(F.pmod(F.xxhash64("node"), F.lit(SEEN)) == 0).groupBy("bucket").agg(F.count("*").alias("n")), "seen")
+    parts = parts_of(F.col("bucket"), seen, max(1, PART_ROWS // SEEN))
+    parts = F.lit(1) if parts is None else parts
+    own = W.partitionBy("bucket", "salt")
+    dealt = member.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")))
+    counted = dealt.select("bucket", "node", "n_words", "parts", F.count("*").over(own).alias("n"), F.min(F.struct("node", "n_words")).over(own).alias("c"))
+    counted = materialise(counted.where("n > 1 or parts > 1"), "buckets")
+    whole = materialise(counted.where("parts > 1").groupBy("bucket").agg(F.count("*").alias("of_all"), F.min("c").alias("least")), "whole")  # fewer than PARTS
+    put = counted.join(F.broadcast(whole), "bucket", "left").withColumn("n", F.coalesce("of_all", "n")).withColumn("c", F.coalesce("least", "c")).where("n > 1")
+    return put.select("bucket", "node", "n_words", "n", F.col("c.node").alias("centre"), F.col("c.n_words").alias("n_centre"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, row_key (xxhash64 of the text), n_words, class_id, class_size, kept."""
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
@@ -330,9 +351,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.groupBy("content").agg(F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "row_key")).alias("of"), F.count("*").alias("n"))
     texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
 
-    member = texts.select("node", "n_words", F.explode("sketch").alias("bucket"))
-    shared = materialise(member.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "n_words")).alias("c")).where("n > 1"), "shared")
-    buckets = materialise(salted_join(member, shared, "bucket", "node", shared).select("bucket", "node", "n_words", "n", F.col("c.node").alias("centre"), F.col("c.n_words").alias("n_centre")), "buckets")
+    buckets = bucket_members(texts.select("node", "n_words", F.explode("sketch").alias("bucket")))
     roots = None
     if not buckets.isEmpty():
         # One pair a node first: with the least centre of all its buckets.

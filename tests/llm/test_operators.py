@@ -231,6 +231,27 @@ def test_near_dedup_against_all_pairs(spark, monkeypatch, block, large):
     assert all(got[k]["class_size"] == len(own) and got[k]["kept"] == (k == c) for c, own in size.items() for k in own)
 
 
+@pytest.mark.parametrize("rows", [1, 200])
+def test_members_of_buckets_are_shuffled_once(spark, monkeypatch, rows):
+    """Buckets in parts and whole ones: numbers and centres as counted plainly, and no join of all sketches."""
+    monkeypatch.setattr(near_dedup, "PART_ROWS", rows)
+    rng = random.Random(12)
+    # Bucket 7 is in every text, some buckets are in a few, most in one.
+    held = {node: {7, *(rng.randrange(100, 900) for _ in range(5)), *(rng.getrandbits(60) for _ in range(10))} for node in range(400)}
+    sketches = spark.createDataFrame([(node, 10 + node % 5, sorted(keys)) for node, keys in held.items()], "node long, n_words int, sketch array<long>")
+    joined = []
+    plain = near_dedup.salted_join
+    monkeypatch.setattr(near_dedup, "salted_join", lambda *a: joined.append(a) or plain(*a))
+    found = near_dedup.bucket_members(sketches.select("node", "n_words", F.explode("sketch").alias("bucket")))
+    got = sorted(tuple(r) for r in found.select("bucket", "node", "n_words", "n", "centre", "n_centre").collect())
+    nodes: dict = {}
+    for node, keys in held.items():
+        for k in keys:
+            nodes.setdefault(k, []).append(node)
+    assert got == sorted((k, x, 10 + x % 5, len(own), min(own), 10 + min(own) % 5) for k, own in nodes.items() if len(own) > 1 for x in own)
+    assert not joined
+
+
 def test_long_texts_are_sketched_in_blocks(monkeypatch):
     words = near_dedup.word_hashes(prose(random.Random(24), 3000, 40))
     whole = [near_dedup.order_sketches(words, k).tolist() for k in (2, 3, 5)]
