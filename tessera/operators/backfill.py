@@ -25,6 +25,8 @@ REVERSED = rf"\]{_NUMBER}{SPACE}*:{SPACE}*\[?{SPACE}*"
 _WORD = r"[\p{L}\p{M}]+"
 #: Stand for the brackets of passages that are put in, while those that the text had go.
 _PUT_OPEN, _PUT_CLOSE = "\ue000", "\ue001"
+#: Characters of passages that may go into a plan.
+IN_PLAN = 1 << 20
 #: Of what follows a reversed number so much is looked at for a name.
 _AHEAD = 200
 
@@ -114,19 +116,30 @@ def fill(texts: DataFrame, names: DataFrame, store: DataFrame, key: str = "doc_i
     """
     rows = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     met = written(references(rows, names, key), "references")
-    known = met.join(passages(met, store, names), ["number", "lo", "hi"])
     block = F.concat(F.lit(f" {_PUT_OPEN}"), "passage", F.lit(f"{_PUT_CLOSE} ["), "label", F.lit("] "))
-    per = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "stop", "ref", block.alias("block")))).alias("m"))
+    blocks = written(passages(met, store, names).select("number", "lo", "hi", "ref", block.alias("block")), "blocks")
+    size = blocks.agg(F.sum(F.length("block") + F.length("ref") + 16)).first()[0] or 0
+    if size <= IN_PLAN:
+        # Few passages, however many texts name them: they go into the plan, and a text is put together with their numbers alone.
+        every = blocks.collect()
+        ids = met.sparkSession.createDataFrame([(b["number"], b["lo"], b["hi"], i) for i, b in enumerate(every)], "number long, lo int, hi int, id int")
+        known = met.join(F.broadcast(ids), ["number", "lo", "hi"]).select(key, F.struct("at", "stop", "id").alias("x"))
+        told = {name: F.array(*[F.lit(b[name]) for b in every]) if every else F.array().cast("array<string>") for name in ("ref", "block")}
+        put = lambda name: F.transform("kept", lambda x: told[name][x["id"]])
+    else:
+        known = met.join(blocks, ["number", "lo", "hi"]).select(key, F.struct("at", "stop", "ref", "block").alias("x"))
+        put = lambda name: F.col(f"kept.{name}")
+    per = known.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("m"))
     none = F.filter("m", lambda x: F.lit(False))
     taken = F.aggregate("m", F.struct(F.lit(0).alias("last"), none.alias("kept")), lambda s, x: F.when(x["at"] >= s["last"], F.struct(x["stop"].alias("last"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s))
     per = per.select(key, taken["kept"].alias("kept"))
     found = rows.join(per, key, "left")
     starts, stops = F.concat(F.array(F.lit(0)), F.col("kept.stop")), F.concat(F.col("kept.at"), F.array(F.length("text")))
-    blocks = F.concat(F.col("kept.block"), F.array(F.lit("")))
-    pieces = F.zip_with(F.arrays_zip(starts.alias("a"), stops.alias("b")), blocks, lambda p, put: F.concat(F.substring(F.col("text"), p["a"] + 1, p["b"] - p["a"]), put))
+    after = F.concat(put("block"), F.array(F.lit("")))
+    pieces = F.zip_with(F.arrays_zip(starts.alias("a"), stops.alias("b")), after, lambda p, x: F.concat(F.substring(F.col("text"), p["a"] + 1, p["b"] - p["a"]), x))
     whole = F.coalesce(F.array_join(pieces, ""), F.col("text"))
     plain = F.translate(F.translate(whole, OPEN + CLOSE, "  "), _PUT_OPEN + _PUT_CLOSE, OPEN + CLOSE)
-    return found.select(key, F.trim(F.regexp_replace(plain, f"{SPACE}+", " ")).alias("text"), F.coalesce("kept.ref", F.array().cast("array<string>")).alias("refs"))
+    return found.select(key, F.trim(F.regexp_replace(plain, f"{SPACE}+", " ")).alias("text"), F.coalesce(put("ref"), F.array().cast("array<string>")).alias("refs"))
 
 
 def repair(drafts: DataFrame, typed: DataFrame, key: str = "doc_id", reply: str = "reply") -> DataFrame:

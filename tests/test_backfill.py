@@ -83,3 +83,19 @@ def test_repair(spark):
     got = {r["doc_id"]: (r["reply"], r["repaired"]) for r in backfill.repair(drafts, spark.createDataFrame(typed, "doc_id int, pos int, quoted string, ref string")).collect()}
     assert got == {1: ("He said [[Q:1:2]] and [[Q:1:2]] too", 2), 2: ("so [[Q:7:7]] ends", 1), 3: (rows[2][1], 0), 4: ("x [[Q:2:5]] y $1", 1), 5: ("", 0)}
     assert backfill.repair(drafts.where(F.lit(False)), spark.createDataFrame(typed, "doc_id int, pos int, quoted string, ref string")).count() == 0
+
+
+def test_passages_are_not_shuffled_with_texts(spark, monkeypatch):
+    """Texts are put together with passages' numbers, unless these are too many for a plan: alike either way."""
+    rows = [(1, "[Al Nur: 3] and ]5-4 :[يس, so [بيت: 2]"), (2, "[البقرة: 6-8] [البقرة : 5]"), (3, "none"), (4, None), (5, "[Al Nur: 3][Al Nur: 3-5]")]
+    texts = spark.createDataFrame(rows, "doc_id int, text string")
+    names, store = spark.createDataFrame(NAMES, "name string, number int"), spark.createDataFrame(STORE, "number int, place int, text string")
+    found = []
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(backfill, "IN_PLAN", most)
+        filled = backfill.fill(texts, names, store)
+        plan = filled._jdf.queryExecution().executedPlan().toString()
+        assert ("block#" in plan) == (most == 0)
+        found.append(sorted((r["doc_id"], r["text"], tuple(r["refs"])) for r in filled.collect()))
+    want = {k: plain_fill(t or "") for k, t in rows}
+    assert found[0] == found[1] == [(k, want[k][0], tuple(want[k][1])) for k in sorted(want)]
