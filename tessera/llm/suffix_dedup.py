@@ -8,7 +8,8 @@ and only those that can meet an equal one:
 1. Meeting.  Texts lie dealt over units.  Of each LENGTH-byte string the
    GRAM-byte string in it with the least hash is its key, the same wherever the
    string occurs.  A unit sends its distinct keys, Golomb coded, to owners of
-   key ranges and gets back bitmaps of those that other units have too.
+   key ranges and gets back bitmaps of those that other units have too, and
+   where they go: keys that few units have go by the set of these units.
 2. Blockwise sorting.  Suffixes whose key repeats are sorted inside their unit:
    places whose residue modulo V is in a difference cover are samples, and the
    samples' strings are ranked first.  Then the suffixes go through in buckets
@@ -18,10 +19,14 @@ and only those that can meet an equal one:
    bytes.  A suffix is never spelt out, so a bucket holds some 40 bytes of each
    of its suffixes.  What has an equal of a smaller id in the unit is settled.
 3. The rest goes, in runs with the bytes around, to the task of its key, and is
-   sorted there by the same routine.  A passage that a third of all documents
-   share leaves each unit once.  A key that many units have in MANY_RUNS places
-   each, as a frequent phrase gives, is parted by the bytes before or after the
-   key's string: the side of which the suffix holds more.
+   sorted there by the same routine.  Neighbouring keys of a passage that two
+   units share have the same set of units, so the passage goes in one run; by
+   their own hashes the keys would break it every 14 bytes or so, with LENGTH - 1
+   bytes more each time.  Keys of more than FEW_UNITS units go by their hashes: a
+   passage that a third of all documents share leaves each unit once.  A key that
+   many units have in MANY_RUNS places each, as a frequent phrase gives, is parted
+   by the bytes before or after the key's string: the side of which the suffix
+   holds more.
 4. Ranges to remove come back to the units, which cut the texts.
 
 (The keys of step 1 are by content and not by residues: to bring equal strings
@@ -44,11 +49,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, materialise, shuffle_partitions
-from tessera.llm.golomb import bitmap, owner_of, pack_by_owner, repeated_bitmaps, unpack, values_of_many
+from tessera.llm.golomb import bitmap, owner_of, pack_by_owner, unpack, values_of_many
 from tessera.llm.hashing import mix, powers, prefix_hash, run_hashes
 
 LENGTH = 50
@@ -58,6 +64,8 @@ KEY_BITS = 44
 UNITS = 4
 #: Groups of keys for each shuffle partition; a task has one of them in memory at a time.
 GROUPS = 8
+#: Keys that so many units have at most, and an eighth of all units, go by the set of these units.
+FEW_UNITS = 8
 #: Keys that so many units have in so many places each are parted by CONTEXT bytes beside their strings.
 MANY_UNITS = 32
 MANY_RUNS = 8
@@ -278,10 +286,40 @@ def _send_keys(owners: int):
     return send
 
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    sent = [unpack(b) for b in pdf["blob"]]
-    many = values_of_many([unpack(b) for b in pdf["often"] if b], MANY_UNITS)
-    return pd.DataFrame({"unit": pdf["unit"], "owner": pdf["owner"], "bits": repeated_bitmaps(sent), "many": [bitmap(v, many) for v in sent]})
+def holders(sent: list[np.ndarray], units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values that several units have, in order, with the number of these units and a hash of their set."""
+    every = np.concatenate([np.zeros(0, np.uint64), *sent])
+    who = np.repeat(mix(units.astype(np.uint64) + np.uint64(1)), [len(v) for v in sent])
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    head = np.flatnonzero(np.append(np.ones(min(1, len(every)), bool), every[1:] != every[:-1]))
+    times = np.diff(np.append(head, len(every)))
+    again = times > 1
+    return every[head[again]], times[again], mix(np.add.reduceat(who[order], head)[again]) if len(head) else every
+
+
+def _goal_type(groups: int) -> np.dtype:
+    return np.min_scalar_type(groups).newbyteorder("<")
+
+
+def _answer(groups: int, few: int):
+    """To each unit: which of its keys others have too, which are to be parted, and for the first the group that they go to (`groups`: the one of their hash)."""
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        sent = [unpack(b) for b in pdf["blob"]]
+        many = values_of_many([unpack(b) for b in pdf["often"] if b], MANY_UNITS)
+        again, times, who = holders(sent, pdf["unit"].to_numpy())
+        goal = np.where(times <= few, who % np.uint64(groups), np.uint64(groups))
+        goal[np.isin(again, many)] = groups
+        goal = goal.astype(_goal_type(groups))
+        out = []
+        for v in sent:
+            at = np.searchsorted(again, v)
+            hit = again[np.minimum(at, len(again) - 1)] == v if len(again) else np.zeros(len(v), bool)
+            out.append((np.packbits(hit).tobytes(), bitmap(v, many), goal[at[hit]].tobytes()))
+        return pd.DataFrame({"unit": pdf["unit"], "owner": pdf["owner"]} | dict(zip(("bits", "many", "goals"), map(list, zip(*out, strict=True)), strict=True)))
+
+    return answer
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -305,6 +343,18 @@ def _packed(kinds: tuple[str, ...], *arrays: np.ndarray) -> bytes:
     return _blob(*(a.astype(t) for a, t in zip(arrays, kinds, strict=True)))
 
 
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """The columns of _SUFFIXES, compressed; all but the bytes as differences, which are small as they come in order."""
+    *columns, data = arrays
+    blob = _packed(_SUFFIXES, *(np.diff(a.astype(np.int64), prepend=0) for a in columns), data)
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, "zstd", asbytes=True)
+
+
+def _spread(blob: bytes) -> list[np.ndarray]:
+    *columns, data = _unblob(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True), *_SUFFIXES)
+    return [*(np.cumsum(a, dtype=a.dtype) for a in columns), data]
+
+
 def _send_suffixes(owners: int, groups: int):
     def send(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         columns = ["bucket", "unit", "settled", "blob"]
@@ -316,10 +366,11 @@ def _send_suffixes(owners: int, groups: int):
             return pd.DataFrame(columns=columns)
         distinct, inverse = np.unique(key, return_inverse=True)
         owner = owner_of(distinct, KEY_BITS, owners)
-        elsewhere, many = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
-        for o, bits, more in zip(answers["owner"].tolist(), answers["bits"].tolist(), answers["many"].tolist(), strict=True):
+        elsewhere, many, goal = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool), np.full(len(distinct), groups)
+        for o, bits, more, goals in zip(*(answers[c].tolist() for c in ("owner", "bits", "many", "goals")), strict=True):
             a, b = np.searchsorted(owner, [o, o + 1])
             elsewhere[a:b], many[a:b] = (np.unpackbits(np.frombuffer(x, np.uint8))[: b - a].astype(bool) for x in (bits, more))
+            goal[a:b][elsewhere[a:b]] = np.frombuffer(goals, _goal_type(groups))
         low, high = np.full(len(distinct), len(unit.doc_ids)), np.full(len(distinct), -1)
         np.minimum.at(low, inverse, text)
         np.maximum.at(high, inverse, text)
@@ -335,21 +386,25 @@ def _send_suffixes(owners: int, groups: int):
         # Only where other units have the key is there more to find out.
         ask = np.flatnonzero(~gone & elsewhere[which][run])
         run, place = run[ask], place[ask]
-        goal = key[run]
-        hot = np.flatnonzero(many[which][run])
-        if len(hot):
-            goal[hot] = part_keys(unit.bytes, place[hot], goal[hot])
-        head, number = _ranges(place, run, goal)
-        p, t, goal = place[head], text[run[head]], goal[head]
-        by = np.argsort(goal, kind="stable")
-        t, p, goal, number = t[by], p[by], goal[by], number[by]
-        bucket = owner_of(goal, KEY_BITS, groups)
+        bucket = goal[which[run]]
+        own = np.flatnonzero(bucket == groups)
+        if len(own):
+            single = key[run[own]]
+            hot = np.flatnonzero(many[which[run[own]]])
+            if len(hot):
+                single[hot] = part_keys(unit.bytes, place[own[hot]], single[hot])
+            bucket[own] = owner_of(single, KEY_BITS, groups)
+        t = text[run]
+        head, number = _ranges(place, t, bucket)
+        p, t, bucket = place[head], t[head], bucket[head]
+        by = np.argsort(bucket, kind="stable")
+        t, p, bucket, number = t[by], p[by], bucket[by], number[by]
         cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             if a == b:
                 continue
             own = t[a:b]
-            out.append((int(bucket[a]), name, False, _packed(_SUFFIXES, own, p[a:b] - unit.start[own], number[a:b], unit.doc_ids[own], unit.bytes[suffixes(p[a:b], number[a:b] + LENGTH - 1)])))
+            out.append((int(bucket[a]), name, False, _squeezed(own, p[a:b] - unit.start[own], number[a:b], unit.doc_ids[own], unit.bytes[suffixes(p[a:b], number[a:b] + LENGTH - 1)])))
         return pd.DataFrame(out, columns=columns)
 
     return send
@@ -360,7 +415,7 @@ def _sort_group(pdf: pd.DataFrame) -> pd.DataFrame:
     settled = pdf[pdf["settled"]]
     out = list(zip(settled["unit"].tolist(), settled["blob"].tolist(), strict=True))
     asked = pdf[~pdf["settled"]]
-    parts = [_unblob(b, *_SUFFIXES) for b in asked["blob"].tolist()]
+    parts = [_spread(b) for b in asked["blob"].tolist()]
     if parts:
         text, offset, count, doc_id, data = (np.concatenate(x) for x in zip(*parts, strict=True))
         unit = np.repeat(asked["unit"].to_numpy(np.int64), [len(p[0]) for p in parts])
@@ -431,7 +486,7 @@ def _planned(docs: DataFrame, last, schema: str, id_col: str, text_col: str) ->
     # Units, owners and groups are dealt in turn, so that every partition has as many of them.
     dealt = thin.join(spread, "key", "left").select(F.pmod(F.pmod("key", F.lit(units)) + salt, F.lit(units)).cast("int").alias("unit"), "doc_id", "raw").repartitionById(partitions, "unit")
     keys = dealt.groupBy("unit").applyInPandas(_send_keys(partitions), "unit int, owner int, blob binary, often binary").repartitionById(partitions, "owner")
-    answers = keys.groupBy("owner").applyInPandas(_answer, "unit int, owner int, bits binary, many binary").repartitionById(partitions, "unit")
+    answers = keys.groupBy("owner").applyInPandas(_answer(groups, min(FEW_UNITS, units // 8)), "unit int, owner int, bits binary, many binary, goals binary").repartitionById(partitions, "unit")
     asked = dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(_send_suffixes(partitions, groups), "bucket int, unit int, settled boolean, blob binary").repartitionById(partitions, "bucket")
     ranges = asked.groupBy("bucket").applyInPandas(_sort_group, "unit int, blob binary").repartitionById(partitions, "unit")
     return dealt.groupBy("unit").cogroup(ranges.groupBy("unit")).applyInPandas(last, schema)

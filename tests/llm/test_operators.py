@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,57 @@ def test_frequent_keys_are_parted_alike(monkeypatch):
     assert all(len(k) == 1 for k in met.values()) and len(met) > 200
 
 
+@pytest.mark.parametrize("edits", [3, 40])
+def test_passages_of_two_units_go_in_few_bytes(edits):
+    """Near copies in pairs of units: what a unit sends for its suffixes is less than their text, not several times as much."""
+    rng = random.Random(5)
+    units, owners, groups = 64, 5, 16
+    texts: list = [[] for _ in range(units)]
+    for i in range(2 * units):
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(4000))
+        a, b = rng.sample(range(units), 2)
+        texts[a].append((2 * i, text))
+        cut = sorted(rng.sample(range(4000), edits))
+        texts[b].append((2 * i + 1, "".join(text[x + 1 : y] + "#" for x, y in zip([-1, *cut], [*cut, 4000], strict=True))))
+    pdfs = [pd.DataFrame({"unit": u, "doc_id": [i for i, _ in t], "raw": [x.encode() for _, x in t]}) for u, t in enumerate(texts)]
+    keys = pd.concat([suffix_dedup._send_keys(owners)(p) for p in pdfs if len(p)])
+    answers = pd.concat([suffix_dedup._answer(groups, units // 8)(g.reset_index(drop=True)) for _, g in keys.groupby("owner")])
+    asked = pd.concat([suffix_dedup._send_suffixes(owners, groups)(p, answers[answers["unit"] == u].reset_index(drop=True)) for u, p in enumerate(pdfs)])
+    asked["settled"] = asked["settled"].astype(bool)
+    assert asked[~asked["settled"]]["blob"].map(len).sum() < sum(len(x) for t in texts for _, x in t)
+    ranges = pd.concat([suffix_dedup._sort_group(g.reset_index(drop=True)) for _, g in asked.groupby("bucket")])
+    got = {r.doc_id: [tuple(x) for x in r.spans] for u, p in enumerate(pdfs) for r in suffix_dedup._cut(p, ranges[ranges["unit"] == u].reset_index(drop=True)).itertuples()}
+    first: dict = {}
+    every = sorted(r for t in texts for r in t)
+    for i, t in every:
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    for i, t in every:
+        gone = np.zeros(len(t) + 2, np.int8)
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p + 1 : p + 51] = 1
+        edge = np.flatnonzero(np.diff(gone))
+        assert got[i] == list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def test_what_is_sent_comes_back():
+    text, place, number, ids = np.array([0, 0, 3, 9]), np.array([5, 90, 7, 0]), np.array([1, 3, 1, 2]), np.array([suffix_dedup._NULL, suffix_dedup._NULL, -4, (1 << 63) - 1])
+    data = np.arange(203).astype(np.uint8)
+    for sent in ((text, place, number, ids, data), tuple(x[:0] for x in (text, place, number, ids, data))):
+        for a, b in zip(sent, suffix_dedup._spread(suffix_dedup._squeezed(*sent)), strict=True):
+            assert a.tolist() == b.tolist()
+
+
+def test_holders_name_sets_of_units():
+    sent = [np.array(v, np.uint64) for v in ([1, 5, 9], [2, 5, 9, 11], [], [9, 11], [1, 5])]
+    value, times, who = suffix_dedup.holders(sent, np.array([4, 0, 1, 7, 2]))
+    assert value.tolist() == [1, 5, 9, 11] and times.tolist() == [2, 3, 3, 2] and len(set(who.tolist())) == 4
+    other = suffix_dedup.holders([sent[k] for k in (3, 4, 0, 1)], np.array([7, 2, 4, 0]))
+    assert [x.tolist() for x in other] == [value.tolist(), times.tolist(), who.tolist()]
+    assert all(len(x) == 0 for x in suffix_dedup.holders([np.zeros(0, np.uint64)], np.array([3])))
+
+
 @pytest.mark.parametrize("many", [2, 1000])
 def test_suffix_dedup_in_small_pieces(spark, monkeypatch, many):
     """Chunks and buckets of few bytes, keys parted or not, against brute force."""
