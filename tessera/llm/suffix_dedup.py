@@ -60,10 +60,12 @@ from tessera.llm.hashing import mix, powers, prefix_hash, run_hashes
 LENGTH = 50
 GRAM = 25
 KEY_BITS = 44
+#: An odd number: products modulo 2**KEY_BITS differ where the factors do.
+SCATTER = np.uint64(0x9E3779B97F5)
 #: Units for each shuffle partition; a task has one of them in memory at a time.
 UNITS = 4
-#: Groups of keys for each shuffle partition; a task has one of them in memory at a time.
-GROUPS = 8
+#: Groups of keys for each shuffle partition; a task has one of them in memory at a time.  Each unit may send to each group, so more of them are more rows.
+GROUPS = 2
 #: Keys that so many units have at most, and an eighth of all units, go by the set of these units.
 FEW_UNITS = 8
 #: Keys that so many units have in so many places each are parted by CONTEXT bytes beside their strings.
@@ -135,14 +137,19 @@ def gram_keys(part: np.ndarray) -> np.ndarray:
 
 
 def string_keys(part: np.ndarray) -> np.ndarray:
-    """For each LENGTH-byte string the least hash of the GRAM-byte strings in it."""
+    """For each LENGTH-byte string the least hash of the GRAM-byte strings in it, scattered."""
     least = gram_keys(part)
     width, need = 1, LENGTH - GRAM + 1
     while width < need:
         step = min(width, need - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    return least
+    return scattered(least)
+
+
+def scattered(hashes: np.ndarray) -> np.ndarray:
+    """Other numbers for the hashes, one to one: the least of 26 are small, and the first owners would have most of them."""
+    return hashes * SCATTER & np.uint64((1 << KEY_BITS) - 1)
 
 
 def _distances() -> np.ndarray:
@@ -259,7 +266,7 @@ def part_keys(data: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndarra
     found: list[np.ndarray] = []
     named: list[np.ndarray] = []
     for low in range(0, len(data) - GRAM + 1, _CHUNK):
-        grams = gram_keys(data[low : low + _CHUNK + GRAM - 1])
+        grams = scattered(gram_keys(data[low : low + _CHUNK + GRAM - 1]))
         slot = np.minimum(np.searchsorted(distinct, grams), len(distinct) - 1)
         hit = np.flatnonzero(distinct[slot] == grams)
         found.append(hit + low)

@@ -160,6 +160,18 @@ def test_passages_of_two_units_go_in_few_bytes(edits):
         assert got[i] == list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+def test_keys_are_dealt_evenly():
+    """The least hash of a string is a small number; the first owner of keys had most of them, and the first group most suffixes."""
+    rng = random.Random(6)
+    data = np.frombuffer("".join(rng.choice("abcdefghijklmnop ") for _ in range(200_000)).encode(), np.uint8)
+    keys = np.unique(suffix_dedup.string_keys(data))
+    for owners in (12, 51, 600):
+        dealt = np.bincount(golomb.owner_of(keys, suffix_dedup.KEY_BITS, owners), minlength=owners)
+        assert len(dealt) == owners and dealt.max() < 2.5 * len(keys) / owners
+    hashes = np.unique(suffix_dedup.gram_keys(data))
+    assert len(np.unique(suffix_dedup.scattered(hashes))) == len(hashes)
+
+
 def test_what_is_sent_comes_back():
     text, place, number, ids = np.array([0, 0, 3, 9]), np.array([5, 90, 7, 0]), np.array([1, 3, 1, 2]), np.array([suffix_dedup._NULL, suffix_dedup._NULL, -4, (1 << 63) - 1])
     data = np.arange(203).astype(np.uint8)
