@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from zlib import crc32
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import once
 from tessera.operators.checks import allowed_ids, covered
 from tessera.operators.intervals import MAX_SPAN
 from tessera.operators.quotes import letters_only
@@ -25,10 +30,12 @@ REVERSED = rf"\]{_NUMBER}{SPACE}*:{SPACE}*\[?{SPACE}*"
 _WORD = r"[\p{L}\p{M}]+"
 #: Stand for the brackets of passages that are put in, while those that the text had go.
 _PUT_OPEN, _PUT_CLOSE = "\ue000", "\ue001"
-#: Characters of passages that may go into a plan.
-IN_PLAN = 1 << 20
-#: Of what follows a reversed number so much is looked at for a name.
-_AHEAD = 200
+#: Characters of passages, and of what stands for them, that may go into a plan.
+IN_PLAN = 1 << 22
+#: SPACE in a form that Java looks up in a table.
+_FAST_SPACE = r"[ \t-\r\xa0]"
+#: What becomes one space; single spaces, which are most of it, aren't replaced.
+_SPACES = rf"[\t-\r\xa0]{_FAST_SPACE}*| {_FAST_SPACE}+"
 
 
 def head_pattern(words: int) -> str:
@@ -60,39 +67,32 @@ def aliases(names: DataFrame) -> DataFrame:
     return best.select("written", (-F.col("b.s")).alias("size"), "b.number")
 
 
-def _found(texts: DataFrame, key: str, text: str, pattern: str, name: int) -> DataFrame:
-    """(key, at, stop, lo, hi, name, ahead) of each match of a pattern; places are the sums of what lies before."""
-    part = lambda k: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(k))
-    lo = 2 if name else 1
-    met = F.arrays_zip(part(0).alias("whole"), part(name).alias("name"), part(lo).alias("lo"), part(lo + 1).alias("hi"))
-    cut = texts.select(key, F.split(F.col(text), pattern, -1).alias("pieces"), met.alias("m")).where(F.size("m") > 0)
-    sizes = F.zip_with("pieces", "m", lambda p, m: F.length(p) + F.coalesce(F.length(m["whole"]), F.lit(0)))
-    cut = cut.withColumn("stops", F.aggregate(sizes, F.array(F.lit(0)), lambda had, n: F.concat(had, F.array(F.element_at(had, -1) + n))))
-    each = cut.select(key, "pieces", "stops", F.posexplode("m").alias("k", "m"))
-    plain = lambda c: F.nullif(F.translate(c, INDIC, DIGITS), F.lit("")).cast("int")
-    first, second = plain(F.col("m.lo")), plain(F.col("m.hi"))
-    both = [F.least(first, F.coalesce(second, first)).alias("lo"), F.greatest(first, F.coalesce(second, first)).alias("hi")]
-    at = F.col("stops")[F.col("k")] + F.length(F.col("pieces")[F.col("k")])
-    return each.select(key, at.alias("at"), F.col("stops")[F.col("k") + 1].alias("stop"), *both, "m.name", F.substring(F.col("pieces")[F.col("k") + 1], 1, _AHEAD).alias("ahead"))
+def _spots(text: str, pattern: str) -> Column:
+    """(whole, stop) of each match of a pattern.  From where the one before stops, what matched isn't found earlier, or it would have matched there."""
+    none = F.array().cast("array<struct<whole:string,stop:int>>")
+    last = lambda had: F.coalesce(F.try_element_at(had, F.lit(-1))["stop"], F.lit(0))
+    stop = lambda had, w: F.position(w, F.col(text), last(had) + 1) - 1 + F.length(w)
+    return F.aggregate(F.regexp_extract_all(F.col(text), F.lit(pattern.replace(SPACE, _FAST_SPACE)), F.lit(0)), none, lambda had, w: F.array_append(had, F.struct(w.alias("whole"), stop(had, w).alias("stop"))))
 
 
-def references(texts: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, at, stop, number, lo, hi): the references in texts, both ways round, from place to place; they may overlap.
+def references(wholes: DataFrame, ways: DataFrame, most: int) -> DataFrame:
+    """(whole, size, number, lo, hi): what has the form of a reference (whole), either way round, how much of it is one, and from which place to which.
 
-    In a reversed one the name is the longest that follows and ends there.  names
-    (name, number) is a dimension; each of its names is written in a few ways.
+    In a reversed one the name is the longest that follows and ends there, of most words.
     """
-    ways = written(aliases(names), "aliases")
-    most = ways.agg(F.max(F.size(F.split("written", " ")))).first()[0] or 1
-    ways = broadcast_if_small(ways, 200)
-    normal = _found(texts, key, text, NORMAL, 1)
-    normal = normal.withColumn("written", folded(F.col("name"))).join(ways, "written").select(key, "at", "stop", "number", "lo", "hi")
-    back = _found(texts, key, text, REVERSED, 0)
-    heads = F.array(*[F.regexp_extract("ahead", head_pattern(n), 1) for n in range(1, most + 1)])
-    back = back.select(key, "at", "stop", "lo", "hi", F.explode(F.array_distinct(heads)).alias("head")).where("head <> ''")
-    met = back.withColumn("written", folded(F.col("head"))).join(ways, "written")
-    best = met.groupBy(key, "at", "lo", "hi").agg(F.max_by(F.struct((F.col("stop") + F.length("head")).alias("stop"), "number"), "size").alias("b"))
-    return normal.unionByName(best.select(key, "at", "b.stop", "b.number", "lo", "hi"))
+    found = []
+    for begins, pattern, lo in (("[", NORMAL, 2), ("]", REVERSED, 1)):
+        plain = lambda k: F.nullif(F.translate(F.regexp_extract("whole", pattern, k), INDIC, DIGITS), F.lit("")).cast("int")  # noqa: E731, B023
+        first, second = plain(lo), F.coalesce(plain(lo + 1), plain(lo))
+        part = F.regexp_extract("whole", pattern, 0)
+        ahead = F.expr("substr(whole, length(part) + 1)")
+        heads = F.array(F.regexp_extract("whole", pattern, 1)) if lo == 2 else F.array_distinct(F.array(*[F.regexp_extract(ahead, head_pattern(n), 1) for n in range(1, most + 1)]))
+        each = wholes.where(F.col("whole").startswith(begins)).withColumn("part", part).select("whole", "part", F.least(first, second).alias("lo"), F.greatest(first, second).alias("hi"), F.explode(heads).alias("head"))
+        size = F.length("part") + (F.lit(0) if lo == 2 else F.length("head"))
+        found.append(each.where("head <> ''").select("whole", "lo", "hi", size.alias("stop"), folded(F.col("head")).alias("written")))
+    met = found[0].unionByName(found[1]).join(ways, "written")
+    best = met.groupBy("whole", "lo", "hi").agg(F.max(F.struct("size", "stop", "number")).alias("b"))
+    return best.select("whole", F.col("b.stop").alias("size"), "b.number", "lo", "hi")
 
 
 def passages(refs: DataFrame, store: DataFrame, names: DataFrame) -> DataFrame:
@@ -107,39 +107,77 @@ def passages(refs: DataFrame, store: DataFrame, names: DataFrame) -> DataFrame:
     return named.select("number", "lo", "hi", F.when(F.size("p") == 1, F.col("p")[0]["text"]).otherwise(several).alias("passage"), F.concat("name", F.lit(": "), "span").alias("label"), F.concat(F.lit("Q:"), F.col("number").cast("string"), F.lit(":"), "span").alias("ref"))
 
 
+def _told(rows: list[dict], key: str, fields: str) -> Callable[[Column], Column]:
+    """A look-up of rows by a string, as a literal of the plan; dealt by checksums, so that a key is compared with a few only."""
+    dealt: list[list[dict]] = [[] for _ in rows or [None]]
+    for row in rows:
+        dealt[crc32(row[key].encode()) % len(dealt)].append(row)
+    held = _literal(dealt, f"array<array<struct<{fields}>>>")
+    return lambda k: F.get(F.filter(F.get(held, (F.crc32(k) % len(dealt)).cast("int")), lambda row: row[key] == k), F.lit(0))
+
+
+def _literal(value: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind, {"mode": "FAILFAST"})
+
+
+def _bracketed(text: Column) -> Column:
+    """A text whose own brackets are spaces, with the brackets of what is put in; each character stays where it is."""
+    for old, new in ((OPEN, " "), (CLOSE, " "), (_PUT_OPEN, OPEN), (_PUT_CLOSE, CLOSE)):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def _spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, _SPACES, " "))
+
+
 def fill(texts: DataFrame, names: DataFrame, store: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, refs): texts with each reference replaced by the passage it names in brackets, and the ids put in, in order.
 
+    names (name, number) is a dimension; each of its names is written in a few ways.
     Of references that overlap the leftmost stays; those whose places aren't all
     in the store stay as they are and hide none.  Brackets that the text had
     become spaces, and white space one space.  A null text is an empty one.
     """
-    rows = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    met = written(references(rows, names, key), "references")
-    block = F.concat(F.lit(f" {_PUT_OPEN}"), "passage", F.lit(f"{_PUT_CLOSE} ["), "label", F.lit("] "))
-    blocks = written(passages(met, store, names).select("number", "lo", "hi", "ref", block.alias("block")), "blocks")
-    size = blocks.agg(F.sum(F.length("block") + F.length("ref") + 16)).first()[0] or 0
-    if size <= IN_PLAN:
-        # Few passages, however many texts name them: they go into the plan, and a text is put together with their numbers alone.
-        every = blocks.collect()
-        ids = met.sparkSession.createDataFrame([(b["number"], b["lo"], b["hi"], i) for i, b in enumerate(every)], "number long, lo int, hi int, id int")
-        known = met.join(F.broadcast(ids), ["number", "lo", "hi"]).select(key, F.struct("at", "stop", "id").alias("x"))
-        told = {name: F.array(*[F.lit(b[name]) for b in every]) if every else F.array().cast("array<string>") for name in ("ref", "block")}
-        put = lambda name: F.transform("kept", lambda x: told[name][x["id"]])
+    ways = written(aliases(names), "aliases")
+    most = ways.agg(F.max(F.size(F.split("written", " ")))).first()[0] or 1
+    rows = texts.select(key, once(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    spots = F.concat(_spots("text", NORMAL), _spots("text", rf"{REVERSED}{_WORD}(?:{SPACE}*{_WORD}){{0,{most - 1}}}"))
+    met = written(rows.select(key, _bracketed(F.col("text")).alias("text"), spots.alias("spots")), "spots")
+    # What is written alike is told once, however many texts have it.
+    wholes = written(met.select(F.explode("spots.whole").alias("whole")).distinct(), "wholes")
+    known = written(references(wholes, broadcast_if_small(ways, 200), most), "references")
+    # So are passages made plain, which are much longer than the texts around them.
+    block = _spaced(_bracketed(F.concat(F.lit(_PUT_OPEN), "passage", F.lit(f"{_PUT_CLOSE} ["), "label", F.lit("]"))))
+    blocks = written(passages(known, store, names).select("number", "lo", "hi", "ref", block.alias("block")), "blocks")
+    told = known.join(blocks.select("number", "lo", "hi", "ref"), ["number", "lo", "hi"]).select("whole", "size", "ref")
+    size = lambda rows, *of: rows.agg(F.sum(sum((F.length(c) for c in of), F.lit(32)))).first()[0] or 0
+    at = lambda x: x["stop"] - F.length(x["whole"])
+    if size(blocks, "ref", "block") + size(told, "whole") <= IN_PLAN:
+        # Few passages, however many texts name them: they go into the plan, and nothing is shuffled.
+        every = {b["ref"]: (i, b["block"]) for i, b in enumerate(blocks.select("ref", "block").collect())}
+        known_as = _told([{"whole": r["whole"], "size": r["size"], "id": every[r["ref"]][0]} for r in told.collect()], "whole", "whole string, size int, id int")
+        named = F.transform("spots", lambda x: F.struct(at(x).alias("at"), known_as(x["whole"]).alias("of")))
+        named = F.transform(F.filter(named, lambda x: x["of"].isNotNull()), lambda x: F.struct(x["at"].alias("at"), (x["at"] + x["of"]["size"]).alias("stop"), x["of"]["id"].alias("put")))
+        found = met.select(key, "text", F.sort_array(named).alias("m"))
+        puts = {"ref": _literal(list(every), "array<string>"), "block": _literal([b for _, b in every.values()], "array<string>")}
+        put = lambda x, name: F.get(puts[name], x["put"])
     else:
-        known = met.join(blocks, ["number", "lo", "hi"]).select(key, F.struct("at", "stop", "ref", "block").alias("x"))
-        put = lambda name: F.col(f"kept.{name}")
-    per = known.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("m"))
+        each = met.select(key, F.explode("spots").alias("x")).select(key, at(F.col("x")).alias("at"), "x.whole").join(told, "whole").join(blocks.select("ref", "block"), "ref")
+        per = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", (F.col("at") + F.col("size")).alias("stop"), F.struct("ref", "block").alias("put")))).alias("m"))
+        found = met.select(key, "text").join(per, key, "left").withColumn("m", F.coalesce("m", F.array()))
+        put = lambda x, name: x["put"][name]
     none = F.filter("m", lambda x: F.lit(False))
-    taken = F.aggregate("m", F.struct(F.lit(0).alias("last"), none.alias("kept")), lambda s, x: F.when(x["at"] >= s["last"], F.struct(x["stop"].alias("last"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s))
-    per = per.select(key, taken["kept"].alias("kept"))
-    found = rows.join(per, key, "left")
-    starts, stops = F.concat(F.array(F.lit(0)), F.col("kept.stop")), F.concat(F.col("kept.at"), F.array(F.length("text")))
-    after = F.concat(put("block"), F.array(F.lit("")))
-    pieces = F.zip_with(F.arrays_zip(starts.alias("a"), stops.alias("b")), after, lambda p, x: F.concat(F.substring(F.col("text"), p["a"] + 1, p["b"] - p["a"]), x))
-    whole = F.coalesce(F.array_join(pieces, ""), F.col("text"))
-    plain = F.translate(F.translate(whole, OPEN + CLOSE, "  "), _PUT_OPEN + _PUT_CLOSE, OPEN + CLOSE)
-    return found.select(key, F.trim(F.regexp_replace(plain, f"{SPACE}+", " ")).alias("text"), F.coalesce(put("ref"), F.array().cast("array<string>")).alias("refs"))
+    piece = lambda begin, end: _spaced(F.substring(F.col("text"), begin + 1, end - begin))
+
+    def whole(s: Column) -> Column:
+        stop = lambda i: F.coalesce(F.get(s["kept"], i - 1)["stop"], F.lit(0))
+        parts = F.flatten(F.transform(s["kept"], lambda x, i: F.array(piece(stop(i), x["at"]), put(x, "block"))))
+        parts = F.array_append(parts, piece(s["last"], F.length("text")))
+        return F.struct(F.array_join(F.filter(parts, lambda p: p != ""), " ").alias("text"), F.transform(s["kept"], lambda x: put(x, "ref")).alias("refs"))
+
+    done = F.aggregate("m", F.struct(F.lit(0).alias("last"), none.alias("kept")), lambda s, x: F.when(x["at"] >= s["last"], F.struct(x["stop"].alias("last"), F.array_append(s["kept"], x).alias("kept"))).otherwise(s), whole)
+    return found.select(key, "text", once(F.col("m")).alias("m")).select(key, done.alias("done")).select(key, "done.text", "done.refs")
 
 
 def repair(drafts: DataFrame, typed: DataFrame, key: str = "doc_id", reply: str = "reply") -> DataFrame:

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tessera.jobs import QUERIES
 from tessera.operators import backfill
 
 NAMES = [("البقرة", 2), ("آل عمران", 3), ("المؤمنون", 23), ("عمران بيت", 9), ("Al Nur", 24), ("Nur", 25), ("يس", 36), ("بيت", 40)]
@@ -99,3 +100,41 @@ def test_passages_are_not_shuffled_with_texts(spark, monkeypatch):
         found.append(sorted((r["doc_id"], r["text"], tuple(r["refs"])) for r in filled.collect()))
     want = {k: plain_fill(t or "") for k, t in rows}
     assert found[0] == found[1] == [(k, want[k][0], tuple(want[k][1])) for k in sorted(want)]
+
+
+def test_few_passages_need_no_shuffle(spark):
+    """What texts name is looked up where it stands; neither texts nor references come together by key."""
+    texts = spark.createDataFrame([(1, "[Al Nur: 3] and ]5-4 :[يس, so [بيت: 2]"), (1, "[يس: 1]"), (2, None)], "doc_id int, text string")
+    filled = backfill.fill(texts, spark.createDataFrame(NAMES, "name string, number int"), spark.createDataFrame(STORE, "number int, place int, text string"))
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    # So two texts of one key don't mix either.
+    want = [(1, *plain_fill("[Al Nur: 3] and ]5-4 :[يس, so [بيت: 2]")), (1, *plain_fill("[يس: 1]")), (2, "", [])]
+    assert sorted((r["doc_id"], r["text"], r["refs"]) for r in filled.collect()) == sorted(want)
+
+
+def test_places_of_what_is_written_alike(spark, monkeypatch):
+    """Matches that occur again, or in part before, and odd spaces; passages in the plan or not."""
+    rng = random.Random(5)
+    parts = ["[يس: 3]", "[ يس:3 ]", "[يس: 3", "]3:يس", "]3:[ يس", "]3: يس عمران بيت", "]3:", "]3 : [", "يس", "بيت عمران", "[Nur:\xa03-\t5]", "]5–3:\x0b[\fal nur", " \x0b\r ", "\xa0", "", " ", "﴾", "x\x00y", "\U0001f600", "[", "]"]
+    rows = [(k, "".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.randrange(12)))) for k in range(600)]
+    texts, names, store = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(NAMES, "name string, number int"), spark.createDataFrame(STORE, "number int, place int, text string")
+    want = {k: plain_fill(t) for k, t in rows}
+    assert sum(len(refs) for _, refs in want.values()) > 500
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(backfill, "IN_PLAN", most)
+        got = {r["doc_id"]: (r["text"], r["refs"]) for r in backfill.fill(texts, names, store).collect()}
+        assert len(got) == len(rows)
+        for k, t in rows:
+            assert got[k] == want[k], t
+
+
+def test_orders_of_one_file_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Each row is a lot of work, so a table in one file isn't left to one task."""
+    spark.range(25).selectExpr("int(id) AS n_nationkey", "concat('NATION_', id) AS n_name").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(400).selectExpr("id % 100 AS conv_id", "int(id / 100) AS turn", "concat('Text ', id) AS text").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.range(500).selectExpr("id AS o_orderkey", "id * 7 AS o_custkey", "'5-LOW' AS o_orderpriority").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    found = []
+    monkeypatch.setattr(backfill, "written", lambda df, label: found.append(df.rdd.getNumPartitions()) or df)
+    assert QUERIES["verse_backfill"](spark, str(tmp_path)).count() == 500
+    assert max(found) >= spark.sparkContext.defaultParallelism
